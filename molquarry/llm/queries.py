@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from molquarry.llm.common import read_table
+from molquarry.llm.quality_model import quality_digests
 from molquarry.llm.token_bin import token_digests
 
 
@@ -12,8 +13,13 @@ def op8_token_bin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(spark, read_table(spark, sf_dir, "documents"))
 
 
+def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_digests(spark, sf_dir)
+
+
 QUERIES = {
     "op8_token_bin": op8_token_bin,
+    "op10_quality_model": op10_quality_model,
 }
 
 ORACLE_SQL: dict[str, str] = {}
