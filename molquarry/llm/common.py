@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 from urllib.parse import unquote, urlparse
 
 import numpy as np
@@ -66,6 +67,34 @@ def local_path(uri: str) -> str | None:
     return None
 
 
+class WordTable:
+    """Values of distinct words, made in bulk by make(list of words) -> dict. Words met in two slices of text or more stay
+    while there is room, so that the many words met once push out each other only. Memory is bounded by 2 * room words."""
+
+    def __init__(self, make: Callable[[list], dict], room: int = 250_000):
+        self.make, self.room, self.hot, self.recent = make, room, {}, {}
+
+    def of(self, words: set) -> dict:
+        found, missing, hot, recent = {}, [], self.hot, self.recent
+        for w in words:
+            v = hot.get(w)
+            if v is None:
+                v = recent.get(w)
+                if v is None:
+                    missing.append(w)
+                    continue
+                hot[w] = v
+            found[w] = v
+        made = self.make(missing)
+        if len(recent) + len(made) > self.room:
+            recent.clear()
+        recent.update(made)
+        if len(hot) > self.room:
+            self.hot = {w: v for w, v in found.items() if w in hot}
+        found.update(made)
+        return found
+
+
 class WordHashes(dict):
     """Word (bytes) to its 64-bit hash, made when first asked for."""
 

@@ -6,9 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from molquarry.llm.common import read_table
 from molquarry.llm.quality_model import quality_digests
+from molquarry.llm.sentencepiece_trie import encode_pieces
 from molquarry.llm.token_bin import token_digests
 
 
+def op3_sentencepiece_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(read_table(spark, sf_dir, "documents"))
+
+
 def op8_token_bin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(spark, read_table(spark, sf_dir, "documents"))
 
@@ -18,6 +23,7 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_sentencepiece_trie": op3_sentencepiece_trie,
     "op8_token_bin": op8_token_bin,
     "op10_quality_model": op10_quality_model,
 }
