@@ -12,20 +12,24 @@ counts, and the running sum of the counts before it: the part's base in the whol
 
 from __future__ import annotations
 
+import json
+import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from molquarry.llm.common import fresh_path, local_path, written
+from molquarry.llm.common import WordTable, fresh_path, local_path, written
 
-#: Distinct words whose ids a task keeps; a task that meets more starts the table again.
-WORD_IDS = 200_000
+#: Bytes of text whose distinct words are encoded together, and rows that are turned into Python strings together.
+SLICE_BYTES, ROWS = 3_000_000, 500
 
 PART = "part int, n_docs long, n_tokens long"
 
@@ -40,39 +44,85 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 class WordEncoder:
     """Encodes texts through the ids of their words.
 
-    The tokenizer's pre-tokenizer drops white space and never joins across it, so a text's ids are the ids of
-    its white-space separated words in a row. Every distinct word is encoded once a task; a document is then a
-    join of byte strings. `same_as_whole` checks the property for a tokenizer."""
+    Where the tokenizer's pre-tokenizer drops white space and ends each piece with a mark of its own, a text's ids are
+    the ids of its white-space separated words in a row. A slice's distinct words are encoded once; a document is then
+    a join of byte strings. Words that are new fall into the pre-tokenizer's pieces, and new pieces are encoded many at
+    a time. Other tokenizers get whole texts. `same_as_whole` compares both ways."""
 
     def __init__(self, path: str, dtype: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel parts
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype, self.known = np.dtype(dtype), {}
-
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > WORD_IDS:
-            self.known.clear()
-            new = list(words)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, self.dtype).tobytes()) for w, e in zip(part, found, strict=True))
-
-    def documents(self, texts: list[str | None]) -> Iterator[bytes]:
-        """The ids of each text as little-endian bytes; a few megabytes of text are looked at together."""
-        at = 0
-        while at < len(texts):
-            split, size = [], 0
-            while at < len(texts) and size < 4_000_000:
-                raw = (texts[at] or "").encode("utf-8", "replace")
-                split.append(raw.split())
-                size += len(raw)
-                at += 1
-            self.learn(set().union(*split))
-            for words in split:
-                yield b"".join(map(self.known.__getitem__, words))
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        steps = (told.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        self.suffix = told["model"].get("end_of_word_suffix") or ""
+        self.by_words = bool(self.suffix and steps[0].get("type") == "Split" and steps[0]["behavior"] == "Removed" and steps[0]["invert"])
+        self.pattern = regex.compile(steps[0]["pattern"]["Regex"]) if self.by_words else None
+        self.added = [x["content"] for x in told.get("added_tokens", [])]
+        self.dtype, self.table, self.pieces = np.dtype(dtype), WordTable(self.encode_words), WordTable(self.encode_pieces, 150_000)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if self.suffix and t.endswith(self.suffix)]] = True
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of distinct pieces, told apart in the ids of many by the mark at their ends."""
+        found, width = {}, self.dtype.itemsize
+        groups = [pieces[at : at + 256] for at in range(0, len(pieces), 256)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.dtype)
+            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(cuts) == len(group):
+                raw = ids.tobytes()
+                found.update(zip(group, [raw[a * width : b * width] for a, b in zip([0, *cuts], cuts, strict=False)], strict=True))
+            else:
+                found.update(zip(group, self.whole(group), strict=True))
+        return found
+
+    def encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
+        parts, odd = {}, []
+        for w in words:
+            t = w.decode("utf-8", "replace")
+            if any(x in t for x in self.added):
+                odd.append(w)
+            elif t.isascii():
+                t = t.lower()
+                parts[w] = [t] if t.isalpha() else self.pattern.findall(t)
+            else:
+                parts[w] = self.pattern.findall(self.tokenizer.normalizer.normalize_str(t))
+        known = self.pieces.of(set(chain.from_iterable(parts.values())))
+        found = {w: known[p[0]] if len(p) == 1 else b"".join(map(known.__getitem__, p)) for w, p in parts.items()}
+        found.update(zip(odd, self.whole([w.decode("utf-8", "replace") for w in odd]), strict=True))
+        return found
+
+    def documents(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """The ids of each text as little-endian bytes; the words of some megabytes are looked at together."""
+        if not self.by_words:
+            yield from (self.whole([text or ""])[0] for text in texts)
+            return
+        split, size = [], 0
+        for text in texts:
+            raw = (text or "").encode("utf-8", "replace")
+            split.append(raw.split())
+            size += len(raw)
+            if size >= SLICE_BYTES:
+                yield from self.joined(split)
+                split, size = [], 0
+        yield from self.joined(split)
+
+    def joined(self, split: list[list[bytes]]) -> Iterator[bytes]:
+        known = self.table.of(set().union(*split))
+        return (b"".join(map(known.__getitem__, words)) for words in split)
+
+
+@cache
+def encoder_of(path: str, dtype: str) -> WordEncoder:
+    """One encoder a Python worker: what it has learnt serves the worker's later tasks too."""
+    return WordEncoder(path, dtype)
 
 
 def same_as_whole(path: str, texts: list[str]) -> bool:
@@ -114,12 +164,12 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         context, (store, path) = TaskContext.get(), _store(folder)
         part, own = context.partitionId(), context.taskAttemptId()
         store.create_dir(path, recursive=True)
-        encoder, end = WordEncoder(tokenizer, dtype), np.array([end_id], dtype).tobytes()
+        encoder, end = encoder_of(tokenizer, dtype), np.array([end_id], dtype).tobytes()
         ends, ids, nulls, at = [np.zeros(1, "<i8")], [], [], 0
         with store.open_output_stream(f"{path}/.{own}.bin") as out:
             for b in chain([first], batches):
                 lengths = []
-                for found in encoder.documents(b.column(1).to_pylist()):
+                for found in encoder.documents(t for k in range(0, b.num_rows, ROWS) for t in b.column(1).slice(k, ROWS).to_pylist()):
                     out.write(found + end)
                     lengths.append(len(found) // encoder.dtype.itemsize + 1)
                 ends.append((at + np.cumsum(lengths)).astype("<i8"))
