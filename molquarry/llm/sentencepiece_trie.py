@@ -188,7 +188,7 @@ class PieceModel:
             if not self.unigram and (w.startswith(MARK * 2) or w == MARK):
                 several.append(w)
                 continue
-            cuts = [i for i in range(1, len(w)) if w[i - 1 : i + 1] not in inside]
+            cuts = [i for i in range(1, len(w)) if w[i - 1 : i + 1] not in inside] if self.byte else []  # else unknown characters stay together
             parts[w] = [w[i:j] for i, j in zip([0, *cuts], [*cuts, len(w)], strict=True)] if cuts else (w,)
         known = self.parts.of(set(chain.from_iterable(parts.values())))
         found = {w: known[p[0]] if len(p) == 1 else b"".join(map(known.__getitem__, p)) for w, p in parts.items()}
