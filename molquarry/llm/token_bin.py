@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import cache
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from molquarry.llm.common import WordTable, fresh_path, local_path, written
 
 #: Bytes of text whose distinct words are encoded together, and rows that are turned into Python strings together.
-SLICE_BYTES, ROWS = 3_000_000, 500
+SLICE_BYTES, ROWS = 6_000_000, 500
 
 PART = "part int, n_docs long, n_tokens long"
 
@@ -59,9 +60,13 @@ class WordEncoder:
         steps = (told.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         self.suffix = told["model"].get("end_of_word_suffix") or ""
         self.by_words = bool(self.suffix and steps[0].get("type") == "Split" and steps[0]["behavior"] == "Removed" and steps[0]["invert"])
-        self.pattern = regex.compile(steps[0]["pattern"]["Regex"]) if self.by_words else None
-        self.added = [x["content"] for x in told.get("added_tokens", [])]
-        self.dtype, self.table, self.pieces = np.dtype(dtype), WordTable(self.encode_words), WordTable(self.encode_pieces, 150_000)
+        if self.by_words:
+            pattern = steps[0]["pattern"]["Regex"]
+            self.pattern = regex.compile(pattern)
+            self.ascii_pattern = re.compile(pattern.replace("\\p{L}", "A-Za-z").replace("\\p{N}", "0-9"), re.ASCII)
+        added = [re.escape(x["content"].encode()) for x in told.get("added_tokens", [])]
+        self.special = re.compile(b"|".join(added) or b"(?!)").search
+        self.dtype, self.table, self.pieces = np.dtype(dtype), WordTable(self.encode_words, 350_000), WordTable(self.encode_pieces, 150_000)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if self.suffix and t.endswith(self.suffix)]] = True
@@ -86,14 +91,14 @@ class WordEncoder:
     def encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
         parts, odd = {}, []
         for w in words:
-            t = w.decode("utf-8", "replace")
-            if any(x in t for x in self.added):
+            if w.isalpha():  # ASCII letters
+                parts[w] = (w.lower().decode(),)
+            elif self.special(w):
                 odd.append(w)
-            elif t.isascii():
-                t = t.lower()
-                parts[w] = [t] if t.isalpha() else self.pattern.findall(t)
+            elif w.isascii():
+                parts[w] = self.ascii_pattern.findall(w.lower().decode())
             else:
-                parts[w] = self.pattern.findall(self.tokenizer.normalizer.normalize_str(t))
+                parts[w] = self.pattern.findall(self.tokenizer.normalizer.normalize_str(w.decode("utf-8", "replace")))
         known = self.pieces.of(set(chain.from_iterable(parts.values())))
         found = {w: known[p[0]] if len(p) == 1 else b"".join(map(known.__getitem__, p)) for w, p in parts.items()}
         found.update(zip(odd, self.whole([w.decode("utf-8", "replace") for w in odd]), strict=True))
