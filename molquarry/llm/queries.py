@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from molquarry.llm.common import read_table
 from molquarry.llm.jaccard_join import jaccard_components
+from molquarry.llm.prefix_free import repeat_digests
 from molquarry.llm.quality_model import quality_digests
 from molquarry.llm.sentencepiece_trie import encode_pieces
 from molquarry.llm.token_bin import token_digests
@@ -19,6 +20,10 @@ def op3_sentencepiece_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(read_table(spark, sf_dir, "documents"))
 
 
+def op7_prefix_free(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_digests(read_table(spark, sf_dir, "documents"))
+
+
 def op8_token_bin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(spark, read_table(spark, sf_dir, "documents"))
 
@@ -30,6 +35,7 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_jaccard_join": op2_jaccard_join,
     "op3_sentencepiece_trie": op3_sentencepiece_trie,
+    "op7_prefix_free": op7_prefix_free,
     "op8_token_bin": op8_token_bin,
     "op10_quality_model": op10_quality_model,
 }
