@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from molquarry.llm.common import read_table
+from molquarry.llm.decontaminate import contaminated
 from molquarry.llm.jaccard_join import jaccard_components
 from molquarry.llm.prefix_free import repeat_digests
 from molquarry.llm.quality_model import quality_digests
@@ -20,6 +21,10 @@ def op3_sentencepiece_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(read_table(spark, sf_dir, "documents"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op7_prefix_free(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_digests(read_table(spark, sf_dir, "documents"))
 
@@ -35,6 +40,7 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_jaccard_join": op2_jaccard_join,
     "op3_sentencepiece_trie": op3_sentencepiece_trie,
+    "op5_decontaminate": op5_decontaminate,
     "op7_prefix_free": op7_prefix_free,
     "op8_token_bin": op8_token_bin,
     "op10_quality_model": op10_quality_model,
