@@ -6,11 +6,11 @@ node of the join, named by a 64-bit hash of the set, so exact copies never meet
 Order. Shingles are ordered from rare to frequent by a sketch of document frequencies: counts in 2^bits hash buckets
 over all documents, of a fixed size whatever the input's. Any order is right; rare-first makes prefixes selective.
 
-Prefixes. Two sets of sizes n <= m that link share at least a = ceil(t / (1 + t) * (n + m)) shingles, so for any l <= a
-the first (size - a + l) shingles of both share at least l. The smaller set's bound for a is that of a partner of its
-own size, the larger one's that of the smallest possible partner. Each document picks its own l: one more prefix shingle
-costs its bucket's count to scan, and l matches divide the candidates it may have. A pair has to share as many
-prefix shingles as the smaller of both l before it is verified.
+Prefixes. Two sets of sizes n, m that link share at least a = ceil(t / (1 + t) * (n + m)) shingles, so for any l <= a
+the first (size - a + l) shingles of both share at least l. A document's prefix is long enough for its smallest possible
+partner; a match counts only where it lies in the prefixes that the pair's own sizes give. Each document picks its
+own l: one more prefix shingle costs its bucket's count to scan, and l matches divide the candidates it may have. A
+pair has to share as many prefix shingles as the smaller of both l before it is verified.
 
 Lists. The documents under one prefix shingle make pairs while they are few. A longer list (a large group of near
 copies) first is compared with a few pivots only; what links to a pivot is one component and needs no pairs inside.
@@ -51,12 +51,12 @@ class JaccardJoin:
     filter_bits: int = 24
 
     def probe_prefix(self, n):
-        """Length of the prefix (for one match) of a set of n that may have smaller partners."""
+        """Length of the prefix (for one match) of a set of n, whose partners may be as small as the threshold allows."""
         return n - -(-self.num * n // self.den) + 1
 
-    def index_prefix(self, n):
-        """The same where partners are as large or larger."""
-        return n - -(-2 * self.num * n // (self.num + self.den)) + 1
+    def least_shared(self, sizes):
+        """The fewest shingles that two sets of `sizes` together share if they link."""
+        return -(-self.num * sizes // (self.num + self.den))
 
 
 def _summed(parts: DataFrame, fan: int = 64) -> np.ndarray:
@@ -151,15 +151,13 @@ def _lists(rows: DataFrame, join: JaccardJoin) -> DataFrame:
     """Rows (token, cold, node, n, pos, matches), sorted by token, cold, node in every partition, to PAIR rows. One pass; a
     list longer than short_list is streamed with its pivots alone kept."""
 
-    def matched(x: dict, i: np.ndarray, j: np.ndarray, any_match: bool = False) -> pa.RecordBatch:
-        swap = (x["n"][i] > x["n"][j]) | ((x["n"][i] == x["n"][j]) & (x["node"][i] > x["node"][j]))
-        i, j = np.where(swap, j, i), np.where(swap, i, j)  # i is the smaller set
-        l = np.minimum(x["matches"][i], x["matches"][j])
-        good = (join.den * x["n"][i] >= join.num * x["n"][j]) & (x["node"][i] != x["node"][j])
-        if not any_match:
-            good &= (x["pos"][i] <= join.index_prefix(x["n"][i]) + l - 1) & (x["pos"][j] <= join.probe_prefix(x["n"][j]) + l - 1)
+    def matched(x: dict, i: np.ndarray, j: np.ndarray, kind: int) -> pa.RecordBatch:
+        n, m, l = x["n"][i], x["n"][j], np.minimum(x["matches"][i], x["matches"][j])
+        least = join.least_shared(n + m)
+        good = (join.den * np.minimum(n, m) >= join.num * np.maximum(n, m)) & (x["node"][i] != x["node"][j])
+        good &= (x["pos"][i] <= n - least + l) & (x["pos"][j] <= m - least + l)
         i, j, l = i[good], j[good], l[good]
-        return made(STAR if any_match else MATCH, x["token"][i], x["node"][i], x["node"][j], l, x["n"][i], x["pos"][i])
+        return made(kind, x["token"][i], x["node"][i], x["node"][j], l, x["n"][i], x["pos"][i])
 
     def made(kind: int, token, a, b, l, n, pos) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(a), kind, np.int32)), "token": pa.array(token), "a": pa.array(a), "b": pa.array(b), "matches": pa.array(l.astype(np.int32)), "n": pa.array(n), "pos": pa.array(pos.astype(np.int32))})
@@ -201,7 +199,7 @@ def _lists(rows: DataFrame, join: JaccardJoin) -> DataFrame:
                 i = short[place + d < length[short]]
                 if not len(i):
                     break
-                yield matched(x, i, i + d)
+                yield matched(x, i, i + d, MATCH)
             for at, n in zip(starts[lengths > join.short_list], lengths[lengths > join.short_list], strict=True):
                 own = {c: v[at : at + n] for c, v in x.items()}
                 pivots = {c: v[: join.pivots] for c, v in own.items()}
@@ -216,7 +214,7 @@ def _lists(rows: DataFrame, join: JaccardJoin) -> DataFrame:
             k = len(pivots["token"])
             y = {c: np.concatenate([pivots[c], x[c]]) for c in names}
             for p in range(k):
-                yield matched(y, np.full(len(x["token"]), p), np.arange(k, k + len(x["token"])), any_match=True)
+                yield matched(y, np.full(len(x["token"]), p), np.arange(k, k + len(x["token"])), STAR)
 
         for batch in batches:
             new = dict(zip(names, (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns), strict=True))
@@ -309,12 +307,10 @@ def across_components(members: DataFrame, matches: DataFrame, done: DataFrame, l
     x = member.where("component <> main").select("token", *(F.col(c).alias(f"{c}_x") for c in ("id", "n", "pos", "matches", "component")))
     y = member.select("token", *(F.col(c).alias(f"{c}_y") for c in ("id", "n", "pos", "matches", "component")))
     both = x.join(y, "token").where("component_x <> component_y")
-    smaller = F.expr("n_x < n_y or (n_x = n_y and id_x < id_y)")
-    pick = lambda c, small: F.when(smaller == small, F.col(f"{c}_x")).otherwise(F.col(f"{c}_y"))
-    both = both.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"), "token", F.least("matches_x", "matches_y").alias("l"), *(pick(c, s).alias(f"{c}_{t}") for c in ("n", "pos") for s, t in ((True, "s"), (False, "l"))))
-    index = F.col("n_s") - F.ceil(F.lit(2 * join.num) * F.col("n_s") / F.lit(join.num + join.den) - 1e-9) + 1
-    probe = F.col("n_l") - F.ceil(F.lit(join.num) * F.col("n_l") / F.lit(join.den) - 1e-9) + 1
-    both = both.where((F.lit(join.den) * F.col("n_s") >= F.lit(join.num) * F.col("n_l")) & (F.col("pos_s") <= index + F.col("l") - 1) & (F.col("pos_l") <= probe + F.col("l") - 1))
+    l = F.least("matches_x", "matches_y")
+    least = F.expr(f"({join.num} * (n_x + n_y) + {join.num + join.den - 1}) div {join.num + join.den}")
+    both = both.where((F.lit(join.den) * F.least("n_x", "n_y") >= F.lit(join.num) * F.greatest("n_x", "n_y")) & (F.col("pos_x") <= F.col("n_x") - least + l) & (F.col("pos_y") <= F.col("n_y") - least + l))
+    both = both.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"), "token", l.alias("l"))
     long = both.groupBy("a", "b").agg(F.count_distinct("token").alias("found"), F.min("l").alias("matches"))
     short = matches.groupBy("a", "b").agg(F.count("*").alias("other"))
     pairs = long.join(short, ["a", "b"], "left").where("found + coalesce(other, 0) >= matches").select("a", "b")
