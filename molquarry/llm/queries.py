@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from molquarry.llm import quality_rules
 from molquarry.llm.common import read_table
 from molquarry.llm.decontaminate import contaminated
 from molquarry.llm.jaccard_join import jaccard_components
@@ -33,6 +34,10 @@ def op8_token_bin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(spark, read_table(spark, sf_dir, "documents"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_digests(read_table(spark, sf_dir, "documents"))
+
+
 def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_digests(spark, sf_dir)
 
@@ -43,6 +48,7 @@ QUERIES = {
     "op5_decontaminate": op5_decontaminate,
     "op7_prefix_free": op7_prefix_free,
     "op8_token_bin": op8_token_bin,
+    "op9_quality_rules": op9_quality_rules,
     "op10_quality_model": op10_quality_model,
 }
 
