@@ -8,6 +8,7 @@ from molquarry.llm import quality_rules
 from molquarry.llm.common import read_table
 from molquarry.llm.decontaminate import contaminated
 from molquarry.llm.jaccard_join import jaccard_components
+from molquarry.llm.langid import language_digests
 from molquarry.llm.prefix_free import repeat_digests
 from molquarry.llm.quality_model import quality_digests
 from molquarry.llm.sentencepiece_trie import encode_pieces
@@ -22,6 +23,10 @@ def op3_sentencepiece_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(read_table(spark, sf_dir, "documents"))
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_digests(read_table(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -45,6 +50,7 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_jaccard_join": op2_jaccard_join,
     "op3_sentencepiece_trie": op3_sentencepiece_trie,
+    "op4_langid": op4_langid,
     "op5_decontaminate": op5_decontaminate,
     "op7_prefix_free": op7_prefix_free,
     "op8_token_bin": op8_token_bin,
