@@ -66,7 +66,7 @@ class WordEncoder:
             self.ascii_pattern = re.compile(pattern.replace("\\p{L}", "A-Za-z").replace("\\p{N}", "0-9"), re.ASCII)
         added = [re.escape(x["content"].encode()) for x in told.get("added_tokens", [])]
         self.special = re.compile(b"|".join(added) or b"(?!)").search
-        self.dtype, self.table, self.pieces = np.dtype(dtype), WordTable(self.encode_words, 350_000), WordTable(self.encode_pieces, 150_000)
+        self.dtype, self.table, self.pieces = np.dtype(dtype), WordTable(self.encode_words, 600_000), WordTable(self.encode_pieces, 250_000)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if self.suffix and t.endswith(self.suffix)]] = True
