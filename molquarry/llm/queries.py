@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from molquarry.llm import quality_rules
+from molquarry.llm import chat, quality_rules, warc_zip
 from molquarry.llm.common import read_table
 from molquarry.llm.decontaminate import contaminated
 from molquarry.llm.jaccard_join import jaccard_components
@@ -15,6 +15,10 @@ from molquarry.llm.sentencepiece_trie import encode_pieces
 from molquarry.llm.token_bin import token_digests
 
 
+def op1_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_zip.page_digests(spark, read_table(spark, sf_dir, "pages"))
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read_table(spark, sf_dir, "documents"))
 
@@ -31,6 +35,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.perspective_digests(read_table(spark, sf_dir, "conversations"))
+
+
 def op7_prefix_free(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_digests(read_table(spark, sf_dir, "documents"))
 
@@ -48,10 +56,12 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc_zip": op1_warc_zip,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_sentencepiece_trie": op3_sentencepiece_trie,
     "op4_langid": op4_langid,
     "op5_decontaminate": op5_decontaminate,
+    "op6_chat": op6_chat,
     "op7_prefix_free": op7_prefix_free,
     "op8_token_bin": op8_token_bin,
     "op9_quality_rules": op9_quality_rules,
@@ -59,6 +69,8 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc_zip": warc_zip.SQL,
+    "op6_chat": chat.SQL,
     "op2_jaccard_join": r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
