@@ -331,6 +331,7 @@ def jaccard_components(docs: DataFrame, join: JaccardJoin = JaccardJoin()) -> Da
 
 
 def near_duplicates_removed(docs: DataFrame, join: JaccardJoin) -> DataFrame:
-    """`docs` with one row of each component: that of the smallest doc_id (repeated rows of it stay once)."""
+    """`docs` with the row of the smallest doc_id of each component; rows that repeat both id and text stay once. Rows with a
+    null id stay where their component has no other id."""
     keep = jaccard_components(docs, join).where("doc_id = component_id or component_id is null").select("doc_id").distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
