@@ -49,6 +49,7 @@ class JaccardJoin:
     short_list: int = 24
     pivots: int = 3
     filter_bits: int = 24
+    sent_pairs: int = 1_000_000
 
     def probe_prefix(self, n):
         """Length of the prefix (for one match) of a set of n, whose partners may be as small as the threshold allows."""
@@ -265,10 +266,12 @@ def candidate_sets(docs: DataFrame, ids: DataFrame, join: JaccardJoin) -> DataFr
 
 
 def verified(pairs: DataFrame, sets: DataFrame, join: JaccardJoin) -> DataFrame:
-    """(a, b, shared, size_a, size_b) of the pairs (a, b) that link."""
+    """(a, b, shared, size_a, size_b) of the pairs (a, b) that link. Pairs are 16 bytes each: up to `sent_pairs` of them go to
+    all tasks and the sets of one side stay where they are; more are shuffled."""
     x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.join(x, "a").join(y, "b").select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("shared"), F.size("x").cast("long").alias("size_a"), F.size("y").cast("long").alias("size_b"))
+    both = x.join(F.broadcast(pairs) if pairs.count() <= join.sent_pairs else pairs, "a").join(y, "b")
+    both = both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("shared"), F.size("x").cast("long").alias("size_a"), F.size("y").cast("long").alias("size_b"))
     return both.where(f"{join.den} * shared >= {join.num} * (size_a + size_b - shared)")
 
 
@@ -296,7 +299,11 @@ def linked_nodes(docs: DataFrame, join: JaccardJoin = JaccardJoin()) -> tuple[Da
 
 
 def across_components(members: DataFrame, matches: DataFrame, done: DataFrame, links: DataFrame, join: JaccardJoin) -> DataFrame | None:
-    """Pairs of long lists whose ends are in different components after the pivots were compared; None if there are none."""
+    """Pairs with a match in a long list whose ends are in different components after the pivots were compared; None if no
+    list has two components.
+
+    A pair that links has a match in the prefixes for one match, and as many as its l in those for l. Pairs come from
+    the first condition (in a long list, or among the short lists' pairs); their matches are then counted."""
     known = components(links.select("a", "b"))
     member = members.select("token", F.col("a").alias("id"), "n", "pos", "matches").join(known, "id", "left")
     member = member.withColumn("component", F.coalesce("component", "id"))
@@ -304,17 +311,23 @@ def across_components(members: DataFrame, matches: DataFrame, done: DataFrame, l
     member = written(member.join(main.where("parts > 1").drop("parts"), "token"), "unlinked")
     if member.isEmpty():
         return None
-    x = member.where("component <> main").select("token", *(F.col(c).alias(f"{c}_x") for c in ("id", "n", "pos", "matches", "component")))
+    x = member.select("token", *(F.col(c).alias(f"{c}_x") for c in ("id", "n", "pos", "matches", "component")), "main")
     y = member.select("token", *(F.col(c).alias(f"{c}_y") for c in ("id", "n", "pos", "matches", "component")))
-    both = x.join(y, "token").where("component_x <> component_y")
-    l = F.least("matches_x", "matches_y")
     least = F.expr(f"({join.num} * (n_x + n_y) + {join.num + join.den - 1}) div {join.num + join.den}")
-    both = both.where((F.lit(join.den) * F.least("n_x", "n_y") >= F.lit(join.num) * F.greatest("n_x", "n_y")) & (F.col("pos_x") <= F.col("n_x") - least + l) & (F.col("pos_y") <= F.col("n_y") - least + l))
-    both = both.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"), "token", l.alias("l"))
-    long = both.groupBy("a", "b").agg(F.count_distinct("token").alias("found"), F.min("l").alias("matches"))
-    short = matches.groupBy("a", "b").agg(F.count("*").alias("other"))
-    pairs = long.join(short, ["a", "b"], "left").where("found + coalesce(other, 0) >= matches").select("a", "b")
-    return written(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+    near = F.lit(join.den) * F.least("n_x", "n_y") >= F.lit(join.num) * F.greatest("n_x", "n_y")
+    inside = lambda l: (F.col("pos_x") <= F.col("n_x") - least + l) & (F.col("pos_y") <= F.col("n_y") - least + l)
+    apart = F.col("component_x") != F.col("component_y")
+    single = x.where("component_x <> main").join(y, (x["token"] == y["token"]) & apart & near & inside(1))
+    pairs = single.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"))
+    ids = member.select("id").distinct()
+    short = matches.groupBy("a", "b").agg(F.count("*").alias("other"), F.min("matches").alias("l"))
+    some = short.where("other < l").join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi")
+    pairs = pairs.union(some.select("a", "b")).distinct().join(done, ["a", "b"], "left_anti")
+    counted = pairs.join(x.withColumnRenamed("id_x", "a"), "a").join(y.withColumnRenamed("id_y", "b"), ["b", "token"])
+    l = F.least("matches_x", "matches_y")
+    long = counted.where(apart & near & inside(l)).groupBy("a", "b").agg(F.count_distinct("token").alias("found"), F.min(l).alias("l"))
+    enough = long.join(short.drop("l"), ["a", "b"], "left").where("found + coalesce(other, 0) >= l").select("a", "b")
+    return written(enough, "pairs")
 
 
 def jaccard_components(docs: DataFrame, join: JaccardJoin = JaccardJoin()) -> DataFrame:
