@@ -37,7 +37,7 @@ def citations(df: DataFrame, order: str, cap: int | None = 50) -> DataFrame:
         return df.sparkSession.createDataFrame([], "id string, place long, total long")
     parts = [F.col(n).cast("array<string>") if isinstance(df.schema[n].dataType, ArrayType) else F.array(F.col(n).cast("string")) for n in names]
     parts = [F.coalesce(p, F.array().cast("array<string>")) for p in parts]
-    ids = df.select(order, F.posexplode(F.concat(*parts)).alias("i", "id")).where("id is not null").groupBy("id").agg(F.min(F.struct(order, "i")).alias("first"))
+    ids = df.select(order, F.posexplode(F.concat(*parts)).alias("_place", "id")).where("id is not null").groupBy("id").agg(F.min(F.struct(order, "_place")).alias("first"))
     kept = ids if cap is None else ids.orderBy("first").limit(cap)
     from pyspark.sql import Window
 
