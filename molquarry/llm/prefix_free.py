@@ -141,16 +141,32 @@ def row_key() -> Column:
 
 
 def parse(docs: DataFrame, spec: Repeats) -> DataFrame:
-    """(gram, phrase, row, start, windows) of every phrase of docs(row, text)."""
+    """(gram, phrase, row, start, windows, times) of the phrases of docs(row, text), combined where they are read: a phrase that
+    a slice of texts has several times is one row with its count, and as all of it is known to repeat, the stretches of
+    text under such phrases are told at once, as rows without gram and phrase."""
+    kinds = {"gram": pa.int64(), "phrase": pa.int64(), "row": pa.int64(), "start": pa.int32(), "windows": pa.int32(), "times": pa.int32()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _slices(batches, 1):
             rows = part.column(0).to_numpy()
             for begin, group in _grouped(texts):
                 text, first, count, gram, phrase = _phrases(group, spec)
-                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(phrase.view(np.int64)), pa.array(rows[begin + text]), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32))], names=["gram", "phrase", "row", "start", "windows"])
-
-    return docs.mapInArrow(run, "gram long, phrase long, row long, start int, windows int")
+                _, at, same, times = np.unique(phrase, return_index=True, return_inverse=True, return_counts=True)
+                again = np.flatnonzero(times[same] > 1)
+                own, a, b = text[again], first[again], first[again] + count[again]
+                new = np.ones(len(again), bool)
+                new[1:] = (own[1:] != own[:-1]) | (a[1:] > b[:-1] + spec.length - 1)
+                start = np.flatnonzero(new)
+                end = np.r_[start[1:], len(again)][: len(start)] - 1
+                none = np.zeros(len(start), np.int64)
+                columns = (
+                    np.r_[gram[at].view(np.int64), none], np.r_[phrase[at].view(np.int64), none], rows[begin + np.r_[text[at], own[start]]],
+                    np.r_[first[at], a[start]], np.r_[count[at], b[end] - a[start]], np.r_[times, none],
+                )
+                told = np.r_[np.zeros(len(at), bool), np.ones(len(start), bool)]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(t.to_pandas_dtype()), t, mask=told if n in ("gram", "phrase") else None) for (n, t), c in zip(kinds.items(), columns, strict=True)], names=list(kinds))
+
+    return docs.mapInArrow(run, "gram long, phrase long, row long, start int, windows int, times int")
 
 
 def _fetched(docs: DataFrame, reps: DataFrame, spec: Repeats) -> DataFrame:
@@ -260,14 +276,15 @@ def _dealt(dictionary: DataFrame, spec: Repeats) -> DataFrame:
 def repeated_spans(docs: DataFrame, spec: Repeats = Repeats()) -> DataFrame:
     """(row, spans array<struct<a, b>>): per key of docs(row, text) the byte ranges [a, b) to remove, sorted, still overlapping."""
     phrases = written(parse(docs, spec), "parse")
-    triggers = phrases.groupBy("gram").agg(F.count("*").alias("n"), F.min("phrase").alias("least"), F.max("phrase").alias("most")).where("n >= 2")
+    triggers = phrases.where("gram is not null").groupBy("gram").agg(F.sum("times").alias("n"), F.min("phrase").alias("least"), F.max("phrase").alias("most")).where("n >= 2")
     known = written(phrases.join(triggers.select("gram", (F.col("least") == F.col("most")).alias("alone")), "gram"), "repeated")
     several = known.where("not alone")
-    reps = several.groupBy("gram", "phrase").agg(F.count("*").alias("times"), F.min(F.struct("row", "start", "windows")).alias("at")).select("gram", "phrase", "times", "at.*")
+    reps = several.groupBy("gram", "phrase").agg(F.sum("times").cast("long").alias("times"), F.min(F.struct("row", "start", "windows")).alias("at")).select("gram", "phrase", "times", "at.*")
     crowds = reps.groupBy("gram").agg(F.count("*").alias("n")).where(f"n > {CROWD}").select("gram")
     dictionary = written(_fetched(docs, written(reps, "dictionary"), spec), "bodies")
     runs = _ordered(dictionary.join(crowds, "gram", "left_anti"), spec).union(_dealt(dictionary.join(crowds, "gram", "left_semi"), spec))
-    spans = known.where("alone").select("row", F.col("start").alias("a"), (F.col("start") + F.col("windows") - 1 + spec.length).alias("b"))
+    told = phrases.where("gram is null").select("row", "start", "windows")
+    spans = known.where("alone").select("row", "start", "windows").union(told).select("row", F.col("start").alias("a"), (F.col("start") + F.col("windows") - 1 + spec.length).alias("b"))
     inner = several.join(runs, "phrase").select("row", (F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("last") + spec.length).alias("b"))
     return written(spans.union(inner).groupBy("row").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans")), "spans")
 
