@@ -262,7 +262,9 @@ def candidate_sets(docs: DataFrame, ids: DataFrame, join: JaccardJoin) -> DataFr
 
     shared = docs.sparkSession.sparkContext.broadcast(id_filter(ids, join.filter_bits))
     found = rows.mapInArrow(run, "node long, shingles array<long>").join(ids.withColumnRenamed("id", "node"), "node", "left_semi")
-    return written(found.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    sets = written(found.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    discard(ids)
+    return sets
 
 
 def verified(pairs: DataFrame, sets: DataFrame, join: JaccardJoin) -> DataFrame:
@@ -284,6 +286,8 @@ def linked_nodes(docs: DataFrame, join: JaccardJoin = JaccardJoin()) -> tuple[Da
     tokens = table.where("tokens is not null").select("cold", "node", "n", "matches", F.posexplode("tokens").alias("pos", "token"))
     tokens = tokens.select("token", "cold", "node", "n", (F.col("pos") + 1).alias("pos"), "matches")
     rows = written(_lists(tokens.repartition("token").sortWithinPartitions("token", "cold", "node"), join), "lists")
+    nodes = written(table.select("doc_id", "n", "node"), "nodes")
+    discard(table)  # the prefixes are in the lists now
     pair = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
     matches = rows.where(f"kind = {MATCH}").select(*pair, "matches")
     enough = matches.groupBy("a", "b").agg(F.count("*").alias("found"), F.min("matches").alias("matches")).where("found >= matches").select("a", "b")
@@ -295,7 +299,9 @@ def linked_nodes(docs: DataFrame, join: JaccardJoin = JaccardJoin()) -> tuple[Da
     more = across_components(members, matches, first, links, join)
     if more is not None:
         links = written(links.union(verified(more, sets, join)), "links-verified")
-    return table.select("doc_id", "n", "node"), links
+    for done in (rows, first, sets):
+        discard(done)
+    return nodes, links
 
 
 def across_components(members: DataFrame, matches: DataFrame, done: DataFrame, links: DataFrame, join: JaccardJoin) -> DataFrame | None:
