@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -23,14 +22,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders made for local sessions, by application.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or in a local session that has none a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="molquarry-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="molquarry-")
+        found = _LOCAL[app]
     return found.rstrip("/")
 
 
@@ -131,6 +136,3 @@ def gram_hashes(ids: np.ndarray, k: int) -> np.ndarray:
     for i in range(k):
         out = out * np.uint64(0x9E3779B97F4A7C15) + ids[i : len(ids) - k + 1 + i]
     return mixed(out)
-
-
-WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
