@@ -1,6 +1,6 @@
 """Benchmark decontamination by greedy string tiling.
 
-Words are runs of letters and digits, A-Z lower-cased. Seeds are the k-word runs of the benchmark items; a document's
+Words are runs of letters, digits and all other characters outside ASCII, without regard to case. Seeds are the k-word runs of the benchmark items; a document's
 runs that are seeds join it with the items that have them. Each such pair is tiled with Running Karp-Rabin: windows
 of a search length are matched by their hashes and extended, the longest matches are marked first on both sides, and
 the search length falls until it is k; no word is marked twice. The share of an item's words that are marked is its
@@ -13,6 +13,7 @@ collected and broadcast in turn, so what a task holds is bounded by the setting;
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,8 +39,15 @@ class Tiling:
     block_words: int = 1_000_000
 
 
+def _folded(text: str) -> str:
+    """The text without case, composed; case folding may leave composed letters apart and is composed again."""
+    if text.isascii():
+        return text.lower()
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFC", text).casefold())
+
+
 def _words(text: str | None) -> list[bytes]:
-    return WORD.findall(text.encode("utf-8", "replace").lower()) if text else []
+    return WORD.findall(_folded(text).encode("utf-8", "replace")) if text else []
 
 
 def _matches(a: np.ndarray, b: np.ndarray, free_a: np.ndarray, free_b: np.ndarray, s: int) -> list[tuple[int, int, int]]:

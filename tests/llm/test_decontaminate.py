@@ -1,5 +1,7 @@
+import itertools
 import random
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -86,3 +88,43 @@ def test_odd_rows(spark):
     assert got == [(0, 1, 2), (5, 1, 2), (5, 1, 2)]
     assert contaminated(docs, items.limit(0)).collect() == [] == contaminated(docs.limit(0), items).collect()
     assert decontaminated(docs, items.limit(0)).count() == 6
+
+
+def test_case_of_all_letters(spark):
+    texts = [
+        "la educación del niño pequeño mejoró según la opinión pública en aquel año",
+        "l'élève français répète où naît la forêt à côté du château brûlé",
+        "die größte Straße führt über schöne Brücken weiß und süß nach Hause",
+        "ο μικρός δρόμος της πόλης είναι ΐσως καλός και όμορφος τόπος",
+    ]
+    low = [unicodedata.normalize("NFC", t) for t in texts]
+    forms = [unicodedata.normalize(f, t) for t in low for f in ("NFC", "NFD")]
+    docs = [(i, way(t)) for i, (t, way) in enumerate(itertools.product(forms, (str, str.upper, str.title)))]
+    given = spark.createDataFrame(docs, "doc_id long, text string")
+    for way in (str, str.upper):
+        items = spark.createDataFrame([(i, way(t)) for i, t in enumerate(low)], "item_id long, text string")
+        got = {(r["doc_id"], r["item_id"], r["coverage"]) for r in contaminated(given, items).collect()}
+        assert got == {(i, i // 6, 1.0) for i, _ in docs}
+        assert decontaminated(given, items).count() == 0
+
+
+def split_folded(text):
+    return re.findall(r"[0-9a-z\u0080-\U0010ffff]+", unicodedata.normalize("NFC", (text or "").casefold()))
+
+
+def test_documents_without_case_against_brute_force(spark):
+    docs = [(r["doc_id"], r["text"]) for r in pq.read_table(f"{SF}/documents.parquet").to_pylist() if len(split_folded(r["text"])) <= 1500]
+    items = [(r["item_id"], r["text"]) for r in pq.read_table(f"{SF}/benchmark.parquet").to_pylist()]
+    docs += [(10_000 + i, "lead " + t.replace(" ", " changed ", 1).upper()) for i, t in items if not t.isascii()]
+    given, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["marked_words"] for r in contaminated(given, bench).collect()}
+    want = {}
+    for i, text in docs:
+        b = split_folded(text)
+        grams = {tuple(b[p : p + 5]) for p in range(len(b) - 4)}
+        for j, item in items:
+            a = split_folded(item)
+            if any(tuple(a[p : p + 5]) in grams for p in range(len(a) - 4)) and 100 * (marked := brute_marked(a, b, 5)) >= 80 * len(a):
+                want[i, j] = marked
+    assert got == want and any(i >= 10_000 for i, _ in want)
+    assert {r["doc_id"] for r in decontaminated(given, bench).collect()} == {i for i, _ in docs} - {i for i, _ in want}
