@@ -385,6 +385,16 @@ def precursor_edges(m: Model) -> DataFrame:
     return paths.precursor_edges(m.components, m.reactions, max_depth=2)
 
 
+@query(_HOPS + """, best AS (SELECT src, dst, max(yield_pct) AS y FROM hop JOIN reactions ON r = reaction_id WHERE src <> dst GROUP BY 1, 2),
+two AS (SELECT a.src, a.dst AS mid, b.dst, a.y * b.y / 100 AS y FROM best a JOIN best b ON a.dst = b.src AND a.src <> b.dst),
+edges AS (SELECT src, dst, 2 AS step_count, max(y) AS y FROM two GROUP BY 1, 2
+  UNION ALL SELECT t.src, c.dst, 3, max(t.y * c.y / 100) FROM two t JOIN best c ON t.dst = c.src AND c.dst NOT IN (t.src, t.mid) GROUP BY 1, 2)
+SELECT src, dst, step_count, CAST(round(CAST(CAST(y AS VARCHAR) AS DECIMAL(38, 20)), 2) AS DOUBLE) AS total_yield FROM edges""")
+def precursor_edges_depth3(m: Model) -> DataFrame:
+    """All depths of the reference's default."""
+    return paths.precursor_edges(m.components, m.reactions)
+
+
 # ---- similarity
 
 

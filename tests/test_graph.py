@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from molquarry.operators import classify, paths, similarity
+from molquarry.plans.queries import QUERIES
+from molquarry.plans.tables import Model
 
 MOLS = [(1, True), (2, None), (3, False), (4, False)]
 # r1: 1 -> 2, r2: 2 -> 3, r3: 1 -> 3, r4: 3 -> 1 (a cycle), r5: 2 -> 2
@@ -106,3 +108,28 @@ def test_rules(spark):
     got = [r["c"] for r in classify.classify_rules(df, rules, "t", "c").collect()]
     # a left side alone decides in the rules' order: x comes before y
     assert got == ["x", "x", "z", "z", "unclassified", "unclassified", None, "old"]
+
+
+def test_registered_precursors_reach_depth_three(spark):
+    m = Model(spark, "/root/testdata/sf0.001")
+    ys = {r["reaction_id"]: r["yield_pct"] for r in m.reactions.collect()}
+    used, made = {}, {}
+    for r in m.components.collect():
+        side = used if r["role"] == "reactant" else made if r["role"] == "product" else {}
+        side.setdefault(r["reaction_id"], set()).add(r["inchikey"])
+    best = {}
+    for i, sources in used.items():
+        for a, b in itertools.product(sources, made.get(i, ())):
+            if a != b:
+                best.setdefault(a, {}).setdefault(b, []).append(ys[i])
+    best = {a: {b: max((y for y in v if y is not None), default=None) for b, v in to.items()} for a, to in best.items()}
+    want, path = {}, [((a, b), y) for a, to in best.items() for b, y in to.items()]
+    for depth in (2, 3):
+        path = [((*ms, b), None if y is None or z is None else y * z / 100) for ms, y in path for b, z in best.get(ms[-1], {}).items() if b not in ms]
+        for ms, y in path:
+            want.setdefault((ms[0], ms[-1], depth), []).append(y)
+    got = {(r["src"], r["dst"], r["step_count"]): r["total_yield"] for r in QUERIES["precursor_edges_depth3"](spark, m.sf_dir).collect()}
+    assert set(got) == set(want) and any(k[2] == 3 for k in got)
+    for k, v in want.items():
+        top = max((y for y in v if y is not None), default=None)
+        assert got[k] == (top if top is None else pytest.approx(top, abs=0.0051))
