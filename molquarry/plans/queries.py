@@ -359,20 +359,50 @@ two AS (SELECT t.inchikey AS target, a.src AS start, 2 AS steps, [a.r, b.r] AS r
 routes AS (SELECT * FROM (SELECT * FROM one UNION ALL SELECT * FROM two) QUALIFY row_number() OVER (PARTITION BY target ORDER BY steps, start, rs, ms) <= 10)"""
 
 
-@query(_ROUTES + " SELECT target, start, steps, array_to_string(rs, ',') AS reaction_ids, array_to_string(ms, ',') AS molecules FROM routes")
+_ROUTE_ROWS = " SELECT target, start, steps, array_to_string(rs, ',') AS reaction_ids, array_to_string(ms, ',') AS molecules FROM routes"
+
+
+@query(_ROUTES + _ROUTE_ROWS)
 def route_search(m: Model) -> DataFrame:
     rows = paths.route_search(paths.hops(m.components), m.molecules, m.reactions, _targets(m), max_depth=4, max_routes=10)
     return rows.select("target", "start", "steps", joined(F.col("reaction_ids")).alias("reaction_ids"), joined(F.col("molecules")).alias("molecules"))
 
 
-@query(_ROUTES + """, n AS (SELECT list_concat(list_transform(range(1, 2 * len(rs) + 1), lambda i: CASE WHEN i % 2 = 1 THEN 'm' || ms[(i + 1) // 2] ELSE 'r' || rs[i // 2] END), ['m' || ms[-1]]) AS n FROM routes),
+_ROUTE_ELEMENTS = """, n AS (SELECT list_concat(list_transform(range(1, 2 * len(rs) + 1), lambda i: CASE WHEN i % 2 = 1 THEN 'm' || ms[(i + 1) // 2] ELSE 'r' || rs[i // 2] END), ['m' || ms[-1]]) AS n FROM routes),
 e AS (SELECT DISTINCT unnest(list_transform(range(1, len(n)), lambda i: {'a': n[i], 'b': n[i + 1]})) AS e FROM n)
 SELECT 'node' AS kind, id, CASE WHEN id LIKE 'm%' THEN 'molecule' ELSE 'reaction' END AS type, NULL AS src, NULL AS dst FROM (SELECT DISTINCT unnest(n) AS id FROM n)
-UNION ALL SELECT 'edge', e.a || '>' || e.b, 'link', e.a, e.b FROM e""")
+UNION ALL SELECT 'edge', e.a || '>' || e.b, 'link', e.a, e.b FROM e"""
+
+
+@query(_ROUTES + _ROUTE_ELEMENTS)
 def route_elements(m: Model) -> DataFrame:
     return paths.route_elements(paths.route_search(paths.hops(m.components), m.molecules, m.reactions, _targets(m), max_depth=4, max_routes=10))
 
 
+def _routes_sql(n: int) -> str:
+    """SQL of all routes of n steps."""
+    hs = range(1, n + 1)
+    joins = "".join(f" JOIN hop h{i} ON h{i}.dst = h{i + 1}.src" for i in reversed(range(1, n)))
+    apart = " AND ".join(f"NOT (h{i}.{end} = h{j}.{end} AND h{i}.r = h{j}.r)" for i in hs for j in range(i + 1, n + 1) for end in ("src", "dst")) or "true"
+    rs, ms = ", ".join(f"h{i}.r" for i in hs), ", ".join(["h1.src", *(f"h{i}.dst" for i in hs)])
+    return f"SELECT t.inchikey AS target, h1.src AS start, {n} AS steps, [{rs}] AS rs, [{ms}] AS ms FROM targets t JOIN hop h{n} ON h{n}.dst = t.inchikey{joins} JOIN avail v ON h1.src = v.inchikey WHERE {apart}"
+
+
+_ROUTES_DEEP = _HOPS + ", routes AS (SELECT * FROM (" + " UNION ALL ".join(_routes_sql(n) for n in range(1, 5)) + ") QUALIFY row_number() OVER (PARTITION BY target ORDER BY steps, start, rs, ms) <= 10)"
+
+
+@query(_ROUTES_DEEP + _ROUTE_ROWS)
+def route_search_depth8(m: Model) -> DataFrame:
+    """Up to four steps, the reference's default."""
+    rows = paths.route_search(paths.hops(m.components), m.molecules, m.reactions, _targets(m))
+    return rows.select("target", "start", "steps", joined(F.col("reaction_ids")).alias("reaction_ids"), joined(F.col("molecules")).alias("molecules"))
+
+
+@query(_ROUTES_DEEP + _ROUTE_ELEMENTS)
+def route_elements_depth8(m: Model) -> DataFrame:
+    return paths.route_elements(paths.route_search(paths.hops(m.components), m.molecules, m.reactions, _targets(m)))
+
+
 @query(""" SELECT reaction_id, CASE WHEN min(y) > 0 AND count(y) = count(*) THEN round(100.0 * any_value(y) FILTER (WHERE k = 1) / 100 * any_value(y) FILTER (WHERE k = 2) / 100, 2) END AS total_yield
 FROM (SELECT reaction_id, 1 AS k, yield_pct AS y FROM reactions UNION ALL SELECT reaction_id, 2, CAST(reaction_id % 50 AS DOUBLE) FROM reactions) GROUP BY 1""")
 def cumulative_yield(m: Model) -> DataFrame:

@@ -133,3 +133,23 @@ def test_registered_precursors_reach_depth_three(spark):
     for k, v in want.items():
         top = max((y for y in v if y is not None), default=None)
         assert got[k] == (top if top is None else pytest.approx(top, abs=0.0051))
+
+
+def test_registered_routes_reach_four_steps(spark, tmp_path):
+    # 101 -> 102 -> 103 -> 104 -> 120, and 105 -> 103: routes of three and four steps to the target 120 only
+    steps = [(1, 101, 102), (2, 102, 103), (3, 103, 104), (4, 104, 120), (5, 105, 103)]
+    sizes = {101: 1, 105: 1}
+    parts = [(k, "n", "b", "t", 1.0, sizes.get(k, 40)) for k in (101, 102, 103, 104, 105, 120)]
+    lines = [(r, k, 1.0, 0.0, 0.0, n, flag, "O") for r, a, b in steps for n, (k, flag) in enumerate(((a, "A"), (b, "N")))]
+    tables = {
+        "part": (parts, "p_partkey long, p_name string, p_brand string, p_type string, p_retailprice double, p_size int"),
+        "lineitem": (lines, "l_orderkey long, l_partkey long, l_quantity double, l_tax double, l_discount double, l_linenumber int, l_returnflag string, l_linestatus string"),
+        "orders": ([(r, 1, "1-URGENT", "O") for r, _, _ in steps], "o_orderkey long, o_custkey long, o_orderpriority string, o_orderstatus string"),
+        "customer": ([(1, "M")], "c_custkey long, c_mktsegment string"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {(r["steps"], r["reaction_ids"], r["molecules"]) for r in QUERIES["route_search_depth8"](spark, str(tmp_path)).collect()}
+    assert got == {(3, "5,3,4", "105,103,104,120"), (4, "1,2,3,4", "101,102,103,104,120")}
+    ids = {r["id"] for r in QUERIES["route_elements_depth8"](spark, str(tmp_path)).collect() if r["kind"] == "node"}
+    assert ids == {f"m{k}" for k in (101, 102, 103, 104, 105, 120)} | {f"r{r}" for r in range(1, 6)}
