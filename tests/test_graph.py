@@ -153,3 +153,15 @@ def test_registered_routes_reach_four_steps(spark, tmp_path):
     assert got == {(3, "5,3,4", "105,103,104,120"), (4, "1,2,3,4", "101,102,103,104,120")}
     ids = {r["id"] for r in QUERIES["route_elements_depth8"](spark, str(tmp_path)).collect() if r["kind"] == "node"}
     assert ids == {f"m{k}" for k in (101, 102, 103, 104, 105, 120)} | {f"r{r}" for r in range(1, 6)}
+
+
+def test_registered_screen_takes_the_query_set(spark, tmp_path):
+    rng = random.Random(5)
+    on = {i: {b for b in range(64) if rng.random() < (0.04 if i % 20 == 0 else 0.6)} for i in range(200)}
+    on[40] = set()
+    rows = [(i, [1.0 if b in s else -1.0 for b in range(64)]) for i, s in on.items()]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r["query"], r["id"]) for r in QUERIES["substructure_screen_batch"](spark, str(tmp_path)).collect()}
+    # a query without bits asks for all rows that have any
+    want = {(q, i) for q in on if q % 20 == 0 for i in on if on[q] <= on[i] and on[i]}
+    assert got == want and any(q != i for q, i in want)
