@@ -23,13 +23,19 @@ def _with(df: DataFrame, key: str, parts: list[tuple[DataFrame, str]]) -> DataFr
     return df
 
 
-def molecule_profile(molecules: DataFrame, components: DataFrame, reactions: DataFrame, activities: DataFrame, hazards: DataFrame, max_activities: int = 50, max_reactions: int = 100) -> DataFrame:
+def molecule_profile(molecules: DataFrame, components: DataFrame, reactions: DataFrame, activities: DataFrame, hazards: DataFrame, max_activities: int = 50, max_reactions: int = 100, similar: DataFrame | None = None) -> DataFrame:
+    """similar: (query, id, similarity), the hits of similarity.sim_search_batch; with it, `similar` has them, the nearest first."""
     used = components.join(reactions.select("reaction_id", "reaction_class", F.col("yield_pct").alias("reaction_yield")), "reaction_id")
-    return _with(molecules, "inchikey", [
+    profile = _with(molecules, "inchikey", [
         (_children(hazards, "inchikey", "hazards", ["signal_word", "ghs_codes"]), "hazards"),
         (_children(activities, "inchikey", "activities", ["activity_type", "assay", "value"], max_activities), "activities"),
         (_children(used, "inchikey", "reactions", ["reaction_id", "role", "reaction_class", "reaction_yield"], max_reactions), "reactions"),
     ])
+    if similar is None:
+        return profile
+    hits = similar.select(F.col("query").alias("inchikey"), (-F.col("similarity")).alias("far"), "id", "similarity")
+    near = _children(hits, "inchikey", "similar", ["far", "id", "similarity"])
+    return _with(profile, "inchikey", [(near.withColumn("similar", F.transform("similar", lambda x: x.dropFields("far"))), "similar")])
 
 
 def reaction_profile(reactions: DataFrame, components: DataFrame, molecules: DataFrame, conditions: DataFrame) -> DataFrame:

@@ -256,6 +256,25 @@ def molecule_profile(m: Model) -> DataFrame:
     return rows.select("inchikey", told("hazards", "signal_word"), told("activities", "activity_type", "assay"), told("reactions", "reaction_id", "role"))
 
 
+@query(f""", a AS (SELECT inchikey, string_agg(activity_type || ':' || assay, ',' ORDER BY activity_type, assay) AS activities FROM (SELECT * FROM activities QUALIFY {_TOP("inchikey", "activity_type, assay, value", 50)}) GROUP BY 1),
+used AS (SELECT c.inchikey, c.reaction_id, c.role, r.reaction_class, r.yield_pct AS y FROM components c JOIN reactions r USING (reaction_id)),
+c AS (SELECT inchikey, string_agg(concat_ws(':', reaction_id, role, reaction_class, CAST(y AS BIGINT)), ',' ORDER BY reaction_id, role) AS reactions FROM (SELECT * FROM used QUALIFY {_TOP("inchikey", "reaction_id, role", 100)}) GROUP BY 1),
+h AS (SELECT inchikey, string_agg(signal_word, ',' ORDER BY signal_word) AS hazards FROM hazards GROUP BY 1),
+hits AS (SELECT q.id AS query, x.id AS id, len(list_intersect(q.b, x.b)) AS s, len(q.b) + len(x.b) - len(list_intersect(q.b, x.b)) AS u FROM bits q JOIN bits x ON q.id <> x.id),
+near AS (SELECT query, id, round(s / u, 4) AS similarity FROM hits WHERE u > 0 AND s / u > 0.7 QUALIFY row_number() OVER (PARTITION BY query ORDER BY s / u DESC, id) <= 10),
+n AS (SELECT query AS inchikey, string_agg(id || ':' || CAST(round(similarity * 10000) AS BIGINT), ',' ORDER BY similarity DESC, id) AS similar_ids FROM near GROUP BY 1)
+SELECT m.inchikey, coalesce(hazards, '') AS hazards, coalesce(activities, '') AS activities, coalesce(reactions, '') AS reactions, coalesce(similar_ids, '') AS similar_molecules
+FROM molecules m LEFT JOIN h USING (inchikey) LEFT JOIN a USING (inchikey) LEFT JOIN c USING (inchikey) LEFT JOIN n USING (inchikey)""")
+def molecule_profile_similar(m: Model) -> DataFrame:
+    """With the similar molecules (similarity in ten-thousandths), and class and yield of the reactions."""
+    hits = similarity.sim_search_batch(m.fingerprints, m.fingerprints)
+    rows = profiles.molecule_profile(m.molecules, m.components, m.reactions, m.activities, m.hazards, similar=hits)
+    field = lambda x, k: x[k].cast("long") if k == "reaction_yield" else x[k]
+    told = lambda c, *f: F.array_join(F.transform(c, lambda x: F.concat_ws(":", *(field(x, k) for k in f))), ",").alias(c)
+    near = F.array_join(F.transform("similar", lambda x: F.concat_ws(":", x["id"], F.round(x["similarity"] * 10000).cast("long"))), ",")
+    return rows.select("inchikey", told("hazards", "signal_word"), told("activities", "activity_type", "assay"), told("reactions", "reaction_id", "role", "reaction_class", "reaction_yield"), near.alias("similar_molecules"))
+
+
 @query(""", c AS (SELECT reaction_id, string_agg(role || ':' || c.inchikey || ':' || coalesce(smiles, ''), ',' ORDER BY role, c.inchikey) AS components FROM components c LEFT JOIN molecules m USING (inchikey) GROUP BY 1),
 d AS (SELECT reaction_id, string_agg(condition_type || ':' || unit, ',' ORDER BY condition_type) AS conditions FROM conditions GROUP BY 1)
 SELECT r.reaction_id, coalesce(components, '') AS components, coalesce(conditions, '') AS conditions FROM reactions r LEFT JOIN c USING (reaction_id) LEFT JOIN d USING (reaction_id)""")

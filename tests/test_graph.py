@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from molquarry.operators import classify, paths, similarity
+from molquarry.operators import classify, paths, profiles, similarity
 from molquarry.plans.queries import QUERIES
 from molquarry.plans.tables import Model
 
@@ -165,3 +165,19 @@ def test_registered_screen_takes_the_query_set(spark, tmp_path):
     # a query without bits asks for all rows that have any
     want = {(q, i) for q in on if q % 20 == 0 for i in on if on[q] <= on[i] and on[i]}
     assert got == want and any(q != i for q, i in want)
+
+
+def test_profile_has_similar_molecules(spark):
+    bits = {1: range(20), 2: range(19), 3: range(20), 4: range(30, 40), **{i: range(i - 9, 20) for i in range(10, 16)}, **{i: range(20) for i in range(50, 60)}}
+    fps = spark.createDataFrame([(i, list(b)) for i, b in bits.items()], "id long, bits array<int>").select("id", similarity.packed(F.col("bits"), 1).alias("words"))
+    molecules = spark.createDataFrame([(i,) for i in (1, 2, 4, 99)], "inchikey long")
+    none = lambda s: spark.createDataFrame([], "inchikey long, " + s)
+    reactions = spark.createDataFrame([(7, "c", 50.0)], "reaction_id long, reaction_class string, yield_pct double")
+    components = spark.createDataFrame([(1, 7, "product")], "inchikey long, reaction_id long, role string")
+    rows = profiles.molecule_profile(molecules, components, reactions, none("activity_type string, assay long, value double"), none("signal_word string, ghs_codes array<string>"), similar=similarity.sim_search_batch(fps, fps))
+    got = {r["inchikey"]: [(x["id"], x["similarity"]) for x in r["similar"]] for r in rows.collect()}
+    for i in (1, 2, 4, 99):
+        a = set(bits.get(i, ()))
+        scored = [(-len(a & set(b)) / len(a | set(b)), j) for j, b in bits.items() if j != i]
+        assert got[i] == [(j, round(-s, 4)) for s, j in sorted(scored) if -s > 0.7][:10]
+    assert len(got[1]) == 10 and got[4] == got[99] == []
