@@ -45,16 +45,17 @@ def route_depth(hop_table: DataFrame, molecules: DataFrame, reactions: DataFrame
 
 def route_search(hop_table: DataFrame, molecules: DataFrame, reactions: DataFrame, targets: DataFrame, max_depth: int = 8, max_routes: int = 10, simple: bool = False) -> DataFrame:
     """The first max_routes routes of each target by length, start and reactions; max_depth counts hops of nodes, two a step.
-    Depths are searched one by one, and targets that have enough routes leave the search."""
+    Depths are searched one by one, and targets that have enough routes leave the search; what a
+    depth leaves is cached, as each later one reads it more than once."""
     hop_table = hop_table.cache()
     found, open_ = None, targets.select("inchikey").distinct()
     for steps in range(1, max_depth // 2 + 1):
         new = route_depth(hop_table, molecules, reactions, open_, steps, simple)
         found = new if found is None else found.unionByName(new)
         order = Window.partitionBy("target").orderBy("steps", "start", "reaction_ids", "molecules")
-        found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_routes).drop("rank")
+        found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_routes).drop("rank").cache()
         full = found.groupBy("target").count().where(F.col("count") >= max_routes).select(F.col("target").alias("inchikey"))
-        open_ = open_.join(full, "inchikey", "left_anti")
+        open_ = open_.join(full, "inchikey", "left_anti").cache()
     return found
 
 
