@@ -62,3 +62,16 @@ def test_query_columns_and_round_trip(spark):
     back = {r["doc_id"]: r["text"] for r in decode_pieces(got.where("n_pieces > 0")).collect()}
     assert back[4] == ODD[4] and back[6] == ODD[6]
     assert encode_pieces(docs.limit(0)).collect() == []
+
+
+def test_long_runs_and_long_texts():
+    rng = random.Random(8)
+    words = ["the", "(x", "a(b", "it's", "c++;", "{}", "e.g.,", "'tis", "\"q\"", "f(x)=y", "#1", "é,", "日,本", "...", "-", "_a_"]
+    given = [" " * n + "x" for n in (38, 500, 3000)] + ["a" + " " * 2000 + "b" + " " * 777, "\n" * 500, " \n " * 300]
+    given += [" ".join(rng.choice(words) for _ in range(60_000)), "".join(rng.choice("abcdefgh,.(") for _ in range(60_000))]
+    library, model = sentencepiece.SentencePieceProcessor(model_file=model_path()), PieceModel(model_path())
+    want = library.encode(given)
+    assert ids(model, given) == want
+    assert [back for _, back in model.encode_and_back(given)] == [d == t for d, t in zip(library.decode(want), given)]
+    odd = ["a ▁ b", "▁", "x▁y ", "plain"]
+    assert [back for _, back in model.encode_and_back(odd)] == [False, False, False, True]
