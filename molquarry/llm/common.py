@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from urllib.parse import unquote, urlparse
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,6 +66,41 @@ def crc32_of_id(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 
 
+def place_of(key: Column, bits: int) -> Column:
+    """One of 2^bits places (bits <= 32) for a binary or long key."""
+    return F.crc32(key.cast("binary")).bitwiseAND(F.lit((1 << bits) - 1))
+
+
+def places_filter(keys: DataFrame, key: str) -> tuple[int, np.ndarray]:
+    """(bits, bitmap of 2^bits places as 64-bit words) of the keys of a written table: about 8 places a key, 2^30 places (128 MB) at
+    most. What passes it may be one of the keys; a join has to make that exact."""
+    bits = min(30, max(16, (8 * keys.count()).bit_length()))
+    places = keys.select(place_of(F.col(key), bits).alias("place"))
+    words = places.groupBy(F.expr("cast(place div 64 as int)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(place % 64 as int)))").alias("v"))
+    parts = words.groupBy(F.expr("word div 4096").alias("p")).agg(F.collect_list("word").alias("w"), F.collect_list("v").alias("v"))
+    out = np.zeros(1 << (bits - 6), np.int64)
+    for r in parts.toLocalIterator():
+        out[np.array(r["w"])] = r["v"]
+    return bits, out
+
+
+def passes(places: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    """Which places are set in the bitmap."""
+    return (bitmap[places >> 6] >> (places & 63) & 1).astype(bool)
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], column: int, rows: int = 500, most: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of the batches with the bytes of their texts (null: none): `rows` rows and `most` bytes at most, or one row."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends, at = np.cumsum(sizes), 0
+        while at < batch.num_rows:
+            to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right"))
+            part = batch.slice(at, min(rows, max(1, to - at)))
+            yield part, [t or b"" for t in part.column(column).cast(pa.binary()).to_pylist()]
+            at += part.num_rows
+
+
 def local_path(uri: str) -> str | None:
     """The path of a file:// address or a plain path; None where the file lies in another store."""
     parts = urlparse(uri)

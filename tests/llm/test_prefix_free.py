@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
@@ -71,3 +72,57 @@ def test_removed_text_and_empty_table(spark):
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in repeats_removed(docs).collect()}
     assert got == {1: ("tail", 4), 2: ("é", 1), 3: ("", 0), 4: (None, None), 5: ("short", 5)}
     assert repeat_digests(docs.limit(0)).collect() == []
+
+
+def test_suffix_ranks_are_byte_order():
+    rng = random.Random(6)
+    for length in (5, 8, 20, 200):
+        bodies = [bytes(rng.choice(b"ab\0\xff") for _ in range(rng.randint(length, length + 150))) for _ in range(30)] + [b"a" * (length + 90)] * 2
+        data, starts, at = b"".join(bodies), [], 0
+        for b in bodies:
+            starts += range(at, at + len(b) - length + 1)
+            at += len(b)
+        strings = [data[s : s + length] for s in starts]
+        place = {s: i for i, s in enumerate(sorted(set(strings)))}
+        assert prefix_free.suffix_ranks(data, np.array(starts), length).tolist() == [place[s] for s in strings]
+
+
+def test_pieces_have_all_windows_and_their_triggers(monkeypatch):
+    rng = random.Random(7)
+    spec = Repeats(length=40, gram=12)
+    texts = [bytes(rng.choice(b"abc ") for _ in range(n)) for n in (39, 40, 41, 500, 1700, 0)] + [b"z" * 600]
+
+    def windows():
+        out = {}
+        for number, place, group in prefix_free._pieces(texts, spec):
+            for p, first, count, gram in zip(*(x.tolist() for x in prefix_free._phrases(group, spec)[:4])):
+                for w in range(count):
+                    key = int(number[p]), int(place[p]) + first + w
+                    assert key not in out
+                    out[key] = gram
+        return out
+
+    whole = windows()
+    assert set(whole) == {(i, w) for i, t in enumerate(texts) for w in range(len(t) - 39)}
+    monkeypatch.setattr(prefix_free, "PIECE", 97)
+    monkeypatch.setattr(prefix_free, "SLICE_BYTES", 300)
+    assert windows() == whole
+
+
+def test_very_long_text(spark):
+    rng = random.Random(9)
+    raw = bytearray(rng.randbytes(10_000_100).hex().encode())  # 20 MB; no 200 bytes of it occur twice
+    passage = rng.randbytes(300).hex()
+    for at in (999_900, 7_000_000, 19_999_000):  # one over the border of two pieces
+        raw[at : at + 600] = passage.encode()
+    other = "q" + raw[4_000_000:4_003_000].decode() + "w"
+    rows = [(1, raw.decode()), (2, other), (3, None)]
+    spans = {1: [(999_900, 1_000_500), (4_000_000, 4_003_000), (7_000_000, 7_000_600), (19_999_000, 19_999_600)], 2: [(1, 3001)], 3: []}
+    want = []
+    for i, t in rows:
+        kept, at = b"", 0
+        for a, b in spans[i]:
+            kept, at = kept + (t or "").encode()[at:a], b
+        kept += (t or "").encode()[at:]
+        want.append((i, len((t or "").encode()), sum(b - a for a, b in spans[i]), len(spans[i]), hashlib.sha256(kept).hexdigest()))
+    assert ours(spark, rows) == want
