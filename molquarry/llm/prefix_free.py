@@ -227,7 +227,7 @@ def suffix_ranks(data: bytes, starts: np.ndarray, length: int) -> np.ndarray:
         if depth == length:
             return found
         rank = np.r_[found, np.zeros(step, np.uint64)]  # places without `depth` bytes are in no string that is asked for
-    return rank[starts]
+    return np.unique(rank[starts], return_inverse=True)[1]
 
 
 def _windows(bodies: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
