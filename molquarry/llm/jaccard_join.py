@@ -1,7 +1,7 @@
 """N-gram Jaccard self-join with adaptive multi-match prefixes, and the components of its links.
 
 Sets. A text's set is its distinct k-word shingles as 64-bit hashes (shingles.py); documents with equal sets are one
-node of the join, named by a 64-bit hash of the set, so exact copies never meet as pairs.
+node of the join, named by a 128-bit hash of the set, so exact copies never meet as pairs.
 
 Order. Shingles are ordered from rare to frequent by a sketch of document frequencies: counts in 2^bits hash buckets
 over all documents, of a fixed size whatever the input's. Any order is right; rare-first makes prefixes selective.
@@ -14,13 +14,17 @@ pair has to share as many prefix shingles as the smaller of both l before it is
 
 Lists. The documents under one prefix shingle make pairs while they are few. A longer list (a large group of near
 copies) first is compared with a few pivots only; what links to a pivot is one component and needs no pairs inside.
-Then every pair of the list across different components is made: exact, without the pairs within a group.
+Then the pairs of the list across different components are made: exact, without the pairs within a group. They are made by size:
+the place of the list's shingle in a document's order says how large a partner may be with which this is the first
+match, so a document only meets those of the sizes that it reaches; many documents around one common passage which
+differ too much to link are out of each other's reach.
 
 Candidates are verified on their whole sets. No pair of equal component is needed twice, no list is cut.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from molquarry.llm.common import discard, written
+from molquarry.llm.common import discard, passes, places_filter, written
 from molquarry.llm.components import components
 from molquarry.llm.shingles import shingle_sets
 
@@ -48,7 +52,6 @@ class JaccardJoin:
     verify_cost: float = 20.0
     short_list: int = 24
     pivots: int = 3
-    filter_bits: int = 24
     sent_pairs: int = 1_000_000
 
     def probe_prefix(self, n):
@@ -60,28 +63,22 @@ class JaccardJoin:
         return -(-self.num * sizes // (self.num + self.den))
 
 
-def _summed(parts: DataFrame, fan: int = 64) -> np.ndarray:
-    """The sum of equally long uint32 arrays in rows (at int, segment int, counts binary), by a tree of sums of `fan`."""
+def _counts(raw: bytes, places: int) -> np.ndarray:
+    """Counts of `places` places that were stored in 1, 2, 4 or 8 bytes each."""
+    return np.frombuffer(raw, f"<u{len(raw) // places}")
 
-    def add(pdf):
-        total = np.sum([np.frombuffer(c, "<u4") for c in pdf["counts"]], axis=0, dtype=np.uint64)
-        pdf = pdf.head(1).copy()
-        pdf["counts"] = [np.minimum(total, 0xFFFFFFFF).astype("<u4").tobytes()]
-        pdf["at"] = pdf["at"] // fan
-        return pdf
 
-    top = parts.agg(F.max("at")).first()[0] or 0
-    while True:
-        parts = parts.groupBy((F.col("at") / fan).cast("int").alias("g"), "segment").applyInPandas(add, "at int, segment int, counts binary")
-        top //= fan
-        if not top:
-            break
-    rows = sorted(parts.collect(), key=lambda r: r["segment"])
-    return np.concatenate([np.frombuffer(r["counts"], "<u4") for r in rows]) if rows else np.zeros(0, "<u4")
+def _packed(counts: np.ndarray) -> bytes:
+    """The counts in as few bytes each as the largest needs."""
+    width = next(w for w in (1, 2, 4, 8) if int(counts.max(initial=0)) < 1 << 8 * w)
+    return counts.astype(f"<u{width}").tobytes()
+
 
+def frequency_sketch(texts: DataFrame, join: JaccardJoin, fan: int = 64) -> np.ndarray:
+    """Document counts of all shingles in 2^sketch_bits buckets (the hash's top bits). `texts` has one string column.
 
-def frequency_sketch(texts: DataFrame, join: JaccardJoin) -> np.ndarray:
-    """Document counts of all shingles in 2^sketch_bits buckets (the hash's top bits). `texts` has one string column."""
+    Every task counts its texts, in one or two bytes a bucket mostly; the arrays are cut into segments and summed by a tree of
+    sums of `fan`, so that no task holds more than `fan` segments."""
     size, pieces = 1 << join.sketch_bits, 16
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,20 +86,43 @@ def frequency_sketch(texts: DataFrame, join: JaccardJoin) -> np.ndarray:
         for _, sets in shingle_sets(batches, 0, join.k):
             total += np.bincount((np.concatenate([*sets, np.zeros(0, np.uint64)]) >> np.uint64(64 - join.sketch_bits)).astype(np.int64), minlength=size).astype(np.uint32)
         at = TaskContext.get().partitionId()
-        yield pa.RecordBatch.from_pydict({"at": pa.array([at] * pieces, pa.int32()), "segment": pa.array(range(pieces), pa.int32()), "counts": [x.tobytes() for x in total.reshape(pieces, -1)]})
+        if total.any():
+            yield pa.RecordBatch.from_pydict({"at": pa.array([at] * pieces, pa.int32()), "segment": pa.array(range(pieces), pa.int32()), "counts": [_packed(x) for x in total.reshape(pieces, -1)]})
+
+    def add(pdf):
+        total = np.sum([_counts(c, size // pieces).astype(np.uint64) for c in pdf["counts"]], axis=0, dtype=np.uint64)
+        pdf = pdf.head(1).copy()
+        pdf["counts"] = [_packed(total)]
+        pdf["at"] = pdf["at"] // fan
+        return pdf
 
-    parts = written(texts.mapInArrow(count, "at int, segment int, counts binary"), "sketch")
-    total = _summed(parts)
-    discard(parts)
-    return total if len(total) else np.zeros(size, np.uint32)
+    parts, tasks = texts.mapInArrow(count, "at int, segment int, counts binary"), texts.rdd.getNumPartitions()
+    while True:
+        parts = parts.groupBy((F.col("at") / fan).cast("int").alias("g"), "segment").applyInPandas(add, "at int, segment int, counts binary")
+        tasks = -(-tasks // fan)
+        if tasks <= 1:
+            break
+    rows = sorted(parts.collect(), key=lambda r: r["segment"])  # the summed segments, 2^sketch_bits counts
+    return np.minimum(np.concatenate([_counts(r["counts"], size // pieces).astype(np.uint64) for r in rows]), 0xFFFFFFFF).astype(np.uint32) if rows else np.zeros(size, np.uint32)
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _node(shingles: np.ndarray) -> int | None:
-    return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63) if len(shingles) else None
+def _node(shingles: np.ndarray) -> bytes | None:
+    return xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None
+
+
+def _pairs_of_long(column: pa.Array) -> np.ndarray:
+    """A column of 16-byte values as rows of two int64."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.int64).reshape(-1, 2)
+
+
+def _binary(x: np.ndarray) -> pa.Array:
+    """Rows of two int64 as a column of 16-byte values."""
+    ends = np.arange(0, 16 * len(x) + 1, 16, dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(x).tobytes())])
 
 
 def prefixes(docs: DataFrame, sketch: np.ndarray, join: JaccardJoin) -> DataFrame:
@@ -114,7 +134,7 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, join: JaccardJoin) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value.astype(np.float32)
         usual = float(counts.mean() + 3 * np.sqrt(counts.mean())) if len(counts) else 0.0
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for part, sets in shingle_sets(batches, 1, join.k):
             out = {"n": [], "node": [], "matches": [], "cold": [], "tokens": []}
             for s in sets:
@@ -136,14 +156,14 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, join: JaccardJoin) -> DataFram
                 for name, v in zip(out, (n, node, matches, cold, tokens), strict=True):
                     out[name].append(v)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), *(pa.array(out[c], t) for c, t in (("n", pa.int64()), ("node", pa.int64()), ("matches", pa.int32()), ("cold", pa.int32()), ("tokens", pa.list_(pa.int64()))))],
+                [part.column(0), *(pa.array(out[c], t) for c, t in (("n", pa.int64()), ("node", pa.binary()), ("matches", pa.int32()), ("cold", pa.int32()), ("tokens", pa.list_(pa.int64()))))],
                 names=["doc_id", *out],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, node long, matches int, cold int, tokens array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, node binary, matches int, cold int, tokens array<long>")
 
 
-PAIR = "kind int, token long, a long, b long, matches int, n long, pos int"
+PAIR = "kind int, token long, a binary, b binary, matches int, n long, pos int"
 #: Kinds of rows: a prefix match of two documents; a pair with a pivot; a member of a long list (a) with its n, pos, matches.
 MATCH, STAR, MEMBER = 0, 1, 2
 
@@ -155,24 +175,24 @@ def _lists(rows: DataFrame, join: JaccardJoin) -> DataFrame:
     def matched(x: dict, i: np.ndarray, j: np.ndarray, kind: int) -> pa.RecordBatch:
         n, m, l = x["n"][i], x["n"][j], np.minimum(x["matches"][i], x["matches"][j])
         least = join.least_shared(n + m)
-        good = (join.den * np.minimum(n, m) >= join.num * np.maximum(n, m)) & (x["node"][i] != x["node"][j])
+        good = (join.den * np.minimum(n, m) >= join.num * np.maximum(n, m)) & (x["node"][i] != x["node"][j]).any(axis=1)
         good &= (x["pos"][i] <= n - least + l) & (x["pos"][j] <= m - least + l)
         i, j, l = i[good], j[good], l[good]
         return made(kind, x["token"][i], x["node"][i], x["node"][j], l, x["n"][i], x["pos"][i])
 
     def made(kind: int, token, a, b, l, n, pos) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(a), kind, np.int32)), "token": pa.array(token), "a": pa.array(a), "b": pa.array(b), "matches": pa.array(l.astype(np.int32)), "n": pa.array(n), "pos": pa.array(pos.astype(np.int32))})
+        return pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(a), kind, np.int32)), "token": pa.array(token), "a": _binary(a), "b": _binary(b), "matches": pa.array(l.astype(np.int32)), "n": pa.array(n), "pos": pa.array(pos.astype(np.int32))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["token", "cold", "node", "n", "pos", "matches"]
-        held = {c: np.zeros(0, np.int64) for c in names}  # the rows of the last token so far, at most `limit`
+        held = {c: np.zeros((0, 2) if c == "node" else 0, np.int64) for c in names}  # the rows of the last token so far, at most `limit`
         long_list = None  # the pivots of a list that is being streamed
         limit = 4096
 
         def whole(x: dict, last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, long_list
             fresh = np.ones(len(x["token"]), bool)
-            fresh[1:] = (x["token"][1:] != x["token"][:-1]) | (x["node"][1:] != x["node"][:-1])  # copies of a set from other batches
+            fresh[1:] = (x["token"][1:] != x["token"][:-1]) | (x["node"][1:] != x["node"][:-1]).any(axis=1)  # copies of a set from other batches
             x = {c: v[fresh] for c, v in x.items()}
             if long_list is not None and len(x["token"]):
                 own = x["token"] == long_list["token"][0]
@@ -218,57 +238,41 @@ def _lists(rows: DataFrame, join: JaccardJoin) -> DataFrame:
                 yield matched(y, np.full(len(x["token"]), p), np.arange(k, k + len(x["token"])), STAR)
 
         for batch in batches:
-            new = dict(zip(names, (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns), strict=True))
+            new = {n: _pairs_of_long(c) if n == "node" else c.to_numpy(zero_copy_only=False).astype(np.int64) for n, c in zip(names, batch.columns, strict=True)}
             yield from whole({c: np.concatenate([held[c], new[c]]) for c in names}, False)
         yield from whole(held, True)
 
     return rows.mapInArrow(run, PAIR)
 
 
-def id_filter(ids: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of 2^bits places that has the places of all ids (long column `id`) set: 2^bits / 8 bytes whatever their number."""
-    places = ids.select(F.expr(f"(id ^ shiftright(id, 29)) & {(1 << bits) - 1}L").alias("place"))
-    words = places.groupBy(F.expr("cast(place div 64 as int)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(place % 64 as int)))").alias("v"))
-    parts = words.groupBy(F.expr("word div 4096").alias("p")).agg(F.collect_list("word").alias("w"), F.collect_list("v").alias("v"))
-    out = np.zeros(1 << (bits - 6), np.int64)
-    for r in parts.toLocalIterator():
-        out[np.array(r["w"])] = r["v"]
-    return out
-
-
 def candidate_sets(docs: DataFrame, ids: DataFrame, join: JaccardJoin) -> DataFrame:
     """(node, shingles array<long>) of the nodes in `ids`: texts are read once more, a bitmap of the ids lets through
     what may be one, and the join makes it exact."""
     ids = written(ids.distinct(), "candidates")
     rows = docs.select(F.col("doc_id"), "text")
+    bits, bitmap = places_filter(ids, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        bits = shared.value
+        seen: set[bytes] = set()
+        mask = (1 << bits) - 1
         for _, sets in shingle_sets(batches, 1, join.k):
-            nodes, keep = [], []
-            for s in sets:
-                node = _node(s)
-                if node is None or node in seen:
-                    continue
-                place = (node ^ (node >> 29)) & ((1 << join.filter_bits) - 1)
-                if int(bits[place >> 6]) >> (place & 63) & 1:
-                    seen.add(node)
-                    nodes.append(node)
-                    keep.append(_signed(s))
+            own = [(node, s) for s in sets if (node := _node(s)) is not None and node not in seen]
+            likely = passes(np.array([zlib.crc32(node) & mask for node, _ in own], np.int64), shared.value)
+            found = {node: s for (node, s), good in zip(own, likely, strict=True) if good}
+            seen.update(found)
             if len(seen) > 500_000:
                 seen.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(keep, pa.list_(pa.int64()))], names=["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array([_signed(s) for s in found.values()], pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    shared = docs.sparkSession.sparkContext.broadcast(id_filter(ids, join.filter_bits))
-    found = rows.mapInArrow(run, "node long, shingles array<long>").join(ids.withColumnRenamed("id", "node"), "node", "left_semi")
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)  # 2^bits places, bounded
+    found = rows.mapInArrow(run, "node binary, shingles array<long>").join(ids.withColumnRenamed("id", "node"), "node", "left_semi")
     sets = written(found.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
     discard(ids)
     return sets
 
 
 def verified(pairs: DataFrame, sets: DataFrame, join: JaccardJoin) -> DataFrame:
-    """(a, b, shared, size_a, size_b) of the pairs (a, b) that link. Pairs are 16 bytes each: up to `sent_pairs` of them go to
+    """(a, b, shared, size_a, size_b) of the pairs (a, b) that link. Pairs are 32 bytes each: up to `sent_pairs` of them go to
     all tasks and the sets of one side stay where they are; more are shuffled."""
     x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
@@ -317,13 +321,20 @@ def across_components(members: DataFrame, matches: DataFrame, done: DataFrame, l
     member = written(member.join(main.where("parts > 1").drop("parts"), "token"), "unlinked")
     if member.isEmpty():
         return None
-    x = member.select("token", *(F.col(c).alias(f"{c}_x") for c in ("id", "n", "pos", "matches", "component")), "main")
-    y = member.select("token", *(F.col(c).alias(f"{c}_y") for c in ("id", "n", "pos", "matches", "component")))
+    x = member.select("token", *(F.col(c).alias(f"{c}_x") for c in ("id", "n", "pos", "matches", "component")), F.expr("component <> main").alias("apart_x"))
+    y = member.select("token", *(F.col(c).alias(f"{c}_y") for c in ("id", "n", "pos", "matches", "component")), F.expr("component <> main").alias("apart_y"))
     least = F.expr(f"({join.num} * (n_x + n_y) + {join.num + join.den - 1}) div {join.num + join.den}")
     near = F.lit(join.den) * F.least("n_x", "n_y") >= F.lit(join.num) * F.greatest("n_x", "n_y")
     inside = lambda l: (F.col("pos_x") <= F.col("n_x") - least + l) & (F.col("pos_y") <= F.col("n_y") - least + l)
     apart = F.col("component_x") != F.col("component_y")
-    single = x.where("component_x <> main").join(y, (x["token"] == y["token"]) & apart & near & inside(1))
+    # the smaller one (y) meets the larger ones (x) in the cells of the sizes that it reaches
+    cell = lambda size: f"cast(if({size} < 64, {size}, 64 + floor(64 * log2({size} / 64))) as int)"
+    reach = f"least((n_y + 1 - pos_y) * {join.num + join.den} div {join.num} - n_y, n_y * {join.den} div {join.num})"
+    larger = x.withColumn("cell", F.expr(cell("n_x")))
+    smaller = y.withColumn("reach", F.expr(reach)).where("reach >= n_y").withColumn("cell", F.explode(F.expr(f"sequence({cell('n_y')}, {cell('reach')})"))).drop("reach")
+    ordered = (F.col("n_x") > F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("id_x") > F.col("id_y")))
+    meet = lambda a, b: a.join(b, ["token", "cell"]).where(ordered & apart & near & inside(1))
+    single = meet(larger.where("apart_x"), smaller).unionByName(meet(larger.where("not apart_x"), smaller.where("apart_y")))
     pairs = single.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"))
     ids = member.select("id").distinct()
     short = matches.groupBy("a", "b").agg(F.count("*").alias("other"), F.min("matches").alias("l"))

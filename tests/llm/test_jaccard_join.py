@@ -4,6 +4,7 @@ import re
 import pyarrow.parquet as pq
 import pytest
 
+from molquarry.llm.components import components
 from molquarry.llm.jaccard_join import JaccardJoin, jaccard_components, near_duplicates_removed
 
 SF = "/root/testdata/sf0.001"
@@ -78,3 +79,21 @@ def test_one_document_of_each_group_stays(spark):
     rows = [(3, "a b c d e f g h i j", 1), (1, "a b c d e f g h i j", 2), (1, "a b c d e f g h i j", 2), (2, "other text with words", 3), (4, None, 4), (5, "", 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n int")
     assert sorted(r["doc_id"] for r in near_duplicates_removed(docs, JaccardJoin(k=5, num=80)).collect()) == [1, 2, 4, 5]
+
+
+def test_many_unlinked_documents_around_a_common_passage(spark):
+    """Each has a tenth of its own words around one passage: their similarity is under the threshold, and none may meet all others."""
+    rng = random.Random(4)
+    passage = " ".join(f"p{i}" for i in range(120))
+    rows = [(i, " ".join(f"o{i}x{j}" for j in range(rng.randint(13, 15))) + " " + passage) for i in range(2500)]
+    rows += [(3000, rows[7][1] + " end"), (3001, "start " + rows[1200][1])]
+    join = JaccardJoin(sketch_bits=16)
+    got = {d: (n, c) for d, n, c in ours(spark, rows, join)}
+    assert {d: c for d, (_, c) in got.items()} == {i: i for i in range(2500)} | {3000: 7, 3001: 1200}
+    assert all(got[i][0] == len(t.split()) - 3 for i, t in rows)
+
+
+def test_long_chain_is_one_component(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(700)] + [(2000, 2001), (5, None), (9, 9)], "a long, b long")
+    got = {r["id"]: r["component"] for r in components(links).collect()}
+    assert got == {i: 0 for i in range(701)} | {2000: 2000, 2001: 2000}
