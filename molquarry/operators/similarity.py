@@ -1,17 +1,18 @@
 """Tanimoto similarity of sets: sparse ones (token arrays) by prefix-filtered joins, dense ones (bit sets) by a query set in
-blocks against all rows."""
+blocks against all rows. Native DataFrame operations throughout."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that are sent to all tasks at once.
-BLOCK = 2048
+from molquarry.sources.scratch import discard, written
+
+#: Queries that are sent to all tasks at once; rows of a block, and numbers of bits of a cell, where there are more.
+BLOCK, ROW_BLOCK, CELL = 32_768, 1_000_000, 16
 
 
 def fp_build(text: Column, k: int = 3, n_bits: int = 2048) -> Column:
@@ -45,68 +46,103 @@ def tanimoto_words(a: Column, b: Column) -> Column:
     return F.try_divide(both, count(F.zip_with(a, b, lambda x, y: x.bitwiseOR(y))))
 
 
-def representatives(sets: DataFrame) -> DataFrame:
-    """(id, items, n) of each different non-empty set, under its smallest id; n members share it. sets: id, items (sorted)."""
-    return sets.where(F.size("items") > 0).groupBy("items").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+def shingles(text: Column, k: int = 3) -> Column:
+    """Sorted distinct 64-bit hashes of the k-word runs of a text, words being what stands between spaces; null for a null text,
+    empty with fewer words."""
+    words = F.filter(F.split(F.lower(text), " "), lambda x: x != "")
+    starts = lambda w: F.when(F.size(w) >= k, F.sequence(F.lit(0), F.size(w) - k)).otherwise(F.array().cast("array<int>"))
+    runs = lambda w: F.transform(starts(w), lambda i: F.xxhash64(*(F.get(w, i + d) for d in range(k))))
+    # a lambda over an array of one, so that the words are made once a text
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(F.when(words.isNotNull(), F.array(words)), runs))))
+
+
+def _named(sets: DataFrame) -> DataFrame:
+    """(id, n, k1, k2, tokens) of the non-empty sets (id, items): items as sorted 64-bit hashes, and two hashes of them all."""
+    tokens = "items" if dict(sets.dtypes)["items"] == "array<bigint>" else F.array_sort(F.transform("items", lambda x: F.xxhash64(x)))
+    rows = sets.where(F.size("items") > 0).select("id", F.size("items").alias("n"), F.col(tokens) if isinstance(tokens, str) else tokens.alias("tokens"))
+    rows = rows.withColumnRenamed("items", "tokens")
+    return rows.select("id", "n", F.xxhash64("tokens").alias("k1"), F.xxhash64(F.lit(7), "tokens").alias("k2"), "tokens")
+
+
+def memberships(sets: DataFrame) -> DataFrame:
+    """(id, representative, members) of every non-empty set: the smallest id that has an equal set, and how many have it.
+
+    Sets are equal if 128 bits of hashes are. sets: id, items (sorted, distinct)."""
+    named = written(_named(sets).select("id", "k1", "k2"), "sets")
+    reps = named.groupBy("k1", "k2").agg(F.min("id").alias("representative"), F.count("*").alias("members"))
+    return named.join(reps, ["k1", "k2"]).select("id", "representative", "members")
 
 
 def similar_edges(sets: DataFrame, num: int, den: int, max_neighbours: int | None = None) -> DataFrame:
-    """(a, b, similarity) with a < b of the representatives whose Tanimoto similarity is at least num/den, four digits.
-
-    Exact: two such sets share one of the rarest n - ceil(t n) + 1 items of each, counted over all sets."""
-    reps = representatives(sets)
-    items = reps.select("id", F.size("items").alias("n"), F.explode("items").alias("item"))
-    rarity = items.groupBy("item").agg(F.count("*").alias("f"))
-    ranked = items.join(rarity.where("f > 1"), "item", "left").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(1)).alias("f"), "item"))).alias("x"))
-    prefix = F.col("n") - F.expr(f"({num} * n + {den - 1}) div {den}") + 1
-    rows = ranked.select("id", "n", F.explode(F.slice("x", F.lit(1), prefix.cast("int"))).alias("p")).where("p.f > 1").select("id", "n", "p.item")
-    other = rows.select("item", F.col("id").alias("b"), F.col("n").alias("m"))
-    pairs = rows.join(other, "item").where((F.col("id") < F.col("b")) & (F.col("n") * den >= F.col("m") * num) & (F.col("m") * den >= F.col("n") * num)).select(F.col("id").alias("a"), "b").distinct()
-    x, y = (reps.select(F.col("id").alias(s), F.col("items").alias(f"{s}_items")) for s in ("a", "b"))
-    found = pairs.join(x, "a").join(y, "b").withColumn("s", F.size(F.array_intersect("a_items", "b_items"))).withColumn("u", F.size("a_items") + F.size("b_items") - F.col("s"))
-    found = found.where(F.col("s") * den >= F.col("u") * num).select("a", "b", F.round(F.col("s") / F.col("u"), 4).alias("similarity"))
+    """(a, b, similarity) with a < b of the representatives (the smallest id of each different set) whose Tanimoto similarity is at
+    least num/den, four digits. sets: id, items (sorted, distinct); null and empty sets have no edges.
+
+    Exact: two such sets share one of the rarest n - ceil(t n) + 1 items of each, counted over all sets. Only items that
+    several sets have are ordered; the others come first in every order and are only counted. Sets under one item meet by
+    classes of size, the smaller with the larger, and only where the item's place leaves room for enough shared ones. Items
+    are compared as 64-bit hashes."""
+    named = written(_named(sets), "sets")
+    first = named.groupBy("k1", "k2").agg(F.min("id").alias("id")).select("id")
+    reps = written(named.join(first, "id", "left_semi").select("id", "n", "tokens"), "representatives")
+    items = reps.select("id", "n", F.explode("tokens").alias("item"))
+    common = items.groupBy("item").agg(F.count("*").alias("f")).where("f > 1")
+    ranked = items.join(common, "item").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("f", "item"))).alias("x"))
+    prefix = F.expr(f"n - ({num} * n + {den - 1}) div {den} + 1 - (n - size(x))")
+    rows = ranked.where(prefix > 0).select("id", "n", F.expr("n - size(x)").alias("alone"), F.posexplode(F.slice("x", F.lit(1), prefix.cast("int"))).alias("i", "p"))
+    rows = rows.select("id", "n", "p.item", (F.col("alone") + F.col("i") + 1).alias("pos"))
+    size_class = F.floor(F.log("n") / (math.log(den / num) * (1 + 1e-9))).cast("int") if num < den else F.col("n")
+    rows = written(rows.withColumn("class", size_class), "prefixes")
+    smaller = rows.select("item", "class", F.col("id").alias("s"), F.col("n").alias("ns"), F.col("pos").alias("ps"))
+    larger = rows.select("item", F.explode(F.array("class", F.col("class") - 1)).alias("class"), F.col("id").alias("l"), F.col("n").alias("nl"), F.col("pos").alias("pl"))
+    fits = (F.col("ns") < F.col("nl")) | ((F.col("ns") == F.col("nl")) & (F.col("s") < F.col("l")))
+    fits &= F.col("nl") * num <= F.col("ns") * den
+    fits &= (1 + F.least(F.col("ns") - F.col("ps"), F.col("nl") - F.col("pl"))) * (num + den) >= (F.col("ns") + F.col("nl")) * num
+    pairs = smaller.join(larger, ["item", "class"]).where(fits).select(F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b")).distinct()
+    x, y = (reps.select(F.col("id").alias(c), F.col("n").alias(f"{c}_n"), F.col("tokens").alias(f"{c}_tokens")) for c in ("a", "b"))
+    found = pairs.join(x, "a").join(y, "b").select("a", "b", F.size(F.array_intersect("a_tokens", "b_tokens")).alias("s"), (F.col("a_n") + F.col("b_n")).alias("both"))
+    found = found.withColumn("u", F.col("both") - F.col("s")).where(F.col("s") * den >= F.col("u") * num)
+    found = written(found.select("a", "b", F.round(F.col("s") / F.col("u"), 4).alias("similarity")), "edges")
+    discard(named, reps, rows)
     if max_neighbours is not None:
         order = Window.partitionBy("a").orderBy(F.desc("similarity"), "b")
         found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_neighbours).drop("rank")
     return found
 
 
-def _scored(fps: DataFrame, block: list, threshold: float, inclusive: bool, contain: bool) -> DataFrame:
-    """(query, id, similarity) of a block of packed queries against all packed rows (id, words), each in one pass."""
-    ids = np.array([r["id"] for r in block], np.int64)
-    words = np.array([r["words"] for r in block], np.int64).view(np.uint64)
-    shared = fps.sparkSession.sparkContext.broadcast((ids, words))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, queries = shared.value
-        for batch in batches:
-            rows = batch.column(0).to_numpy()
-            x = np.array(batch.column(1).to_pylist(), np.int64).reshape(len(rows), -1).view(np.uint64)
-            for q, bits in zip(ids.tolist(), queries, strict=True):
-                both, either = np.bitwise_count(x & bits).sum(1, dtype=np.int64), np.bitwise_count(x | bits).sum(1, dtype=np.int64)
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    s = both / either
-                good = both == np.bitwise_count(bits).sum() if contain else (s >= threshold if inclusive else s > threshold)
-                at = np.flatnonzero(good & (either > 0))
-                if len(at):
-                    yield pa.RecordBatch.from_pydict({"query": np.full(len(at), q), "id": rows[at], "similarity": s[at]})
-
-    return fps.select("id", "words").mapInArrow(run, "query long, id long, similarity double")
-
-
 def search(fps: DataFrame, queries: DataFrame, threshold: float = 0.0, inclusive: bool = False, contain: bool = False) -> DataFrame:
-    """(query, id, similarity) over all rows for every query; both tables are (id long, words array<long>). Queries go in blocks
-    of BLOCK to all rows, so that neither side is shuffled and what is sent is bounded."""
-    blocks = queries.select("id", "words").distinct().count() // BLOCK + 1
-    parts = []
-    for b in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).select("id", "words").distinct().collect()
-        if rows:
-            parts.append(_scored(fps, rows, threshold, inclusive, contain))
-    out = parts[0] if parts else fps.sparkSession.createDataFrame([], "query long, id long, similarity double")
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    """(query, id, similarity) over all rows for every query; both tables are (id long, words array<long>), all arrays equally long.
+
+    Rows without bits, with null words or a null id match nothing; repeated queries count once, repeated rows each. Up to
+    BLOCK queries go to all tasks, so that the rows stay where they are. More are dealt into blocks by their number of bits, and the
+    rows into blocks of ROW_BLOCK; a row goes to the blocks whose numbers of bits can match it, and each pair of blocks meets
+    in one equi-join."""
+    asked = queries.select(F.col("id").alias("query"), F.col("words").alias("asked")).where("query is not null and asked is not null").distinct()
+    known = fps.select("id", "words").where("id is not null and words is not null")
+    some = asked.select(F.size("asked")).first()
+    if some is None:
+        return asked.select("query", F.col("query").alias("id"), F.lit(0.0).alias("similarity")).limit(0)
+    bits = lambda of: reduce(Column.__add__, (F.bit_count(of(i)) for i in range(max(1, some[0]))))
+    asked = asked.withColumn("nq", bits(lambda i: F.get("asked", F.lit(i))))
+    known = known.withColumn("nx", bits(lambda i: F.get("words", F.lit(i))))
+    both = bits(lambda i: F.get("words", F.lit(i)).bitwiseAND(F.get("asked", F.lit(i))))
+    score = F.try_divide(both, F.col("nx") + F.col("nq") - both)
+    if contain:
+        match = (F.col("nx") >= F.col("nq")) & (F.col("nx") > 0) & (both == F.col("nq"))
+    else:
+        match = (score >= threshold if inclusive else score > threshold) & (F.col("nx") + F.col("nq") > 0)
+    n = asked.count()
+    if n <= BLOCK:
+        met = known.join(F.broadcast(asked), match)
+    else:
+        salts, rows = -(-n // BLOCK), known.count() // ROW_BLOCK + 1
+        low = F.lit(0) if contain else F.floor(F.col("nx") * max(0.0, threshold))
+        high = F.col("nx") if contain else F.least(F.floor(F.col("nx") / threshold) + 1, F.lit(64 * some[0])) if threshold > 0 else F.lit(64 * some[0])
+        deal = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k))
+        span = lambda k: F.sequence(F.lit(0), F.lit(k - 1)).cast("array<bigint>")
+        x = known.withColumn("row_block", deal("id", rows)).withColumn("cell", F.explode(F.sequence((low / CELL).cast("int"), (high / CELL).cast("int")))).withColumn("salt", F.explode(span(salts)))
+        q = asked.withColumn("cell", (F.col("nq") / CELL).cast("int")).withColumn("salt", deal("query", salts)).withColumn("row_block", F.explode(span(rows)))
+        met = x.join(q, ["cell", "salt", "row_block"]).where(match)
+    return met.select("query", "id", score.alias("similarity"))
 
 
 def top_hits(hits: DataFrame, limit: int, with_self: bool = True) -> DataFrame:

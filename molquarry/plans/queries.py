@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from molquarry.functions import units as U
 from molquarry.operators import classify, graph, ingest, paths, profiles, quality, results, similarity, upsert
 from molquarry.plans.tables import SQL, Model
+from molquarry.sources.scratch import fresh_path
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -147,8 +146,7 @@ def similar_edges(m: Model) -> DataFrame:
 
 @query(_PAIRS + " SELECT s.id, r.id AS representative, r.members FROM sets s JOIN reps r ON s.s = r.s")
 def similar_members(m: Model) -> DataFrame:
-    reps = similarity.representatives(m.shingles)
-    return m.shingles.join(reps.select("items", F.col("id").alias("representative"), F.col("n").alias("members")), "items").select("id", "representative", "members")
+    return similarity.memberships(m.shingles)
 
 
 @query(_PAIRS + """, both_ways AS (SELECT a AS id, b AS other, similarity FROM similar_to UNION ALL SELECT b, a, similarity FROM similar_to)
@@ -356,8 +354,7 @@ def sink_graph(m: Model) -> DataFrame:
 
 def _folder(m: Model, name: str) -> str:
     """A new folder that all executors see."""
-    base = m.spark.conf.get("spark.checkpoint.dir", None) or m.spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return fresh_path(m.spark, name)
 
 
 # ---- paths

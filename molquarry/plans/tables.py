@@ -100,11 +100,8 @@ class Model:
 
     @cached_property
     def shingles(self) -> DataFrame:
-        """Lower-cased word 3-shingles of documents as sorted sets."""
-        w = F.filter(F.split(F.lower("text"), " "), lambda x: x != "")
-        starts = F.when(F.size("w") >= 3, F.sequence(F.lit(1), F.size("w") - 2)).otherwise(F.array().cast("array<int>"))
-        grams = F.transform(starts, lambda i: F.concat_ws(" ", F.get("w", i - 1), F.get("w", i), F.get("w", i + 1)))
-        return self.table("documents").select(F.col("doc_id").alias("id"), w.alias("w")).select("id", F.array_sort(F.array_distinct(grams)).alias("items"))
+        """Lower-cased word 3-shingles of documents as sorted sets of hashes."""
+        return self.table("documents").select(F.col("doc_id").alias("id"), similarity.shingles(F.col("text")).alias("items"))
 
     @cached_property
     def records(self) -> DataFrame:
