@@ -1,9 +1,7 @@
-"""Small helpers that the text operators share: shared folders, tables that cut lineage, word hashes."""
+"""Small helpers that the text operators share: tables that cut lineage, bitmaps of keys, slices of texts, word hashes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from urllib.parse import unquote, urlparse
 
@@ -14,6 +12,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from molquarry.sources.scratch import discard, fresh_path, shared_dir, written  # noqa: F401
+
 #: Distinct words whose hashes a task keeps; a task that meets more starts the table again.
 WORD_CACHE = 300_000
 
@@ -24,43 +24,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Folders made for local sessions, by application.
-_LOCAL: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in a local session that has none a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        app = spark.sparkContext.applicationId
-        if app not in _LOCAL:
-            _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="molquarry-")
-        found = _LOCAL[app]
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to a new table in the shared folder and reads it back: the lineage is cut, and a lost executor costs nothing."""
-    path = fresh_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    table = df.sparkSession.read.schema(df.schema).parquet(path)
-    table._written_path = path
-    return table
-
-
-def discard(table: DataFrame) -> None:
-    """Deletes a table that written() made, once nothing lazy reads it any more."""
-    spark = table.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(table._written_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def crc32_of_id(doc_id: Column) -> Column:
     """crc32 of an id as text; null ids count as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
