@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from molquarry.sources.scratch import discard, written
+
 
 def hops(components: DataFrame) -> DataFrame:
     """Distinct hops; a molecule that a reaction both uses and makes is a hop to itself."""
@@ -21,42 +23,69 @@ def cumulative_yield(yields: Column) -> Column:
     return F.when(F.forall(yields, lambda y: F.coalesce(y > 0, F.lit(False))), F.round(product, 2))
 
 
+def _open(targets: DataFrame) -> DataFrame:
+    """Routes of no step: (target, at, molecules, reaction_ids)."""
+    return targets.select(F.col("inchikey").alias("target"), F.col("inchikey").alias("at"), F.array("inchikey").alias("molecules"), F.array().cast("array<bigint>").alias("reaction_ids"))
+
+
+def _extended(routes: DataFrame, hop_table: DataFrame, simple: bool) -> DataFrame:
+    """The routes with one more hop before their first molecule."""
+    h = hop_table.select(F.col("dst").alias("at"), "src", F.col("reaction_id").alias("r"))
+    both = F.arrays_zip(F.slice("molecules", 1, F.size("reaction_ids")).alias("m"), F.col("reaction_ids").alias("r"))
+    after = F.arrays_zip(F.slice("molecules", 2, F.size("reaction_ids")).alias("m"), F.col("reaction_ids").alias("r"))
+    again = F.exists(both, lambda x: (x["m"] == F.col("src")) & (x["r"] == F.col("r"))) | F.exists(after, lambda x: (x["m"] == F.col("at")) & (x["r"] == F.col("r")))
+    if simple:
+        again = F.array_contains("molecules", F.col("src"))
+    return routes.join(h, "at").where(~again).select("target", F.col("src").alias("at"), F.concat(F.array("src"), "molecules").alias("molecules"), F.concat(F.array("r"), "reaction_ids").alias("reaction_ids"))
+
+
+def _told(routes: DataFrame, reactions: DataFrame) -> DataFrame:
+    """Routes (target, steps, molecules, reaction_ids) with their start and what is known of their reactions."""
+    each = routes.select("target", "steps", "molecules", "reaction_ids", F.posexplode("reaction_ids").alias("i", "reaction_id")).join(reactions.select("reaction_id", "reaction_class", "yield_pct"), "reaction_id", "left")
+    rows = each.groupBy("target", "steps", "molecules", "reaction_ids").agg(F.array_sort(F.collect_list(F.struct("i", "reaction_class", "yield_pct"))).alias("s"))
+    yields = F.transform("s", lambda x: x["yield_pct"].cast("double"))
+    return rows.select("target", F.element_at("molecules", 1).alias("start"), "steps", "molecules", "reaction_ids", F.transform("s", lambda x: x["reaction_class"]).alias("classes"), yields.alias("yields"), cumulative_yield(yields).alias("total_yield"))
+
+
+def _starts(molecules: DataFrame) -> DataFrame:
+    return molecules.where("commercially_available").select(F.col("inchikey").alias("at"))
+
+
 def route_depth(hop_table: DataFrame, molecules: DataFrame, reactions: DataFrame, targets: DataFrame, steps: int, simple: bool = False) -> DataFrame:
     """(target, start, steps, molecules, reaction_ids, classes, yields, total_yield): all routes of `steps` hops from an
     available molecule to a target (inchikey). Expanded backwards from the targets; a molecule may occur again, the same
     edge of it and a reaction may not (with `simple`, no molecule twice)."""
-    frontier = targets.select(F.col("inchikey").alias("target"), F.col("inchikey").alias("at"), F.array("inchikey").alias("molecules"), F.array().cast("array<bigint>").alias("reaction_ids"))
-    h = hop_table.select(F.col("dst").alias("at"), "src", F.col("reaction_id").alias("r"))
+    routes = _open(targets)
     for _ in range(steps):
-        step = frontier.join(h, "at")
-        both = F.arrays_zip(F.slice("molecules", 1, F.size("reaction_ids")).alias("m"), F.col("reaction_ids").alias("r"))
-        after = F.arrays_zip(F.slice("molecules", 2, F.size("reaction_ids")).alias("m"), F.col("reaction_ids").alias("r"))
-        again = F.exists(both, lambda x: (x["m"] == F.col("src")) & (x["r"] == F.col("r"))) | F.exists(after, lambda x: (x["m"] == F.col("at")) & (x["r"] == F.col("r")))
-        if simple:
-            again = F.array_contains("molecules", F.col("src"))
-        frontier = step.where(~again).select("target", F.col("src").alias("at"), F.concat(F.array("src"), "molecules").alias("molecules"), F.concat(F.array("r"), "reaction_ids").alias("reaction_ids"))
-    starts = molecules.where("commercially_available").select(F.col("inchikey").alias("at"))
-    found = frontier.join(starts, "at", "left_semi")
-    told = found.select("target", "molecules", "reaction_ids", F.posexplode("reaction_ids").alias("i", "reaction_id")).join(reactions.select("reaction_id", "reaction_class", "yield_pct"), "reaction_id", "left")
-    rows = told.groupBy("target", "molecules", "reaction_ids").agg(F.array_sort(F.collect_list(F.struct("i", "reaction_class", "yield_pct"))).alias("s"))
-    yields = F.transform("s", lambda x: x["yield_pct"].cast("double"))
-    return rows.select("target", F.element_at("molecules", 1).alias("start"), F.lit(steps).alias("steps"), "molecules", "reaction_ids", F.transform("s", lambda x: x["reaction_class"]).alias("classes"), yields.alias("yields"), cumulative_yield(yields).alias("total_yield"))
+        routes = _extended(routes, hop_table, simple)
+    return _told(routes.join(_starts(molecules), "at", "left_semi").withColumn("steps", F.lit(steps)), reactions)
 
 
 def route_search(hop_table: DataFrame, molecules: DataFrame, reactions: DataFrame, targets: DataFrame, max_depth: int = 8, max_routes: int = 10, simple: bool = False) -> DataFrame:
     """The first max_routes routes of each target by length, start and reactions; max_depth counts hops of nodes, two a step.
-    Depths are searched one by one, and targets that have enough routes leave the search; what a
-    depth leaves is cached, as each later one reads it more than once."""
-    hop_table = hop_table.cache()
-    found, open_ = None, targets.select("inchikey").distinct()
+    Each depth extends the routes of the one before, which are a written table; targets that have enough routes leave
+    before the next one. Reactions are looked up for the routes that are kept only."""
+    hop_table, starts = written(hop_table, "hops"), written(_starts(molecules), "starts")
+    routes, found = written(_open(targets.distinct()), "routes"), None
+    order = Window.partitionBy("target").orderBy("at", "reaction_ids", "molecules")
     for steps in range(1, max_depth // 2 + 1):
-        new = route_depth(hop_table, molecules, reactions, open_, steps, simple)
-        found = new if found is None else found.unionByName(new)
-        order = Window.partitionBy("target").orderBy("steps", "start", "reaction_ids", "molecules")
-        found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_routes).drop("rank").cache()
-        full = found.groupBy("target").count().where(F.col("count") >= max_routes).select(F.col("target").alias("inchikey"))
-        open_ = open_.join(full, "inchikey", "left_anti").cache()
-    return found
+        longer = written(_extended(routes, hop_table, simple), "routes")
+        discard(routes)
+        routes = longer
+        new = routes.join(starts, "at", "left_semi").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_routes)
+        if found is not None:  # shorter routes come first
+            have = found.groupBy("target").agg(F.count("*").alias("have"))
+            new = new.join(have, "target", "left").where(F.col("rank") + F.coalesce("have", F.lit(0)) <= max_routes)
+        new = new.select("target", F.lit(steps).alias("steps"), "molecules", "reaction_ids")
+        more = written(new if found is None else found.unionByName(new), "found-routes")
+        if found is not None:
+            discard(found)
+        found = more
+        full = found.groupBy("target").agg(F.count("*").alias("n")).where(F.col("n") >= max_routes)
+        routes, before = written(routes.join(full, "target", "left_anti"), "routes"), routes
+        discard(before)
+    discard(hop_table, starts, routes)
+    return _told(found, reactions)
 
 
 def one_step(components: DataFrame, reactions: DataFrame) -> DataFrame:
@@ -68,13 +97,19 @@ def one_step(components: DataFrame, reactions: DataFrame) -> DataFrame:
 def precursor_edges(components: DataFrame, reactions: DataFrame, min_depth: int = 2, max_depth: int = 3, shortest_only: bool = False) -> DataFrame:
     """(src, dst, step_count, total_yield): pairs joined by a path of distinct molecules, one row a depth, with the best
     product of the steps' best yields (null if no path has all yields). Each depth is aggregated before it is kept."""
-    hop = one_step(components, reactions)
-    path, out = hop.select(F.array("src", "dst").alias("m"), F.col("dst").alias("at"), "y"), []
+    hop = written(one_step(components, reactions), "one-step")
+    path, out = hop.select(F.col("src").alias("v0"), F.col("dst").alias("v1"), "y"), []
     for depth in range(2, max_depth + 1):
-        step = hop.select(F.col("src").alias("at"), F.col("dst").alias("to"), F.col("y").alias("y2"))
-        path = path.join(step, "at").where(~F.array_contains("m", F.col("to"))).select(F.concat("m", F.array("to")).alias("m"), F.col("to").alias("at"), (F.col("y") * F.col("y2") / 100).alias("y"))
+        if depth == max_depth == 3:
+            # of the paths v0, v1, v2 the best two are enough: the next molecule is v1 in one of them at most
+            best = Window.partitionBy("v0", "v2").orderBy(F.desc_nulls_last("y"), "v1")
+            path = path.withColumn("rank", F.row_number().over(best)).where("rank <= 2").drop("rank")
+        before = [f"v{i}" for i in range(depth)]
+        step = hop.select(F.col("src").alias(before[-1]), F.col("dst").alias(f"v{depth}"), F.col("y").alias("y2"))
+        apart = reduce(Column.__and__, (F.col(v) != F.col(f"v{depth}") for v in before[:-1]))
+        path = path.join(step, before[-1]).where(apart).select(*before, f"v{depth}", (F.col("y") * F.col("y2") / 100).alias("y"))
         if depth >= min_depth:
-            out.append(path.groupBy(F.element_at("m", 1).alias("src"), F.col("at").alias("dst")).agg(F.lit(depth).alias("step_count"), F.round(F.max("y"), 2).alias("total_yield")))
+            out.append(path.groupBy(F.col("v0").alias("src"), F.col(f"v{depth}").alias("dst")).agg(F.lit(depth).alias("step_count"), F.round(F.max("y"), 2).alias("total_yield")))
     found = reduce(DataFrame.unionByName, out)
     if shortest_only:
         found = found.groupBy("src", "dst").agg(F.min_by(F.struct("step_count", "total_yield"), "step_count").alias("x")).select("src", "dst", "x.*")
