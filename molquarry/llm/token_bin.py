@@ -33,6 +33,8 @@ from molquarry.llm.common import WordTable, fresh_path, local_path, written
 SLICE_BYTES, ROWS = 6_000_000, 500
 
 PART = "part int, n_docs long, n_tokens long"
+#: Parts for each partition that the documents are read in, and documents of a part that a task reads back at once.
+PARTS_PER_SPLIT, READ_DOCS = 2, 20_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -149,7 +151,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     """Encodes every whole text and writes the data set into `folder`; returns its manifest.
 
     Rows are range-partitioned and sorted by id (nulls first; equal ids by text), so one shuffle of the texts
-    gives the order, and each task streams its sorted rows into one part. A part is written under a name of
+    gives the order, and each task streams its sorted rows into one part. Ranges are of ids and the first characters of texts, so
+    that many rows of one id or none are not one part. There are `parts` parts, or PARTS_PER_SPLIT for each partition that the
+    documents are read in, which Spark cuts by bytes. A part is written under a name of
     the task's attempt and moved into place at its end: a lost or repeated task leaves no half part.
     Null and empty texts are a document of the end id alone. Only `id_col` and `text_col` are read, so other
     columns may have any names. An empty table gives no parts."""
@@ -157,10 +161,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
 
     size = max(Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True), end_id + 1)
     dtype = "<u2" if size <= 1 << 16 else "<u4"
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(parts, "id").sortWithinPartitions("id", "text")
+    parts = parts or PARTS_PER_SPLIT * rows.rdd.getNumPartitions()
+    rows = rows.repartitionByRange(parts, "id", F.substring("text", 1, 32)).sortWithinPartitions("id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = next((b for b in batches if b.num_rows), None)
@@ -196,36 +199,43 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
-    """Per document (doc_id, start, n_tokens, ids_crc32) from the files: parts are dealt over the tasks, each part is
-    memory-mapped (or, outside a local store, read by ranges), and its base is added to its documents' offsets."""
+    """Per document (doc_id, start, n_tokens, ids_crc32) from the files: ranges of READ_DOCS documents of the parts are dealt over
+    the tasks; a range's ids are memory-mapped (or, outside a local store, read by their place), and the part's base is
+    added to its documents' offsets."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in (r for b in batches for r in b.to_pylist()):
             store, path = _store(row["folder"])
-            name, dtype, n = f"{path}/part-{row['part']:06d}", np.dtype(row["dtype"]), row["n_docs"]
-            ends = np.frombuffer(store.open_input_file(f"{name}.idx").read(), "<i8")
-            raw = store.open_input_file(f"{name}.docs").read()
-            ids, nulls = np.frombuffer(raw, "<i8", n), np.frombuffer(raw, "u1", n, 8 * n)
+            name, dtype, n, at = f"{path}/part-{row['part']:06d}", np.dtype(row["dtype"]), row["n_docs"], row["first"]
+            to = min(n, at + READ_DOCS)
+            with store.open_input_file(f"{name}.idx") as source:
+                ends = np.frombuffer(source.read_at(8 * (to - at + 1), 8 * at), "<i8")
+            with store.open_input_file(f"{name}.docs") as source:
+                ids, nulls = np.frombuffer(source.read_at(8 * (to - at), 8 * at), "<i8"), np.frombuffer(source.read_at(to - at, 8 * n + at), "u1")
             local = local_path(row["folder"])
             stream = np.memmap(f"{name}.bin", dtype, "r") if local else None
             source = None if local else store.open_input_file(f"{name}.bin")
-            for at in range(0, n, 5_000):
-                to = min(n, at + 5_000)
-                lo, hi = int(ends[at]), int(ends[to])
+            for i in range(0, to - at, 2_000):
+                j = min(to - at, i + 2_000)
+                lo, hi = int(ends[i]), int(ends[j])
                 ids_here = stream[lo:hi] if local else np.frombuffer(source.read_at((hi - lo) * dtype.itemsize, lo * dtype.itemsize), dtype)
-                cuts = (ends[at : to + 1] - lo).tolist()
+                cuts = (ends[i : j + 1] - lo).tolist()
                 crc = [zlib.crc32(ids_here[a:b].astype("<u4").tobytes()) for a, b in zip(cuts, cuts[1:], strict=False)]
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": pa.array(ids[at:to], mask=nulls[at:to].astype(bool)),
-                    "start": row["base"] + ends[at:to],
-                    "n_tokens": np.diff(ends[at : to + 1]),
+                    "doc_id": pa.array(ids[i:j], mask=nulls[i:j].astype(bool)),
+                    "start": row["base"] + ends[i:j],
+                    "n_tokens": np.diff(ends[i : j + 1]),
                     "ids_crc32": pa.array(crc, pa.int64()),
                 })
 
     parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.repartition(parts, "part").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    ranges = manifest.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_docs") - 1, F.lit(READ_DOCS).cast("long"))))
+    return ranges.repartition(parts, "part", "first").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_digests(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None, end_id: int = 1) -> DataFrame:
-    """Writes the files of `docs` and reads them back."""
+    """Writes the files of `docs` (doc_id, text) and reads them back: doc_id, start, n_tokens, ids_crc32 of every row.
+
+    Null and empty texts have the end id alone; null ids come first and stay null; rows that repeat an id are documents each, in
+    the order of their texts. Other columns are not read. An empty table gives no rows. The files stay in the shared folder."""
     return read_token_files(write_token_files(docs, fresh_path(spark, "tokens"), tokenizer or tokenizer_path(), end_id))
