@@ -103,49 +103,67 @@ def greedy_tiles(a: np.ndarray, b: np.ndarray, k: int) -> list[tuple[int, int, i
 
 
 class Index:
-    """The seeds of a block of benchmark items (id, text), by their length in words."""
+    """The seeds of a block of benchmark items (id, text), by their length in words.
+
+    Tiles of k words or more that cover enough of an item hold a least number of its seeds, so a document that covers it has one of
+    any choice of all but so many seeds less one. Those that the fewest items have are looked up; a seed that many
+    items share mostly is none of them, and does not join its documents with all its items."""
 
     def __init__(self, items: list[tuple], spec: Tiling):
         hashes = WordHashes()
         self.ids = [i for i, _ in items]
         self.words = [hashes.of(_words(t)) for _, t in items]
+        self.grams = [gram_hashes(w, spec.k) for w in self.words]  # an item of fewer words is one seed
         self.seeds = {}
         for k in sorted({min(spec.k, len(w)) for w in self.words if len(w)}):
-            own = [(i, gram_hashes(w, k)) for i, w in enumerate(self.words) if min(spec.k, len(w)) == k]
-            grams = np.concatenate([g for _, g in own])
-            item = np.repeat([i for i, _ in own], [len(g) for _, g in own])
+            own = [i for i, w in enumerate(self.words) if min(spec.k, len(w)) == k]
+            every = np.concatenate([np.unique(self.grams[i]) for i in own])
+            every.sort()
+            looked = []
+            for i in own:
+                g, n = self.grams[i], len(self.words[i])
+                shared = np.searchsorted(every, g, "right") - np.searchsorted(every, g, "left")
+                least = -(-(-(-spec.coverage_percent * n // 100)) // k)
+                looked.append(np.unique(g[np.argsort(shared, kind="stable")[: max(1, len(g) - max(1, least) + 1)]]))
+            grams = np.concatenate(looked)
             order = np.argsort(grams, kind="stable")
             passing = np.zeros(1 << MAP_BITS, bool)
-            passing[(grams >> np.uint64(64 - MAP_BITS)).astype(np.int64)] = True
-            self.seeds[k] = grams[order], item[order], passing
+            passing[(every >> np.uint64(64 - MAP_BITS)).astype(np.int64)] = True
+            self.seeds[k] = grams[order], np.repeat(own, [len(g) for g in looked])[order], passing, np.unique(every)
 
     def found(self, words: np.ndarray, spec: Tiling) -> Iterator[tuple[int, int, int]]:
         """(item number, marked words, tiles) of the items that a document of these word hashes covers enough."""
-        for k, (grams, item, passing) in self.seeds.items():
+        for k, (grams, item, passing, every) in self.seeds.items():
             if len(words) < k:
                 continue
             runs = gram_hashes(words, k)
             at = np.flatnonzero(passing[(runs >> np.uint64(64 - MAP_BITS)).astype(np.int64)])
-            low, high = np.searchsorted(grams, runs[at], "left"), np.searchsorted(grams, runs[at], "right")
-            at, low, high = at[high > low], low[high > low], high[high > low]
-            hits: dict[int, set[int]] = {}
-            for p, x, y in zip(at.tolist(), low.tolist(), high.tolist(), strict=True):
-                for i in item[x:y].tolist():
-                    hits.setdefault(i, set()).add(p)
-            for i, places in hits.items():
-                target = self.words[i]
-                if 100 * min(len(target), len(places) * k) < spec.coverage_percent * len(target):
+            if len(at):
+                at = at[every[np.minimum(np.searchsorted(every, runs[at]), len(every) - 1)] == runs[at]]
+            if not len(at):
+                continue
+            seen = np.unique(runs[at])
+            low, high = np.searchsorted(grams, seen, "left"), np.searchsorted(grams, seen, "right")
+            sizes = high - low
+            place = np.repeat(low, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            for i in np.unique(item[place]).tolist():
+                target, own = self.words[i], self.grams[i]
+                least = spec.coverage_percent * len(target)
+                if 100 * k * int(np.isin(own, seen).sum()) < least:
                     continue  # too few seeds for the coverage
+                places = at[np.isin(runs[at], own)]
+                if 100 * k * len(places) < least:
+                    continue
                 # only the words under seeds can be in a tile; stretches are kept apart by a hash of their place
                 covered = np.zeros(len(words) + 1, bool)
                 for d in range(k):
-                    covered[np.fromiter(places, int, len(places)) + d] = True
+                    covered[places + d] = True
                 stretch = np.flatnonzero(covered)
                 gaps = np.flatnonzero(np.diff(stretch) > 1) + 1
                 text = np.insert(words[stretch], gaps, ~words[stretch[gaps]] if len(gaps) else [])
                 tiles = greedy_tiles(target, text, k)
                 marked = sum(n for n, _, _ in tiles)
-                if 100 * marked >= spec.coverage_percent * len(target):
+                if 100 * marked >= least:
                     yield i, marked, len(tiles)
 
 
