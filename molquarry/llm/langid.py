@@ -1,7 +1,8 @@
 """Language identification by mixture inference over n-gram likelihoods.
 
 Learning. For each language, the counts of hashed byte trigrams of the lower-cased texts of a sample of at most about
-`max_train` labelled documents, chosen by a hash of the row; probabilities are smoothed counts.
+`per_language` of its labelled documents, chosen by a hash of the row; a language with fewer is learnt from all of them.
+Probabilities are smoothed counts.
 
 Inference. A document is a bag of trigrams drawn from a mixture of languages. Expectation-maximisation estimates the
 proportions over all languages. Then sets of languages are compared, the largest proportion first: another language
@@ -26,6 +27,8 @@ from molquarry.llm.common import crc32_of_id, mixed
 
 LETTER = re.compile(r"[^\W\d_]")
 ROWS = 250
+#: Tasks that count the sample.
+PARTS = 16
 
 
 @dataclass(frozen=True)
@@ -33,7 +36,7 @@ class Mixture:
     """2^bits places for trigrams; limits of the sample and of the rounds; the price of a language."""
 
     bits: int = 14
-    max_train: int = 16_000
+    per_language: int = 4_000
     smoothing: float = 0.5
     rounds: int = 20
     penalty: float = 4.0
@@ -53,16 +56,26 @@ def learn(docs: DataFrame, usable: Column, spec: Mixture = Mixture()) -> tuple[l
     """(languages, probabilities [2^bits, languages]) from rows of docs(doc_id, text, lang) with a language, letters and
     `usable`. Without such rows there are no languages."""
     rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & usable)
-    share = min(1.0, spec.max_train / max(1, rows.select("doc_id").count()))
-    sample = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30))).distinct()
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).select("lang", F.least(F.lit(1 << 30), F.lit(spec.per_language * (1 << 30)) / F.col("n")).alias("share"))
+    chosen = rows.join(sizes, "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.col("share"))
+    sample = chosen.select("doc_id", "text", "lang").distinct().repartition(PARTS)
 
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(1 << spec.bits)
-        for text in pdf["text"]:
-            total += np.bincount(trigrams(text, spec.bits), minlength=1 << spec.bits)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                for lang, text in zip(part.column(2).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    own = total.setdefault(lang, np.zeros(1 << spec.bits))
+                    own += np.bincount(trigrams(text, spec.bits), minlength=1 << spec.bits)
+        yield pa.RecordBatch.from_pydict({"lang": pa.array(total.keys(), pa.string()), "counts": pa.array([c.tobytes() for c in total.values()], pa.binary())})
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.frombuffer(c) for c in pdf["counts"]], axis=0)
         return pd.DataFrame({"lang": pdf["lang"].iloc[:1], "counts": [total.tobytes()]})
 
-    found = {r["lang"]: np.frombuffer(r["counts"]) for r in sample.groupBy("lang").applyInPandas(count, "lang string, counts binary").collect()}  # one row of fixed size a language
+    parts = sample.mapInArrow(count, "lang string, counts binary")  # PARTS arrays of fixed size a language at most
+    found = {r["lang"]: np.frombuffer(r["counts"]) for r in parts.groupBy("lang").applyInPandas(add, "lang string, counts binary").collect()}  # one a language
     langs = sorted(k for k, c in found.items() if c.any())
     if not langs:
         return [], np.zeros((1 << spec.bits, 0))
@@ -163,6 +176,9 @@ def identified(docs: DataFrame, langs: list[str], p: np.ndarray, spec: Mixture =
 
 
 def language_digests(docs: DataFrame, spec: Mixture = Mixture()) -> DataFrame:
-    """Per document: doc_id, held_out, lang_pred, score, langs, shares; learnt from rows whose crc32(doc_id as text) mod 4 is not 2."""
+    """Per document: doc_id, held_out, lang_pred, score, langs, shares; learnt from rows whose crc32(doc_id as text) mod 4 is not 2.
+
+    Rows without a language or text teach nothing; a null id counts as the empty text in the crc32. Repeated rows are learnt once
+    and judged each. Texts that are null or have no letter are `und`. An empty table gives no rows."""
     langs, p = learn(docs, crc32_of_id(F.col("doc_id")) % 4 != 2, spec)
     return identified(docs, langs, p, spec).withColumn("held_out", crc32_of_id(F.col("doc_id")) % 4 == 2)
