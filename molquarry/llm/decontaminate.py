@@ -105,9 +105,9 @@ def greedy_tiles(a: np.ndarray, b: np.ndarray, k: int) -> list[tuple[int, int, i
 class Index:
     """The seeds of a block of benchmark items (id, text), by their length in words.
 
-    Tiles of k words or more that cover enough of an item hold a least number of its seeds, so a document that covers it has one of
-    any choice of all but so many seeds less one. Those that the fewest items have are looked up; a seed that many
-    items share mostly is none of them, and does not join its documents with all its items."""
+    All marked words of an item are under seeds that the document has. So a document that covers an item has a seed outside any
+    choice of seeds under which too few of the item's words are. The choice that is left out begins with the seeds that most
+    items share; only the others are looked up, so a sentence of many items does not join its documents with all of them."""
 
     def __init__(self, items: list[tuple], spec: Tiling):
         hashes = WordHashes()
@@ -119,18 +119,25 @@ class Index:
             own = [i for i, w in enumerate(self.words) if min(spec.k, len(w)) == k]
             every = np.concatenate([np.unique(self.grams[i]) for i in own])
             every.sort()
-            looked = []
-            for i in own:
-                g, n = self.grams[i], len(self.words[i])
-                shared = np.searchsorted(every, g, "right") - np.searchsorted(every, g, "left")
-                least = -(-(-(-spec.coverage_percent * n // 100)) // k)
-                looked.append(np.unique(g[np.argsort(shared, kind="stable")[: max(1, len(g) - max(1, least) + 1)]]))
+            looked = [self._rare(g := self.grams[i], np.searchsorted(every, g, "right") - np.searchsorted(every, g, "left"), len(self.words[i]), k, spec) for i in own]
             grams = np.concatenate(looked)
             order = np.argsort(grams, kind="stable")
             passing = np.zeros(1 << MAP_BITS, bool)
             passing[(every >> np.uint64(64 - MAP_BITS)).astype(np.int64)] = True
             self.seeds[k] = grams[order], np.repeat(own, [len(g) for g in looked])[order], passing, np.unique(every)
 
+    @staticmethod
+    def _rare(grams: np.ndarray, shared: np.ndarray, n: int, k: int, spec: Tiling) -> np.ndarray:
+        """The seeds that stay when the most shared ones are left out while less than the coverage of n words is under them."""
+        order = np.argsort(-shared, kind="stable").tolist()
+        under, covered = bytearray(n), 0
+        for out, p in enumerate(order):
+            covered += k - sum(under[p : p + k])
+            if 100 * covered >= spec.coverage_percent * n:
+                return np.unique(grams[order[out:]])
+            under[p : p + k] = b"\1" * k
+        return np.unique(grams)
+
     def found(self, words: np.ndarray, spec: Tiling) -> Iterator[tuple[int, int, int]]:
         """(item number, marked words, tiles) of the items that a document of these word hashes covers enough."""
         for k, (grams, item, passing, every) in self.seeds.items():
@@ -149,11 +156,12 @@ class Index:
             for i in np.unique(item[place]).tolist():
                 target, own = self.words[i], self.grams[i]
                 least = spec.coverage_percent * len(target)
-                if 100 * k * int(np.isin(own, seen).sum()) < least:
-                    continue  # too few seeds for the coverage
+                under = np.zeros(len(target) + k, bool)
+                for d in range(k):
+                    under[np.flatnonzero(np.isin(own, seen)) + d] = True
+                if 100 * int(under.sum()) < least:
+                    continue  # too few of its words are under seeds
                 places = at[np.isin(runs[at], own)]
-                if 100 * k * len(places) < least:
-                    continue
                 # only the words under seeds can be in a tile; stretches are kept apart by a hash of their place
                 covered = np.zeros(len(words) + 1, bool)
                 for d in range(k):

@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def split(text):
-    return re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").encode().lower())
+    return [w.encode() for w in split_folded(text)]
 
 
 def brute_marked(a, b, k):
@@ -112,6 +112,29 @@ def split_folded(text):
     return re.findall(r"[0-9a-z\u0080-\U0010ffff]+", unicodedata.normalize("NFC", (text or "").casefold()))
 
 
+def test_a_seed_that_all_items_share(spark):
+    """Two thousand items share a sentence; documents with it alone hold none of them."""
+    rng = random.Random(12)
+    common = " ".join(f"c{i}" for i in range(9))
+    own = [[f"o{i}x{j}" for j in range(rng.randint(12, 30))] for i in range(2000)]
+    items = [(i, " ".join([*w[:5], common, *w[5:]])) for i, w in enumerate(own)]
+    docs = [(i, f"lead {i} {common} tail") for i in range(300)] + [(1000 + i, "x " + items[i * 7][1] + " y") for i in range(20)]
+    given, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in contaminated(given, bench).collect()}
+    assert got == {(1000 + i, i * 7) for i in range(20)}
+    assert decontaminated(given, bench).count() == 300
+
+
+def test_very_long_document(spark):
+    rng = random.Random(13)
+    words = [f"w{rng.randint(0, 10**6)}" for _ in range(200_000)]
+    item = [f"q{i}" for i in range(30)]
+    words[150_000:150_000] = [*item[15:], "between", *item[:15]]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "w " * 100_000)], "doc_id long, text string")
+    items = spark.createDataFrame([(9, " ".join(item)), (8, "w " * 40)], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"], r["marked_words"]) for r in contaminated(docs, items).collect()} == {(1, 9, 30), (2, 8, 40)}
+
+
 def test_documents_without_case_against_brute_force(spark):
     docs = [(r["doc_id"], r["text"]) for r in pq.read_table(f"{SF}/documents.parquet").to_pylist() if len(split_folded(r["text"])) <= 1500]
     items = [(r["item_id"], r["text"]) for r in pq.read_table(f"{SF}/benchmark.parquet").to_pylist()]
