@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from molquarry.sources.scratch import written
+
 
 def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
     return reduce(Column.__and__, (a[k].eqNullSafe(b[k]) for k in keys))
@@ -35,8 +37,9 @@ def _paired(target: DataFrame, batch: DataFrame, keys: list[str], how: str) -> D
 
 def upsert_union_sources(target: DataFrame, batch: DataFrame, key: str, array_col: str, stamp: str, order: list[str]) -> DataFrame:
     """New keys are added; for known ones only the array (united, sorted) and the time stamp change."""
-    new = batch.groupBy(key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(array_col)))).alias("_all"))
-    rows = one_per_key(batch, [key], order).join(new, key).withColumn(array_col, F.col("_all")).drop("_all")
+    new = batch.select(key, F.explode_outer(array_col).alias("_one")).groupBy(key).agg(F.array_sort(F.collect_set("_one")).alias("_all"))
+    first = one_per_key(batch, [key], order)
+    rows = first.join(new, first[key].eqNullSafe(new[key])).drop(new[key]).withColumn(array_col, F.col("_all")).drop("_all")
     both = _paired(target, rows, [key], "full_outer")
     known, added = F.col("t").isNotNull(), F.col("b").isNotNull()
     return both.select(*(
@@ -87,15 +90,12 @@ def pending_anti(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
 def batch_keys(df: DataFrame, key: str, size: int) -> DataFrame:
     """(batch, keys): the distinct integer keys in ascending order, packed `size` to a batch.
 
-    Keys are numbered without one task seeing all of them: ranges of keys of equal width are counted, the counts before a
-    range are its offset, and each range numbers its own."""
+    Keys are numbered without one task seeing all of them: they are dealt into ranges by Spark's own sample of them, so that dense
+    stretches of keys are split; the counts of the ranges before are a range's offset, and each range numbers its own."""
     keys = df.select(F.col(key).cast("long").alias("k")).where("k is not null").distinct()
-    low, high, n = keys.agg(F.min("k"), F.max("k"), F.count("*")).first()
-    if not n:
-        return df.sparkSession.createDataFrame([], "batch long, keys array<long>")
-    width = max(1, (high - low + 1) // max(1, min(4096, n // 1000)))
-    keys = keys.withColumn("range", F.floor((F.col("k") - low) / width))
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a few thousand rows at most
+    ranges = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keys = written(keys.repartitionByRange(ranges, "k").withColumn("range", F.spark_partition_id()), "keys")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
     offsets = keys.groupBy("range").count().select("range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
     place = F.col("offset") + F.row_number().over(Window.partitionBy("range").orderBy("k")) - 1
     numbered = keys.join(offsets, "range").select("k", F.floor(place / size).alias("batch"))

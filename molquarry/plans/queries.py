@@ -37,18 +37,25 @@ def joined(column):
 FROM reactions r JOIN components c ON r.reaction_id = c.reaction_id JOIN molecules m ON c.inchikey = m.inchikey
 WHERE c.role = 'solvent' AND r.reaction_class ILIKE '%high%' AND r.yield_pct IS NOT NULL GROUP BY 1 HAVING count(*) >= 3 ORDER BY avg_yield DESC, solvent LIMIT 20""")
 def q_best_solvents(m: Model) -> DataFrame:
-    rows = m.components.drop("yield_pct").where("role = 'solvent'").join(m.reactions.where(F.col("reaction_class").ilike("%high%") & F.col("yield_pct").isNotNull()), "reaction_id").join(m.molecules, "inchikey")
-    rows = rows.groupBy(F.col("smiles").alias("solvent")).agg(F.round(F.avg("yield_pct"), 1).alias("avg_yield"), F.count("*").alias("reaction_count"), joined(F.array_sort(F.collect_set("reaction_id"))).alias("reaction_ids"))
-    return rows.where("reaction_count >= 3").orderBy(F.desc("avg_yield"), "solvent").limit(20)
+    rows = m.components.drop("yield_pct").where("role = 'solvent'").join(m.reactions.where(F.col("reaction_class").ilike("%high%") & F.col("yield_pct").isNotNull()), "reaction_id").join(m.molecules, "inchikey").withColumnRenamed("smiles", "solvent")
+    best = rows.groupBy("solvent").agg(F.round(F.avg("yield_pct"), 1).alias("avg_yield"), F.count("*").alias("reaction_count")).where("reaction_count >= 3")
+    return _with_ids(rows, best.orderBy(F.desc("avg_yield"), "solvent").limit(20), "solvent")
+
+
+def _with_ids(rows: DataFrame, top: DataFrame, key: str) -> DataFrame:
+    """A short report with the ids of its rows' reactions, which only the keys that are in it gather."""
+    top = F.broadcast(top)  # as many rows as the report
+    ids = rows.join(top.select(key), key).groupBy(key).agg(joined(F.array_sort(F.collect_set("reaction_id"))).alias("reaction_ids"))
+    return ids.join(top, key).select(*top.columns, "reaction_ids")
 
 
 @query("""SELECT m.smiles AS catalyst, count(DISTINCT r.reaction_id) AS reaction_count, round(avg(r.yield_pct), 1) AS avg_yield, array_to_string(list_sort(list_distinct(list(r.reaction_id))), ',') AS reaction_ids
 FROM reactions r JOIN components c ON r.reaction_id = c.reaction_id JOIN molecules m ON c.inchikey = m.inchikey
 WHERE c.role = 'catalyst' AND r.reaction_class ILIKE '%urgent%' GROUP BY 1 ORDER BY reaction_count DESC, catalyst LIMIT 20""")
 def q_catalysts(m: Model) -> DataFrame:
-    rows = m.components.drop("yield_pct").where("role = 'catalyst'").join(m.reactions.where(F.col("reaction_class").ilike("%urgent%")), "reaction_id").join(m.molecules, "inchikey")
-    rows = rows.groupBy(F.col("smiles").alias("catalyst")).agg(F.count_distinct("reaction_id").alias("reaction_count"), F.round(F.avg("yield_pct"), 1).alias("avg_yield"), joined(F.array_sort(F.collect_set("reaction_id"))).alias("reaction_ids"))
-    return rows.orderBy(F.desc("reaction_count"), "catalyst").limit(20)
+    rows = m.components.drop("yield_pct").where("role = 'catalyst'").join(m.reactions.where(F.col("reaction_class").ilike("%urgent%")), "reaction_id").join(m.molecules, "inchikey").withColumnRenamed("smiles", "catalyst")
+    best = rows.groupBy("catalyst").agg(F.count_distinct("reaction_id").alias("reaction_count"), F.round(F.avg("yield_pct"), 1).alias("avg_yield"))
+    return _with_ids(rows, best.orderBy(F.desc("reaction_count"), "catalyst").limit(20), "catalyst")
 
 
 @query("SELECT reaction_id, yield_pct, temperature_c, atmosphere FROM reactions WHERE reaction_class ILIKE '%medium%' AND yield_pct IS NOT NULL ORDER BY yield_pct DESC, reaction_id LIMIT 50")
@@ -788,5 +795,103 @@ def classify_counts(m: Model) -> DataFrame:
     return classify.classify_counts(m.reactions, "reaction_class")
 
 
+#: Kinds of things that a reaction's names speak of, in the order of the rules made from them.
+KINDS = ["anvil", "bolt", "gear", "gizmo", "plate", "ring", "rod", "widget"]
+#: What is used and what is made, both named, come first; a kind that is used alone is the second tier.
+NAMED = [classify.Rule(f"{a}.to_{b}", rf"\b{a}\b", rf"\b{b}\b") for a in KINDS for b in KINDS if a != b] + [classify.Rule(f"{a}.used", rf"\b{a}\b") for a in KINDS]
+
+_CLASSES = """, told AS (SELECT c.reaction_id, coalesce(string_agg(DISTINCT smiles, '.' ORDER BY smiles) FILTER (WHERE role = 'reactant'), '') AS l, coalesce(string_agg(DISTINCT smiles, '.' ORDER BY smiles) FILTER (WHERE role = 'product'), '') AS r
+  FROM components c JOIN molecules m ON c.inchikey = m.inchikey GROUP BY 1),
+classes AS (SELECT reaction_id, CASE """ + " ".join(f"WHEN regexp_matches(l, '{x.left}') AND regexp_matches(r, '{x.right}') THEN '{x.name}'" for x in NAMED if x.right) + " " + " ".join(f"WHEN regexp_matches(l, '{x.left}') THEN '{x.name}'" for x in NAMED) + " ELSE 'unclassified' END AS reaction_class FROM told)"
+
+
+def _classified(m: Model) -> DataFrame:
+    """Reactions as text, `names of reactants>>names of products`, with the class that the rules find."""
+    names = lambda role: F.array_join(F.array_sort(F.collect_set(F.when(F.col("role") == role, F.col("smiles")))), ".")
+    rows = m.components.join(m.molecules.select("inchikey", "smiles"), "inchikey").groupBy("reaction_id").agg(F.concat(names("reactant"), F.lit(">>"), names("product")).alias("text"))
+    return classify.classify_rules(rows.withColumn("reaction_class", F.lit(None).cast("string")), NAMED, "text", "reaction_class").select("reaction_id", "reaction_class")
+
+
+@query(_CLASSES + " SELECT reaction_id, reaction_class FROM classes")
+def classify_reactions(m: Model) -> DataFrame:
+    return _classified(m)
+
+
+@query(_CLASSES + " SELECT reaction_class, count(*) AS n FROM classes GROUP BY 1")
+def classify_reaction_counts(m: Model) -> DataFrame:
+    return classify.classify_counts(_classified(m), "reaction_class")
+
+
+@query(None)
+def fp_build_text(m: Model) -> DataFrame:
+    """Fingerprints of the molecules' names: hashed 3-grams, 2048 bits."""
+    rows = m.molecules.select(F.col("inchikey").alias("id"), similarity.fp_build(F.col("smiles")).alias("bits"))
+    return rows.select("id", F.size("bits").cast("long").alias("n_bits"), joined(F.col("bits")).alias("bits"))
+
+
+@query("SELECT 'CHEBI:' || p_partkey AS role_id, p_name AS name, 'is ' || p_type AS description, CASE WHEN p_partkey % 3 = 0 THEN 'CHEBI:' || (p_partkey // 3) END AS parent_id, CASE WHEN p_partkey % 2 = 0 THEN 'InChI=1S/C' || p_partkey END AS inchi FROM part WHERE p_partkey % 4 <> 1", model=False)
+def src_obo_file(m: Model) -> DataFrame:
+    """Stanzas written to files and scanned."""
+    from molquarry.sources.readers import read_obo
+
+    p = F.col("p_partkey")
+    kind = F.when(p % 4 == 1, "OTHER:").otherwise("CHEBI:")
+    known = F.when(p % 2 == 0, F.concat(F.lit("xref: InChI=1S/C"), p))
+    stanza = F.concat_ws("\n", F.lit("[Term]"), F.concat(F.lit("id: "), kind, p), F.concat(F.lit("name: "), "p_name"), F.concat(F.lit('def: "is '), "p_type", F.lit('" []')), F.when(p % 3 == 0, F.concat(F.lit("is_a: OTHER:1\nis_a: CHEBI:"), (p / 3).cast("long"))), known)
+    folder = _folder(m, "obo")
+    m.table("part").select(F.concat(stanza, F.lit("\n")).alias("value")).write.text(folder)
+    return read_obo(m.spark, folder)
+
+
+@query("SELECT event_id, event_type AS kind, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events WHERE event_id % 10 > 1", model=False)
+def src_jsonl_file(m: Model) -> DataFrame:
+    """JSON lines, some blank or malformed, written to files and scanned."""
+    from molquarry.sources.readers import read_jsonl
+
+    whole = F.to_json(F.struct("event_id", F.col("event_type").alias("kind"), F.get_json_object("props", "$.k").cast("int").alias("k")))
+    line = F.when(F.col("event_id") % 10 == 0, "").when(F.col("event_id") % 10 == 1, "{bad").otherwise(whole)
+    folder = _folder(m, "jsonl")
+    m.table("events").select(line.alias("value")).write.text(folder)
+    return read_jsonl(m.spark, folder, "event_id long, kind string, k int")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 'a \"q\", ' || c_name END AS name, c_custkey || ',' || c_nationkey AS keys FROM customer", model=False)
+def sink_json(m: Model) -> DataFrame:
+    """The rows that come back from JSON files."""
+    from molquarry.sources.readers import write_json
+
+    rows = m.table("customer").select("c_custkey", F.when(F.col("c_custkey") % 3 != 0, F.concat(F.lit('a "q", '), "c_name")).alias("name"), F.array("c_custkey", F.col("c_nationkey").cast("long")).alias("keys"))
+    folder = _folder(m, "json")
+    write_json(rows, folder)
+    back = m.spark.read.schema(rows.schema).json(folder)
+    return back.select("c_custkey", "name", joined(F.col("keys")).alias("keys"))
+
+
+@query("""SELECT inchikey, iupac_name, mol_weight, (SELECT count(*) FROM molecules WHERE iupac_name ILIKE '%ECO%') AS total FROM molecules WHERE iupac_name ILIKE '%ECO%'
+ORDER BY mol_weight NULLS LAST, inchikey LIMIT 20 OFFSET 10""")
+def browse_molecules_named(m: Model) -> DataFrame:
+    rows = results.browse(m.molecules, "iupac_name", "eco").select("inchikey", "iupac_name", "mol_weight")
+    return results.page(rows, [F.asc_nulls_last("mol_weight"), F.asc("inchikey")], 20, 10)
+
+
+@query(_PAIRS + """, both_ways AS (SELECT a AS id, b AS other, similarity FROM similar_to UNION ALL SELECT b, a, similarity FROM similar_to)
+SELECT id, other, similarity FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, other) AS r FROM both_ways WHERE id % 2 = 0) WHERE r <= 20""")
+def graph_neighbours_even(m: Model) -> DataFrame:
+    return paths.neighbours(similarity.similar_edges(m.shingles, 85, 100), m.shingles.where("id % 2 = 0").select("id"), 20)
+
+
+@query("SELECT 'completed' AS status, count(*) AS read, count(*) FILTER (WHERE event_id % 7 > 1) AS loaded, count(*) FILTER (WHERE event_id % 7 = 1) AS skipped, count(*) FILTER (WHERE event_id % 7 = 0) AS failed, least(100, count(*) FILTER (WHERE event_id % 7 = 0)) AS logged FROM events", model=False)
+def ingest_status(m: Model) -> DataFrame:
+    """Status and counts of a load in which some rows are skipped and some fail."""
+    from molquarry.streaming.microbatch import ingest_microbatch as run
+    from molquarry.streaming.microbatch import load_status
+
+    k = F.col("event_id") % 7
+    status = F.when(k == 0, "failed").when(k == 1, "skipped").otherwise("loaded")
+    folder = _folder(m, "ingest")
+    run(m.spark, f"{m.sf_dir}/events.parquet*", m.table("events").schema, lambda b: b.select("event_id", "event_type", "ts", status.alias("status"), F.when(k == 0, F.concat(F.lit("bad "), "event_id")).alias("error")), ["event_id"], ["ts"], folder)
+    return load_status(m.spark, folder).select("status", "read", "loaded", "skipped", "failed", F.size("errors").cast("long").alias("logged"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["q_best_solvents"](spark, sf_dir)

@@ -1,36 +1,73 @@
-"""Incremental ingest: a file stream in micro-batches, each turning the last snapshot into the next."""
+"""Incremental ingest: a file stream in micro-batches, each adding the keys that are new to a table that only grows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from molquarry.operators.upsert import insert_absent
 
+#: Errors of a batch that its log keeps, as a load's log is for reading; all are counted.
+LOGGED = 100
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
 
 def ingest_microbatch(spark: SparkSession, source: str, schema, transform: Callable[[DataFrame], DataFrame], keys: list[str], order: list[str], folder: str, files_per_batch: int = 1) -> DataFrame:
-    """Reads all files of `source` that the checkpoint in `folder` does not know yet, `files_per_batch` at a time; each batch inserts
-    its absent keys into the snapshot and writes the next one under its batch id, so a replayed batch writes the same
-    snapshot again. Returns the last snapshot; folder/stats has a row a batch."""
-    snapshot = lambda b: f"{folder}/snapshot/{b}"
+    """Reads all files of `source` that the checkpoint in `folder` does not know yet, `files_per_batch` at a time. A batch writes the
+    first row (by `order`) of each of its keys that no earlier batch has to folder/rows/batch=<id>: only the keys of
+    earlier batches are read, nothing is written twice, and a replayed batch replaces its own rows alone. Returns all rows.
 
-    def exists(path: str) -> bool:
-        p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-        return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    `transform` may give rows a status ('loaded', 'skipped' or 'failed') and an error text; only loaded ones are inserted.
+    Null keys are keys like others. folder/stats has a row a batch, folder/errors up to LOGGED errors of each; see
+    load_progress and load_status. If a batch fails, the load's status is 'failed' and the error is raised."""
+    table, stats, errors = f"{folder}/rows", f"{folder}/stats", f"{folder}/errors"
 
     def flush(batch: DataFrame, batch_id: int) -> None:
         rows = transform(batch)
-        before = batch_id - 1
-        while before >= 0 and not exists(snapshot(before)):
-            before -= 1
-        target = spark.read.parquet(snapshot(before)) if before >= 0 else rows.limit(0)
-        insert_absent(target, rows, keys, order).write.mode("overwrite").parquet(snapshot(batch_id))
-        batch.agg(F.lit(batch_id).alias("batch_id"), F.count("*").alias("read")).write.mode("overwrite").parquet(f"{folder}/stats/batch={batch_id}")
+        status = F.col("status") if "status" in rows.columns else F.lit("loaded")
+        error = F.col("error") if "error" in rows.columns else F.lit(None)
+        rows = rows.select(*(c for c in rows.columns if c not in ("status", "error")), status.alias("_status"), error.cast("string").alias("_error")).persist()
+        loaded = rows.where("_status = 'loaded'").drop("_status", "_error")
+        known = spark.read.parquet(table).where(F.col("batch") < batch_id).select(*keys) if _exists(spark, table) else loaded.select(*keys).limit(0)
+        empty = [F.lit(None).cast(loaded.schema[c].dataType).alias(c) for c in loaded.columns if c not in keys]
+        # the known keys alone stand for the table: what is inserted is what is not among them
+        marked = known.select(*keys, *empty, F.lit(True).alias("_known"))
+        fresh = insert_absent(marked, loaded.withColumn("_known", F.lit(False)), keys, order).where("not _known").drop("_known")
+        fresh.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+        counts = [F.count_if(F.col("_status") == s).alias(s) for s in ("loaded", "skipped", "failed")]
+        rows.agg(F.count("*").alias("read"), *counts).write.mode("overwrite").parquet(f"{stats}/batch={batch_id}")
+        failed = rows.where("_status = 'failed'").select(F.to_json(F.struct(*keys)).alias("item"), F.col("_error").alias("error"))
+        failed.orderBy("item", "error").limit(LOGGED).write.mode("overwrite").parquet(f"{errors}/batch={batch_id}")
+        rows.unpersist()
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     query = stream.writeStream.foreachBatch(flush).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    done = spark.read.parquet(f"{folder}/stats").agg(F.max("batch_id")).first()[0]
-    return spark.read.parquet(snapshot(done))
+    state = "failed"
+    try:
+        query.awaitTermination()
+        state = "completed"
+    finally:
+        spark.range(1).select(F.lit(state).alias("status")).write.mode("overwrite").parquet(f"{folder}/status")
+    return spark.read.parquet(table).drop("batch")
+
+
+def load_progress(spark: SparkSession, folder: str) -> DataFrame:
+    """(batch_id, read, loaded, skipped, failed, loaded_so_far, skipped_so_far, failed_so_far): one row a batch."""
+    so_far = Window.orderBy("batch_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # one row a batch
+    names = ("loaded", "skipped", "failed")
+    rows = spark.read.parquet(f"{folder}/stats").withColumnRenamed("batch", "batch_id")
+    return rows.select("batch_id", "read", *names, *(F.sum(c).over(so_far).alias(f"{c}_so_far") for c in names))
+
+
+def load_status(spark: SparkSession, folder: str) -> DataFrame:
+    """One row: status ('completed' or 'failed'), the counts of all batches, and the first LOGGED errors."""
+    totals = spark.read.parquet(f"{folder}/stats").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("read", "loaded", "skipped", "failed")))
+    log = spark.read.schema("item string, error string").parquet(f"{folder}/errors").orderBy("item", "error").limit(LOGGED)
+    log = log.agg(F.array_sort(F.collect_list(F.struct("item", "error"))).alias("errors"))
+    return spark.read.parquet(f"{folder}/status").join(F.broadcast(totals)).join(F.broadcast(log))  # one row each
