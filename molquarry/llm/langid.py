@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from molquarry.llm.common import crc32_of_id, mixed
+from molquarry.llm.common import crc32_of_id, mixed, written
 
 LETTER = re.compile(r"[^\W\d_]")
 ROWS = 250
-#: Tasks that count the sample.
-PARTS = 16
+#: Tasks that count the sample; languages up to which their sizes are sent to all tasks.
+PARTS, SENT = 16, 100_000
 
 
 @dataclass(frozen=True)
@@ -57,7 +57,8 @@ def learn(docs: DataFrame, usable: Column, spec: Mixture = Mixture()) -> tuple[l
     `usable`. Without such rows there are no languages."""
     rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & usable)
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).select("lang", F.least(F.lit(1 << 30), F.lit(spec.per_language * (1 << 30)) / F.col("n")).alias("share"))
-    chosen = rows.join(sizes, "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.col("share"))
+    sizes = written(sizes, "languages")
+    chosen = rows.join(F.broadcast(sizes) if sizes.count() <= SENT else sizes, "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.col("share"))
     sample = chosen.select("doc_id", "text", "lang").distinct().repartition(PARTS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
