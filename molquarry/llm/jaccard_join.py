@@ -1,7 +1,8 @@
 """N-gram Jaccard self-join with adaptive multi-match prefixes, and the components of its links.
 
 Sets. A text's set is its distinct k-word shingles as 64-bit hashes (shingles.py); documents with equal sets are one
-node of the join, named by a 128-bit hash of the set, so exact copies never meet as pairs.
+node of the join, named by a 128-bit hash of the set, so exact copies never meet as pairs. Half of that name is enough to
+find candidates: where two sets share it, both are verified.
 
 Order. Shingles are ordered from rare to frequent by a sketch of document frequencies: counts in 2^bits hash buckets
 over all documents, of a fixed size whatever the input's. Any order is right; rare-first makes prefixes selective.
@@ -114,19 +115,13 @@ def _node(shingles: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None
 
 
-def _pairs_of_long(column: pa.Array) -> np.ndarray:
-    """A column of 16-byte values as rows of two int64."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.int64).reshape(-1, 2)
-
-
-def _binary(x: np.ndarray) -> pa.Array:
-    """Rows of two int64 as a column of 16-byte values."""
-    ends = np.arange(0, 16 * len(x) + 1, 16, dtype=np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(x).tobytes())])
+def _half(node: bytes) -> int:
+    """The half of a node's name that candidates are found by."""
+    return int.from_bytes(node[:8], "big", signed=True)
 
 
 def prefixes(docs: DataFrame, sketch: np.ndarray, join: JaccardJoin) -> DataFrame:
-    """Per row of docs(doc_id, text): doc_id, n, node, matches (the chosen l), cold (prefix shingles that look unshared) and
+    """Per row of docs(doc_id, text): doc_id, n, node, half (see _half), matches (the chosen l), cold (prefix shingles that look unshared) and
     tokens, its prefix in order; tokens are null where the same batch has had the same set before."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)  # 2^sketch_bits counts
     shift = np.uint64(64 - join.sketch_bits)
@@ -136,7 +131,7 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, join: JaccardJoin) -> DataFram
         usual = float(counts.mean() + 3 * np.sqrt(counts.mean())) if len(counts) else 0.0
         seen: set[bytes] = set()
         for part, sets in shingle_sets(batches, 1, join.k):
-            out = {"n": [], "node": [], "matches": [], "cold": [], "tokens": []}
+            out = {"n": [], "node": [], "half": [], "matches": [], "cold": [], "tokens": []}
             for s in sets:
                 n, node, tokens, matches, cold = len(s), _node(s), None, 1, 0
                 if n and node not in seen:
@@ -153,17 +148,17 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, join: JaccardJoin) -> DataFram
                     if len(seen) > 500_000:
                         seen.clear()
                     seen.add(node)
-                for name, v in zip(out, (n, node, matches, cold, tokens), strict=True):
+                for name, v in zip(out, (n, node, node and _half(node), matches, cold, tokens), strict=True):
                     out[name].append(v)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), *(pa.array(out[c], t) for c, t in (("n", pa.int64()), ("node", pa.binary()), ("matches", pa.int32()), ("cold", pa.int32()), ("tokens", pa.list_(pa.int64()))))],
+                [part.column(0), *(pa.array(out[c], t) for c, t in (("n", pa.int64()), ("node", pa.binary()), ("half", pa.int64()), ("matches", pa.int32()), ("cold", pa.int32()), ("tokens", pa.list_(pa.int64()))))],
                 names=["doc_id", *out],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, node binary, matches int, cold int, tokens array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, node binary, half long, matches int, cold int, tokens array<long>")
 
 
-PAIR = "kind int, token long, a binary, b binary, matches int, n long, pos int"
+PAIR = "kind int, token long, a long, b long, matches int, n long, pos int"
 #: Kinds of rows: a prefix match of two documents; a pair with a pivot; a member of a long list (a) with its n, pos, matches.
 MATCH, STAR, MEMBER = 0, 1, 2
 
@@ -175,24 +170,24 @@ def _lists(rows: DataFrame, join: JaccardJoin) -> DataFrame:
     def matched(x: dict, i: np.ndarray, j: np.ndarray, kind: int) -> pa.RecordBatch:
         n, m, l = x["n"][i], x["n"][j], np.minimum(x["matches"][i], x["matches"][j])
         least = join.least_shared(n + m)
-        good = (join.den * np.minimum(n, m) >= join.num * np.maximum(n, m)) & (x["node"][i] != x["node"][j]).any(axis=1)
+        good = (join.den * np.minimum(n, m) >= join.num * np.maximum(n, m)) & (x["node"][i] != x["node"][j])
         good &= (x["pos"][i] <= n - least + l) & (x["pos"][j] <= m - least + l)
         i, j, l = i[good], j[good], l[good]
         return made(kind, x["token"][i], x["node"][i], x["node"][j], l, x["n"][i], x["pos"][i])
 
     def made(kind: int, token, a, b, l, n, pos) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(a), kind, np.int32)), "token": pa.array(token), "a": _binary(a), "b": _binary(b), "matches": pa.array(l.astype(np.int32)), "n": pa.array(n), "pos": pa.array(pos.astype(np.int32))})
+        return pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(a), kind, np.int32)), "token": pa.array(token), "a": pa.array(a), "b": pa.array(b), "matches": pa.array(l.astype(np.int32)), "n": pa.array(n), "pos": pa.array(pos.astype(np.int32))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["token", "cold", "node", "n", "pos", "matches"]
-        held = {c: np.zeros((0, 2) if c == "node" else 0, np.int64) for c in names}  # the rows of the last token so far, at most `limit`
+        held = {c: np.zeros(0, np.int64) for c in names}  # the rows of the last token so far, at most `limit`
         long_list = None  # the pivots of a list that is being streamed
         limit = 4096
 
         def whole(x: dict, last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, long_list
             fresh = np.ones(len(x["token"]), bool)
-            fresh[1:] = (x["token"][1:] != x["token"][:-1]) | (x["node"][1:] != x["node"][:-1]).any(axis=1)  # copies of a set from other batches
+            fresh[1:] = (x["token"][1:] != x["token"][:-1]) | (x["node"][1:] != x["node"][:-1])  # copies of a set from other batches
             x = {c: v[fresh] for c, v in x.items()}
             if long_list is not None and len(x["token"]):
                 own = x["token"] == long_list["token"][0]
@@ -238,7 +233,7 @@ def _lists(rows: DataFrame, join: JaccardJoin) -> DataFrame:
                 yield matched(y, np.full(len(x["token"]), p), np.arange(k, k + len(x["token"])), STAR)
 
         for batch in batches:
-            new = {n: _pairs_of_long(c) if n == "node" else c.to_numpy(zero_copy_only=False).astype(np.int64) for n, c in zip(names, batch.columns, strict=True)}
+            new = dict(zip(names, (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns), strict=True))
             yield from whole({c: np.concatenate([held[c], new[c]]) for c in names}, False)
         yield from whole(held, True)
 
@@ -246,48 +241,48 @@ def _lists(rows: DataFrame, join: JaccardJoin) -> DataFrame:
 
 
 def candidate_sets(docs: DataFrame, ids: DataFrame, join: JaccardJoin) -> DataFrame:
-    """(node, shingles array<long>) of the nodes in `ids`: texts are read once more, a bitmap of the ids lets through
-    what may be one, and the join makes it exact."""
+    """(id, node, shingles array<long>) of the nodes whose half names are in `ids` (id): texts are read once more, a bitmap of the ids
+    lets through what may be one, and the join makes it exact."""
     ids = written(ids.distinct(), "candidates")
     rows = docs.select(F.col("doc_id"), "text")
-    bits, bitmap = places_filter(ids, "id")
+    bits, bitmap = places_filter(ids, F.col("id").cast("string").cast("binary"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         mask = (1 << bits) - 1
         for _, sets in shingle_sets(batches, 1, join.k):
             own = [(node, s) for s in sets if (node := _node(s)) is not None and node not in seen]
-            likely = passes(np.array([zlib.crc32(node) & mask for node, _ in own], np.int64), shared.value)
+            likely = passes(np.array([zlib.crc32(b"%d" % _half(node)) & mask for node, _ in own], np.int64), shared.value)
             found = {node: s for (node, s), good in zip(own, likely, strict=True) if good}
             seen.update(found)
             if len(seen) > 500_000:
                 seen.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array([_signed(s) for s in found.values()], pa.list_(pa.int64()))], names=["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array([_half(n) for n in found], pa.int64()), pa.array(found.keys(), pa.binary()), pa.array([_signed(s) for s in found.values()], pa.list_(pa.int64()))], names=["id", "node", "shingles"])
 
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)  # 2^bits places, bounded
-    found = rows.mapInArrow(run, "node binary, shingles array<long>").join(ids.withColumnRenamed("id", "node"), "node", "left_semi")
-    sets = written(found.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    found = rows.mapInArrow(run, "id long, node binary, shingles array<long>").join(ids, "id", "left_semi")
+    sets = written(found.groupBy("id", "node").agg(F.first("shingles").alias("shingles")), "sets")
     discard(ids)
     return sets
 
 
 def verified(pairs: DataFrame, sets: DataFrame, join: JaccardJoin) -> DataFrame:
-    """(a, b, shared, size_a, size_b) of the pairs (a, b) that link. Pairs are 32 bytes each: up to `sent_pairs` of them go to
-    all tasks and the sets of one side stay where they are; more are shuffled."""
-    x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    """(a, b, node_a, node_b, shared, size_a, size_b) of the pairs (a, b) that link. Pairs are 16 bytes each: up to `sent_pairs` of them
+    go to all tasks and the sets of one side stay where they are; more are shuffled."""
+    x = sets.select(F.col("id").alias("a"), F.col("node").alias("node_a"), F.col("shingles").alias("x"))
+    y = sets.select(F.col("id").alias("b"), F.col("node").alias("node_b"), F.col("shingles").alias("y"))
     both = x.join(F.broadcast(pairs) if pairs.count() <= join.sent_pairs else pairs, "a").join(y, "b")
-    both = both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("shared"), F.size("x").cast("long").alias("size_a"), F.size("y").cast("long").alias("size_b"))
-    return both.where(f"{join.den} * shared >= {join.num} * (size_a + size_b - shared)")
+    sizes = F.size(F.array_intersect("x", "y")).cast("long").alias("shared"), F.size("x").cast("long").alias("size_a"), F.size("y").cast("long").alias("size_b")
+    return both.select("a", "b", "node_a", "node_b", *sizes).where(f"{join.den} * shared >= {join.num} * (size_a + size_b - shared)")
 
 
 def linked_nodes(docs: DataFrame, join: JaccardJoin = JaccardJoin()) -> tuple[DataFrame, DataFrame]:
     """(nodes, links) of docs(doc_id, text): nodes has doc_id, n and node (null for an empty set) of every row; links has
-    verified pairs (a, b, shared, size_a, size_b) of nodes that connect each component of the threshold graph."""
+    verified pairs (node_a, node_b, shared, size_a, size_b) that connect each component of the threshold graph."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketch = frequency_sketch(docs.select("text"), join)
     table = written(prefixes(docs, sketch, join), "prefixes")
-    tokens = table.where("tokens is not null").select("cold", "node", "n", "matches", F.posexplode("tokens").alias("pos", "token"))
+    tokens = table.where("tokens is not null").select("cold", F.col("half").alias("node"), F.col("n").cast("int").alias("n"), "matches", F.posexplode("tokens").alias("pos", "token"))
     tokens = tokens.select("token", "cold", "node", "n", (F.col("pos") + 1).alias("pos"), "matches")
     rows = written(_lists(tokens.repartition("token").sortWithinPartitions("token", "cold", "node"), join), "lists")
     nodes = written(table.select("doc_id", "n", "node"), "nodes")
@@ -354,7 +349,7 @@ def jaccard_components(docs: DataFrame, join: JaccardJoin = JaccardJoin()) -> Da
     that repeat a doc_id are rows of their own; a null doc_id is reported as null and is never the smallest of a group
     that has another. Only doc_id and text are read. An empty table gives no rows."""
     nodes, links = linked_nodes(docs, join)
-    known = components(links.select("a", "b"))
+    known = components(links.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
     rows = nodes.join(known.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return rows.join(least, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -179,7 +179,7 @@ def parse(docs: DataFrame, spec: Repeats) -> DataFrame:
 
 def _likely(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """The rows of docs(row, ...) whose key passes a bitmap of the keys in the written table `keys`: all that are meant, few others."""
-    bits, bitmap = places_filter(keys, "row")
+    bits, bitmap = places_filter(keys, F.col("row"))
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)  # 2^bits places, bounded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,7 +350,7 @@ def repeat_digests(docs: DataFrame, spec: Repeats = Repeats()) -> DataFrame:
     with null ids count as all others. Other columns are not read. An empty table gives no rows."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spans = repeated_spans(rows.select(row_key().alias("row"), "text"), spec)
-    bits, bitmap = places_filter(spans, "row")
+    bits, bitmap = places_filter(spans, F.col("row"))
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)  # 2^bits places, bounded
 
     def looked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # texts without spans are not shuffled
