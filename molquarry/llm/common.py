@@ -35,9 +35,9 @@ def place_of(key: Column, bits: int) -> Column:
 
 
 def places_filter(keys: DataFrame, key: Column) -> tuple[int, np.ndarray]:
-    """(bits, bitmap of 2^bits places as 64-bit words) of the binary keys of a written table: about 8 places a key, 2^30 places (128 MB) at
+    """(bits, bitmap of 2^bits places as 64-bit words) of the binary keys of a written table: about 64 places a key, 2^30 places (128 MB) at
     most. What passes it may be one of the keys; a join has to make that exact."""
-    bits = min(30, max(16, (8 * keys.count()).bit_length()))
+    bits = min(30, max(16, (64 * keys.count()).bit_length()))
     places = keys.select(place_of(key, bits).alias("place"))
     words = places.groupBy(F.expr("cast(place div 64 as int)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(place % 64 as int)))").alias("v"))
     parts = words.groupBy(F.expr("word div 4096").alias("p")).agg(F.collect_list("word").alias("w"), F.collect_list("v").alias("v"))

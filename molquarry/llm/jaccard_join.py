@@ -268,10 +268,13 @@ def candidate_sets(docs: DataFrame, ids: DataFrame, join: JaccardJoin) -> DataFr
 
 def verified(pairs: DataFrame, sets: DataFrame, join: JaccardJoin) -> DataFrame:
     """(a, b, node_a, node_b, shared, size_a, size_b) of the pairs (a, b) that link. Pairs are 16 bytes each: up to `sent_pairs` of them
-    go to all tasks and the sets of one side stay where they are; more are shuffled."""
+    go to all tasks, the sets of one side stay where they are and only the sets that pairs need on the other are shuffled;
+    more are shuffled."""
     x = sets.select(F.col("id").alias("a"), F.col("node").alias("node_a"), F.col("shingles").alias("x"))
     y = sets.select(F.col("id").alias("b"), F.col("node").alias("node_b"), F.col("shingles").alias("y"))
-    both = x.join(F.broadcast(pairs) if pairs.count() <= join.sent_pairs else pairs, "a").join(y, "b")
+    if pairs.count() <= join.sent_pairs:
+        y, pairs = y.join(F.broadcast(pairs.select("b").distinct()), "b", "left_semi"), F.broadcast(pairs)
+    both = x.join(pairs, "a").join(y, "b")
     sizes = F.size(F.array_intersect("x", "y")).cast("long").alias("shared"), F.size("x").cast("long").alias("size_a"), F.size("y").cast("long").alias("size_b")
     return both.select("a", "b", "node_a", "node_b", *sizes).where(f"{join.den} * shared >= {join.num} * (size_a + size_b - shared)")
 
