@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Folders made for local sessions, by application.
 _LOCAL: dict[str, str] = {}
+#: Tables made within each settled() that is under way, the innermost last.
+_MADE: list[list[DataFrame]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,6 +37,21 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._written_path = path
+    if _MADE:
+        _MADE[-1].append(table)
+    return table
+
+
+def settled(make: Callable[[], DataFrame], tag: str) -> DataFrame:
+    """The result of make() as a new table; all other tables that were written for it are deleted."""
+    _MADE.append([])
+    try:
+        table = written(make(), tag)
+    finally:
+        made = _MADE.pop()
+    discard(*(t for t in made if t is not table))
+    if _MADE:
+        _MADE[-1].append(table)
     return table
 
 
