@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from molquarry.sources.scratch import discard, fresh_path, shared_dir, written  # noqa: F401
+from molquarry.sources.scratch import discard, fresh_path, settled, shared_dir, written  # noqa: F401
 
 #: Distinct words whose hashes a task keeps; a task that meets more starts the table again.
 WORD_CACHE = 300_000

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from molquarry.llm.common import discard, passes, places_filter, written
+from molquarry.llm.common import discard, passes, places_filter, settled, written
 from molquarry.llm.components import components
 from molquarry.llm.shingles import shingle_sets
 
@@ -351,6 +351,10 @@ def jaccard_components(docs: DataFrame, join: JaccardJoin = JaccardJoin()) -> Da
     Null and empty texts and texts without words have an empty set, link with nothing and are their own component. Rows
     that repeat a doc_id are rows of their own; a null doc_id is reported as null and is never the smallest of a group
     that has another. Only doc_id and text are read. An empty table gives no rows."""
+    return settled(lambda: _components_of(docs, join), "components")
+
+
+def _components_of(docs: DataFrame, join: JaccardJoin) -> DataFrame:
     nodes, links = linked_nodes(docs, join)
     known = components(links.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
     rows = nodes.join(known.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))

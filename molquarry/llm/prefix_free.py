@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from molquarry.llm.common import discard, mixed, passes, place_of, places_filter, text_slices, written
+from molquarry.llm.common import discard, mixed, passes, place_of, places_filter, settled, text_slices, written
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -348,6 +348,10 @@ def repeat_digests(docs: DataFrame, spec: Repeats = Repeats()) -> DataFrame:
 
     Null texts are empty. Rows that repeat id and text are each other's repeats, as are overlapping places in one text; rows
     with null ids count as all others. Other columns are not read. An empty table gives no rows."""
+    return settled(lambda: _digests(docs, spec), "digests")
+
+
+def _digests(docs: DataFrame, spec: Repeats) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spans = repeated_spans(rows.select(row_key().alias("row"), "text"), spec)
     bits, bitmap = places_filter(spans, F.col("row"))

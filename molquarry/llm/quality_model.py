@@ -156,7 +156,11 @@ def learned_model(spark: SparkSession, sf_dir: str, settings: Ftrl = Ftrl()) ->
 
 
 def quality_digests(spark: SparkSession, sf_dir: str, settings: Ftrl = Ftrl()) -> DataFrame:
-    """Per document: doc_id, held_out, score, predicted."""
+    """Per document: doc_id, held_out, score, predicted (1 from a score of just 0.5 on).
+
+    Null and empty texts get the bias alone; a null id counts as the empty text in the crc32 and has no label. Repeated rows are
+    scored each; of labels that disagree none is used. Very long texts are read whole. Other columns are not read. An
+    empty table gives no rows."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality_scores(docs, learned_model(spark, sf_dir, settings), settings)
     held_out = crc32_of_id(F.col("doc_id")) % 3 == 1

@@ -22,13 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from molquarry.llm.common import written
-
 ROWS = 500
 #: Distinct words that a task counts before it hands the counts on.
 COUNTED = 300_000
 SYMBOLS = re.compile(rb"[#*$%&|<>]")
-#: Classes of bytes; the bytes of a character outside ASCII are a class each by their lead, continuation bytes apart.
+#: Classes of characters, told by their bytes: of a character outside ASCII the lead byte is of one class, the others of another.
 CLASSES = 12
 
 
@@ -202,5 +200,9 @@ def judged(docs: DataFrame, known: dict, rules: Rules = Rules()) -> DataFrame:
 
 
 def quality_digests(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """The rules with references from `docs` itself."""
+    """The rules with references from `docs` (doc_id, lang, text) itself; rows as judged() gives them.
+
+    Null texts have no words and fail. Rows without a language teach nothing and are held against the nearest reference. Repeated
+    rows count each in the references and are judged alike; of equally frequent words the smaller is common. Very long
+    texts count whole. Other columns are not read. An empty table gives no rows."""
     return judged(docs, references(docs, rules), rules)

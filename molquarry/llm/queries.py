@@ -16,42 +16,52 @@ from molquarry.llm.token_bin import token_digests
 
 
 def op1_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written to ZIP packages of WARC records and read back; nulls and repeated rows as warc_zip.page_digests says."""
     return warc_zip.page_digests(spark, read_table(spark, sf_dir, "pages"))
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicates of all documents; nulls, empty texts and repeated ids as jaccard_components says."""
     return jaccard_components(read_table(spark, sf_dir, "documents"))
 
 
 def op3_sentencepiece_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document; null and empty texts have none, see encode_pieces."""
     return encode_pieces(read_table(spark, sf_dir, "documents"))
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; null and letterless texts are `und`, see language_digests."""
     return language_digests(read_table(spark, sf_dir, "documents"))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the benchmark items found in them; null and wordless texts have none, see contaminated."""
     return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation from every participant's side; null roles, texts, turns and ids as chat.perspectives says."""
     return chat.perspective_digests(read_table(spark, sf_dir, "conversations"))
 
 
 def op7_prefix_free(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What repeated 200-byte strings leave of every document; null texts are empty, see repeat_digests."""
     return repeat_digests(read_table(spark, sf_dir, "documents"))
 
 
 def op8_token_bin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids in the token files; null texts are empty, null ids come first, see token_digests."""
     return token_digests(spark, read_table(spark, sf_dir, "documents"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document; null texts have no words, see quality_digests of the rules."""
     return quality_rules.quality_digests(read_table(spark, sf_dir, "documents"))
 
 
 def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; null texts get the bias alone, see quality_digests of the model."""
     return quality_digests(spark, sf_dir)
 
 

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from molquarry.llm.common import fresh_path, local_path, written
+from molquarry.llm.common import fresh_path, local_path, settled, written
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 #: Signatures and fixed sizes of the ZIP format.
@@ -246,7 +246,7 @@ def page_digests(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """Writes `pages` (page_id, url, html) to packages and reads them back: page_id, payload_bytes, payload_digest,
     record_type, refers_to. A null html is an empty payload, a null page_id stays null, repeated rows are records each.
     Other columns are not read. An empty table gives no rows."""
-    packages = write_packages(with_revisits(pages), fresh_path(spark, "warc"))
+    packages = settled(lambda: write_packages(with_revisits(pages), fresh_path(spark, "warc")), "packages")
     return read_packages(packages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
