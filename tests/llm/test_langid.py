@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -52,3 +53,56 @@ def test_odd_rows(spark):
     assert {r["lang_pred"] for r in none} == {"und"}
     assert language_digests(docs.limit(0)).collect() == []
     assert not len(trigrams("1 2", 10))
+
+
+def plain_mixture(counts, p, spec):
+    """(shares over all languages, chosen set's shares) of one bag {place: count}, number by number."""
+    languages, total = len(p[0]), sum(counts.values())
+
+    def em(share):
+        for _ in range(spec.rounds):
+            new = [0.0] * languages
+            for g, c in counts.items():
+                mix = sum(a * b for a, b in zip(p[g], share))
+                new = [x + c * a * b / mix for x, a, b in zip(new, p[g], share)]
+            share = [x / total for x in new]
+        return share
+
+    def likelihood(share):
+        return sum(c * math.log(sum(a * b for a, b in zip(p[g], share))) for g, c in counts.items())
+
+    whole = em([1 / languages] * languages)
+    order = sorted(range(languages), key=lambda k: -whole[k])
+    chosen = [float(k == order[0]) for k in range(languages)]
+    best = likelihood(chosen)
+    for size in range(2, languages + 1):
+        start = [max(whole[k], 1e-3) if k in order[:size] else 0.0 for k in range(languages)]
+        share = em([x / sum(start) for x in start])
+        if likelihood(share) - best <= spec.penalty * math.log(max(total, 2)):
+            break
+        chosen, best = share, likelihood(share)
+    return whole, chosen
+
+
+def test_choice_of_sets_against_a_plain_one():
+    rng = np.random.default_rng(5)
+    spec = Mixture(rounds=60, settled=0.0)
+    p = rng.random((80, 4)) ** 4 + 1e-4
+    p /= p.sum(axis=0)
+    mixes = [[1, 0, 0, 0], [0.5, 0.5, 0, 0], [0, 0.9, 0.1, 0], [0.3, 0.3, 0.4, 0], [0.25] * 4, [0, 0, 0.02, 0.98]]
+    places = [rng.choice(80, n, p=p @ np.array(m)) for m in mixes for n in (3, 60, 900)]
+    everything, chosen = mixtures(Bags(places, p), spec)
+    sizes = set()
+    for x, whole, own in zip(places, everything, chosen):
+        want, best = plain_mixture(dict(zip(*(v.tolist() for v in np.unique(x, return_counts=True)))), p.tolist(), spec)
+        assert np.allclose(whole, want, atol=1e-6) and np.allclose(own, best, atol=1e-6)
+        sizes.add(sum(v > 0 for v in best))
+    assert sizes >= {1, 2, 3}
+
+
+def test_rare_language_is_learnt_whole(spark):
+    docs = spark.createDataFrame([(i, f"abc def ghi {i}", "a") for i in range(300)] + [(1000 + i, f"xyz uvw {i}", "b") for i in range(3)], "doc_id long, text string, lang string")
+    langs, p = learn(docs, F.lit(True), Mixture(per_language=20, bits=10))
+    assert langs == ["a", "b"] and np.allclose(p.sum(axis=0), 1)
+    got = {r["doc_id"]: r["lang_pred"] for r in identified(docs, langs, p, Mixture(bits=10)).collect()}
+    assert all(v == ("a" if i < 1000 else "b") for i, v in got.items())

@@ -1,9 +1,12 @@
+import math
+import random
 import zlib
 
 import numpy as np
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
-from molquarry.llm.quality_model import Features, Ftrl, quality_digests, quality_scores, train_quality_model
+from molquarry.llm.quality_model import Features, Ftrl, _ftrl, quality_digests, quality_scores, train_quality_model
 
 SF = "/root/testdata/sf0.01"
 
@@ -40,3 +43,43 @@ def test_odd_training_rows(spark):
     rows = [(1, None, 1), (1, "good text", 1), (2, "bad", 0), (None, "x", 0), (3, "y", None)] * 3
     weights = train_quality_model(spark.createDataFrame(rows, "doc_id long, text string, label int"))
     assert np.isfinite(weights).all() and weights.any()
+
+
+def plain_ftrl(texts, labels, s):
+    """Follow-the-regularised-leader, coordinate by coordinate as in its paper."""
+    features, bias, z, n = Features(s.bits), 1 << s.bits, {}, {}
+
+    def weight(i):
+        zi = z.get(i, 0.0)
+        if abs(zi) <= s.l1:
+            return 0.0
+        return -(zi - math.copysign(s.l1, zi)) / ((s.beta + math.sqrt(n.get(i, 0.0))) / s.alpha + s.l2)
+
+    for _ in range(s.epochs):
+        for text, y in zip(texts, labels):
+            places, values = features(text)
+            x = dict(zip(places.tolist(), values.tolist())) | {bias: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - y) * v
+                sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / s.alpha
+                z[i] = z.get(i, 0.0) + g - sigma * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    return {i: weight(i) for i in z}
+
+
+def test_updates_against_a_plain_learner(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["good", "fine", "bad", "!!!", "Word", "12", "x"]) for _ in range(rng.randint(0, 25))) for _ in range(120)] + [None]
+    labels = [int("good" in (t or "")) for t in texts]
+    for settings in (Ftrl(bits=10), Ftrl(bits=10, l1=0.3, l2=1.0, alpha=0.1, epochs=2)):
+        want, got = plain_ftrl(texts, labels, settings), _ftrl(texts, labels, settings)
+        assert set(np.flatnonzero(got)) == {i for i, w in want.items() if w}
+        assert all(abs(got[i] - w) < 1e-4 for i, w in want.items())
+    # the operator averages the learners of its shards
+    settings = Ftrl(bits=10, shards=3)
+    df = spark.createDataFrame(list(zip(range(121), texts, labels)), "doc_id long, text string, label int")
+    rows = df.select(F.xxhash64("doc_id").alias("o"), F.pmod(F.xxhash64("doc_id"), F.lit(3)).alias("s"), "text", "label").orderBy("o").collect()
+    shards = [_ftrl([r["text"] for r in rows if r["s"] == k], [r["label"] for r in rows if r["s"] == k], settings) for k in range(3)]
+    assert np.allclose(train_quality_model(df, settings), np.mean(shards, axis=0), atol=1e-6)
