@@ -2,6 +2,7 @@ import itertools
 import random
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from molquarry.operators import classify, paths, profiles, similarity
@@ -181,3 +182,29 @@ def test_profile_has_similar_molecules(spark):
         scored = [(-len(a & set(b)) / len(a | set(b)), j) for j, b in bits.items() if j != i]
         assert got[i] == [(j, round(-s, 4)) for s, j in sorted(scored) if -s > 0.7][:10]
     assert len(got[1]) == 10 and got[4] == got[99] == []
+
+
+def test_search_in_blocks_gives_the_same(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, [rng.getrandbits(63) & rng.getrandbits(63), rng.getrandbits(20)]) for i in range(120)] + [(120, [0, 0]), (121, None), (None, [1, 1]), (5, [7, 7])]
+    df = spark.createDataFrame(rows, "id long, words array<long>")
+    asked = df.where("id % 3 = 0 or id is null")
+    told = lambda: [sorted(map(tuple, similarity.search(df, asked, t, inclusive=i, contain=c).collect())) for t, i, c in ((0.3, False, False), (0.25, True, False), (-1.0, False, False), (0.0, False, True))]
+    whole = told()
+    for size, cell in ((7, 16), (1, 5)):
+        monkeypatch.setattr(similarity, "BLOCK", size)
+        monkeypatch.setattr(similarity, "ROW_BLOCK", 11)
+        monkeypatch.setattr(similarity, "CELL", cell)
+        assert told() == whole
+    bits = [(i, sum(w.bit_count() for w in x), x) for i, x in rows if i is not None and x is not None]
+    want = sorted((q, i) for q, nq, a in bits if q % 3 == 0 for i, n, b in bits if n and sum((u & v).bit_count() for u, v in zip(a, b)) / sum((u | v).bit_count() for u, v in zip(a, b)) > 0.3)
+    assert [(q, i) for q, i, _ in whole[0]] == sorted(want)
+
+
+def test_fingerprints_of_all_names_against_brute_force(spark):
+    parts = {r["p_partkey"]: r["p_name"] for r in spark.read.parquet("/root/testdata/sf0.001/part.parquet").collect()}
+    for r in QUERIES["fp_build_text"](spark, "/root/testdata/sf0.001").collect():
+        name = parts[r["id"]].lower()
+        grams = {name[i : i + 3].encode() for i in range(len(name) - 2)}
+        hashed = sorted({(xxhash.xxh64_intdigest(g, seed=42) - (1 << 64) * (xxhash.xxh64_intdigest(g, seed=42) >> 63)) % 2048 for g in grams})
+        assert (r["n_bits"], r["bits"]) == (len(hashed), ",".join(map(str, hashed)))

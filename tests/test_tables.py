@@ -2,7 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from molquarry.operators import quality, results, upsert
-from molquarry.streaming.microbatch import ingest_microbatch
+from molquarry.sources.scratch import discard, settled, written
+from molquarry.streaming.microbatch import ingest_microbatch, load_progress, load_status
 
 T = "k long, a string, sources array<string>, stamp int"
 
@@ -94,3 +95,38 @@ def test_microbatches_resume(spark, tmp_path):
     spark.createDataFrame([(9, "new")], "k long, v string").write.mode("append").parquet(str(tmp_path / "in"))
     assert sorted(r["k"] for r in run().collect()) == [0, 1, 2, 9]
     assert sorted(r["k"] for r in run().collect()) == [0, 1, 2, 9]
+
+
+def test_status_of_a_load(spark, tmp_path):
+    rows = [(1, "ok", None), (2, "skipped", None), (3, "failed", "bad value"), (3, "ok", None), (None, "ok", None)]
+    for i in range(2):
+        spark.createDataFrame([(k, s, e) for k, s, e in rows], "k long, s string, e string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    status = F.when(F.col("s") == "ok", "loaded").otherwise(F.col("s"))
+    run = lambda: ingest_microbatch(spark, str(tmp_path / "in"), "k long, s string, e string", lambda b: b.select("k", "s", status.alias("status"), F.col("e").alias("error")), ["k"], ["s"], str(tmp_path / "out"))
+    assert sorted((r["k"] or 0) for r in run().collect()) == [0, 1, 3]
+    got = load_status(spark, str(tmp_path / "out")).first()
+    assert (got["status"], got["read"], got["loaded"], got["skipped"], got["failed"]) == ("completed", 10, 6, 2, 2)
+    assert [tuple(e) for e in got["errors"]] == [('{"k":3}', "bad value")] * 2
+    progress = load_progress(spark, str(tmp_path / "out")).orderBy("batch_id").collect()
+    assert [(r["loaded"], r["loaded_so_far"], r["failed_so_far"]) for r in progress] == [(3, 3, 1), (3, 6, 2)]
+
+
+def test_failed_load(spark, tmp_path):
+    spark.range(3).withColumnRenamed("id", "k").write.parquet(str(tmp_path / "in"))
+    with pytest.raises(Exception, match="no such thing|STREAM"):
+        ingest_microbatch(spark, str(tmp_path / "in"), "k long", lambda b: (_ for _ in ()).throw(ValueError("no such thing")), ["k"], ["k"], str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out" / "status")).first()["status"] == "failed"
+
+
+def test_settled_keeps_its_result_alone(spark):
+    made = []
+
+    def make():
+        made.append(written(spark.range(5), "inner"))
+        return made[0].where("id > 1")
+
+    table = settled(make, "outer")
+    assert sorted(r["id"] for r in table.collect()) == [2, 3, 4]
+    path = spark._jvm.org.apache.hadoop.fs.Path(made[0]._written_path)
+    assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    discard(table)
