@@ -65,20 +65,21 @@ class JaccardJoin:
 
 
 def _counts(raw: bytes, places: int) -> np.ndarray:
-    """Counts of `places` places that were stored in 1, 2, 4 or 8 bytes each."""
+    """Counts of `places` places that _packed() stored."""
+    raw = zlib.decompress(raw)
     return np.frombuffer(raw, f"<u{len(raw) // places}")
 
 
 def _packed(counts: np.ndarray) -> bytes:
-    """The counts in as few bytes each as the largest needs."""
+    """The counts in as few bytes each as the largest needs, compressed, as a small task has mostly zeros."""
     width = next(w for w in (1, 2, 4, 8) if int(counts.max(initial=0)) < 1 << 8 * w)
-    return counts.astype(f"<u{width}").tobytes()
+    return zlib.compress(counts.astype(f"<u{width}").tobytes(), 1)
 
 
 def frequency_sketch(texts: DataFrame, join: JaccardJoin, fan: int = 64) -> np.ndarray:
     """Document counts of all shingles in 2^sketch_bits buckets (the hash's top bits). `texts` has one string column.
 
-    Every task counts its texts, in one or two bytes a bucket mostly; the arrays are cut into segments and summed by a tree of
+    Every task counts its texts, in a byte a bucket or less; the arrays are cut into segments and summed by a tree of
     sums of `fan`, so that no task holds more than `fan` segments."""
     size, pieces = 1 << join.sketch_bits, 16
 
