@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, NumericType
 
+from molquarry.sources.scratch import written
+
 
 def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
     """A page of a listing with the listing's total; `order` ends in a unique key, so that pages never overlap."""
@@ -38,11 +40,22 @@ def citations(df: DataFrame, order: str, cap: int | None = 50) -> DataFrame:
     parts = [F.col(n).cast("array<string>") if isinstance(df.schema[n].dataType, ArrayType) else F.array(F.col(n).cast("string")) for n in names]
     parts = [F.coalesce(p, F.array().cast("array<string>")) for p in parts]
     ids = df.select(order, F.posexplode(F.concat(*parts)).alias("_place", "id")).where("id is not null").groupBy("id").agg(F.min(F.struct(order, "_place")).alias("first"))
-    kept = ids if cap is None else ids.orderBy("first").limit(cap)
-    from pyspark.sql import Window
-
-    ranked = kept.withColumn("place", F.row_number().over(Window.orderBy("first")).cast("long"))  # `cap` rows
-    return ranked.select("id", "place").join(F.broadcast(ids.agg(F.count("*").alias("total"))))
+    total = F.broadcast(ids.agg(F.count("*").alias("total")))  # one row
+    if cap is None:
+        return numbered(ids, "first").select("id", "place").join(total)
+    ranked = ids.orderBy("first").limit(cap).withColumn("place", F.row_number().over(Window.orderBy("first")).cast("long"))  # `cap` rows
+    return ranked.select("id", "place").join(total)
+
+
+def numbered(df: DataFrame, order: str) -> DataFrame:
+    """The rows with their place (from 1) by a column of distinct values, without one task seeing all: Spark deals ranges of the
+    values, the counts of the ranges before are a range's offset, and each range numbers its own rows."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = written(df.repartitionByRange(parts, order).withColumn("_range", F.spark_partition_id()), "numbered")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    offsets = rows.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(order))
+    return rows.join(offsets, "_range").withColumn("place", F.col("_offset") + own).drop("_range", "_offset")
 
 
 def result_stats(df: DataFrame, columns: list[str]) -> DataFrame:

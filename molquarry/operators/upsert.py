@@ -5,10 +5,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from molquarry.sources.scratch import written
+from molquarry.operators.results import numbered
 
 
 def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
@@ -90,16 +90,10 @@ def pending_anti(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
 def batch_keys(df: DataFrame, key: str, size: int) -> DataFrame:
     """(batch, keys): the distinct integer keys in ascending order, packed `size` to a batch.
 
-    Keys are numbered without one task seeing all of them: they are dealt into ranges by Spark's own sample of them, so that dense
-    stretches of keys are split; the counts of the ranges before are a range's offset, and each range numbers its own."""
+    Keys are numbered without one task seeing all of them."""
     keys = df.select(F.col(key).cast("long").alias("k")).where("k is not null").distinct()
-    ranges = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    keys = written(keys.repartitionByRange(ranges, "k").withColumn("range", F.spark_partition_id()), "keys")
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
-    offsets = keys.groupBy("range").count().select("range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
-    place = F.col("offset") + F.row_number().over(Window.partitionBy("range").orderBy("k")) - 1
-    numbered = keys.join(offsets, "range").select("k", F.floor(place / size).alias("batch"))
-    return numbered.groupBy("batch").agg(F.array_sort(F.collect_list("k")).alias("keys"))
+    batches = numbered(keys, "k").select("k", F.floor((F.col("place") - 1) / size).alias("batch"))
+    return batches.groupBy("batch").agg(F.array_sort(F.collect_list("k")).alias("keys"))
 
 
 def backfill_derived(df: DataFrame, column: str, value: Column) -> DataFrame:

@@ -293,8 +293,8 @@ def reaction_profile(m: Model) -> DataFrame:
 f AS (SELECT id, min(inchikey * 100000 + i) AS o FROM u GROUP BY 1)
 SELECT CAST(id AS VARCHAR) AS id, row_number() OVER (ORDER BY o) AS place, (SELECT count(*) FROM f) AS total FROM f ORDER BY o LIMIT 50""")
 def citations(m: Model) -> DataFrame:
-    rows = m.components.where("role = 'solvent'").groupBy("inchikey").agg(F.array_sort(F.collect_list("reaction_id")).alias("reaction_ids"))
-    return results.citations(rows, "inchikey")
+    rows = m.components.where("role = 'solvent'").select(F.struct("inchikey", "reaction_id").alias("row"), "reaction_id")
+    return results.citations(rows, "row")
 
 
 @query("""SELECT 'yield_pct' AS column_name, count(*) AS row_count, count(yield_pct) AS n, round(avg(yield_pct), 2) AS avg, round(min(yield_pct), 2) AS min, round(max(yield_pct), 2) AS max FROM reactions

@@ -130,3 +130,13 @@ def test_settled_keeps_its_result_alone(spark):
     path = spark._jvm.org.apache.hadoop.fs.Path(made[0]._written_path)
     assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
     discard(table)
+
+
+def test_all_citations_are_numbered(spark):
+    df = spark.range(500).select((F.col("id") * 7 % 500).alias("i"), F.concat(F.lit("r"), F.col("id") % 300).alias("reaction_id"))
+    first = {}
+    for i, r in sorted((x["i"], x["reaction_id"]) for x in df.collect()):
+        first.setdefault(r, i)
+    want = [r for r, _ in sorted(first.items(), key=lambda x: x[1])]
+    got = results.citations(df, "i", cap=None).orderBy("place").collect()
+    assert [r["id"] for r in got] == want and [r["place"] for r in got] == list(range(1, 301)) and {r["total"] for r in got} == {300}
