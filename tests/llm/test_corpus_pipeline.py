@@ -3,6 +3,7 @@ import sentencepiece
 
 import corpus_pipeline as cp
 from molquarry.llm.common import read_table, written
+from molquarry.llm.quality_model import Features, Ftrl, learned_model
 from molquarry.llm.sentencepiece_trie import model_path
 from tests.llm.test_decontaminate import split
 from tests.llm.test_jaccard_join import brute as brute_components
@@ -61,6 +62,19 @@ def test_stages_one_by_one(spark):
     assert all(encoded[i]["ids"] == library.encode(r["text"] or "") and encoded[i]["round_trip"] for i, r in rows(clean).items())
 
 
+def test_classifier_rejects_by_plain_dot_products(spark):
+    """On a larger table than above, whose labels are too few for any rejection."""
+    larger = SF.replace("0.001", "0.01")
+    before = rows(read_table(spark, larger, "documents"))
+    after = rows(cp.quality_classifier(spark, read_table(spark, larger, "documents"), larger))
+    features, weights = Features(Ftrl().bits), learned_model(spark, larger).astype(float)
+    dot = {i: sum(weights[p] * v for p, v in zip(*features(r["text"]), strict=True)) + weights[-1] for i, r in before.items()}
+    assert all((dot[i] >= 0) == (i in after) for i in before if abs(dot[i]) > 1e-9)
+    labels = {r["doc_id"]: r["quality"] for r in pq.read_table(f"{larger}/labels.parquet").to_pylist() if r["doc_id"] in before}
+    assert all(i in after for i, q in labels.items() if q == 1)
+    assert sum(i not in after for i, q in labels.items() if q == 0) > 0.5 * sum(q == 0 for q in labels.values())
+
+
 def test_run_and_empty_documents(spark, tmp_path):
     for name in ("benchmark", "labels"):
         read_table(spark, SF, name).write.parquet(f"{tmp_path}/{name}.parquet")

@@ -5,7 +5,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from molquarry.llm.components import components
-from molquarry.llm.jaccard_join import JaccardJoin, jaccard_components, near_duplicates_removed
+from molquarry.llm.jaccard_join import JaccardJoin, frequency_sketch, jaccard_components, near_duplicates_removed
 
 SF = "/root/testdata/sf0.001"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -50,9 +50,9 @@ def test_documents(spark):
     assert ours(spark, rows) == brute(rows)
 
 
-@pytest.mark.parametrize("short_list", [2, 24])
+@pytest.mark.parametrize(("short_list", "sent_pairs"), [(2, 1_000_000), (24, 1_000_000), (24, 0)])
 @pytest.mark.parametrize("edits", [(0, 2), (1, 4), (2, 2)])
-def test_large_groups_of_near_copies(spark, edits, short_list):
+def test_large_groups_of_near_copies(spark, edits, short_list, sent_pairs):
     rng = random.Random(sum(edits) + short_list)
     rows = []
     for g in range(3):
@@ -65,7 +65,7 @@ def test_large_groups_of_near_copies(spark, edits, short_list):
                 words += [f"y{rng.randint(0, 5)}"] * rng.randint(1, 3)
             rows.append((len(rows) * 7 % 1000, " ".join(words)))
     rows += [(2000 + i, "common passage of words that many texts share here and there " + " ".join(f"z{rng.randint(0, 99)}" for _ in range(8))) for i in range(40)]
-    join = JaccardJoin(short_list=short_list, pivots=1 if short_list == 2 else 3, sketch_bits=12)
+    join = JaccardJoin(short_list=short_list, pivots=1 if short_list == 2 else 3, sketch_bits=12, sent_pairs=sent_pairs)
     assert ours(spark, rows, join) == brute(rows)
 
 
@@ -97,3 +97,14 @@ def test_long_chain_is_one_component(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(700)] + [(2000, 2001), (5, None), (9, 9)], "a long, b long")
     got = {r["id"]: r["component"] for r in components(links).collect()}
     assert got == {i: 0 for i in range(701)} | {2000: 2000, 2001: 2000}
+
+
+@pytest.mark.parametrize("fan", [2, 3, 64])
+def test_sketch_counts_every_document_once(spark, fan):
+    """However many levels of sums there are; tasks without texts give no arrays."""
+    texts = [None, "", "a b c d e"] + ["a b c d e f"] * 300 + [f"w{i} x y z" for i in range(40)]
+    join = JaccardJoin(sketch_bits=8)
+    got = frequency_sketch(spark.createDataFrame([(t,) for t in texts], "text string").repartition(11), join, fan)
+    # a b c d and b c d e 301 times, c d e f 300 times, each w shingle once
+    assert got.sum() == 2 * 301 + 300 + 40 and len(got) == 256 and got.max() >= 300
+    assert not frequency_sketch(spark.createDataFrame([], "text string"), join, fan).any()
