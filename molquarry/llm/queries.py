@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from molquarry.llm import chat, quality_rules, warc_zip
+from molquarry.llm import chat, cross_polytope, quality_rules, vector_codes, warc_zip
 from molquarry.llm.common import read_table
 from molquarry.llm.decontaminate import contaminated
 from molquarry.llm.jaccard_join import jaccard_components
@@ -65,6 +65,16 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_digests(spark, sf_dir)
 
 
+def op12_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest rows of every hundredth vector; nulls, zeros, ties and repeated rows as cross_polytope.neighbours says."""
+    return cross_polytope.neighbours(read_table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0")
+
+
+def op13_slice_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of all vectors; nulls and rows that cannot be coded as vector_codes.code_digests says."""
+    return vector_codes.code_digests(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_warc_zip": op1_warc_zip,
     "op2_jaccard_join": op2_jaccard_join,
@@ -76,11 +86,14 @@ QUERIES = {
     "op8_token_bin": op8_token_bin,
     "op9_quality_rules": op9_quality_rules,
     "op10_quality_model": op10_quality_model,
+    "op12_cross_polytope": op12_cross_polytope,
+    "op13_slice_codes": op13_slice_codes,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_warc_zip": warc_zip.SQL,
     "op6_chat": chat.SQL,
+    "op13_slice_codes": vector_codes.SQL,
     "op2_jaccard_join": r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
