@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from molquarry.llm import chat, cross_polytope, quality_rules, vector_codes, warc_zip
+from molquarry.llm import chat, cross_polytope, phrases, quality_rules, vector_codes, warc_zip
 from molquarry.llm.common import read_table
 from molquarry.llm.decontaminate import contaminated
 from molquarry.llm.jaccard_join import jaccard_components
@@ -65,6 +65,11 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_digests(spark, sf_dir)
 
 
+def op11_dynamic_itemsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's phrases of highest score; null texts and languages, ties and repeated rows as phrases.collocations says."""
+    return phrases.collocations(read_table(spark, sf_dir, "documents"))
+
+
 def op12_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest rows of every hundredth vector; nulls, zeros, ties and repeated rows as cross_polytope.neighbours says."""
     return cross_polytope.neighbours(read_table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0")
@@ -86,6 +91,7 @@ QUERIES = {
     "op8_token_bin": op8_token_bin,
     "op9_quality_rules": op9_quality_rules,
     "op10_quality_model": op10_quality_model,
+    "op11_dynamic_itemsets": op11_dynamic_itemsets,
     "op12_cross_polytope": op12_cross_polytope,
     "op13_slice_codes": op13_slice_codes,
 }
@@ -93,6 +99,7 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op1_warc_zip": warc_zip.SQL,
     "op6_chat": chat.SQL,
+    "op11_dynamic_itemsets": phrases.SQL,
     "op13_slice_codes": vector_codes.SQL,
     "op2_jaccard_join": r"""
 WITH RECURSIVE words AS (
