@@ -52,6 +52,36 @@ def passes(places: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
     return (bitmap[places >> 6] >> (places & 63) & 1).astype(bool)
 
 
+def row_key() -> Column:
+    """Names a row by its doc_id and text; rows that repeat both share a key."""
+    return F.unhex(F.md5(F.concat_ws("\0", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text"))))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def among(docs: DataFrame, key: str, places: tuple[int, np.ndarray]) -> tuple[DataFrame, DataFrame]:
+    """(the rows whose binary `key` passes a places_filter(), the others); neither is shuffled. What passes may be another key."""
+    bits, bitmap = places
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)  # 2^bits places, bounded
+    place = unused(docs, "place")
+
+    def chosen(want: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(passes(batch.column(0).to_numpy(), shared.value) == want))
+
+        rows = docs.select(place_of(F.col(key), bits).alias(place), *docs.columns)
+        return rows.mapInArrow(run, rows.schema).drop(place)
+
+    return chosen(True), chosen(False)
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: int, rows: int = 500, most: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with the bytes of their texts (null: none): `rows` rows and `most` bytes at most, or one row."""
     for batch in batches:

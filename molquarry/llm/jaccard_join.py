@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from molquarry.llm.common import discard, passes, places_filter, settled, written
+from molquarry.llm.common import among, discard, passes, places_filter, row_key, settled, unused, written
 from molquarry.llm.components import components
 from molquarry.llm.shingles import shingle_sets
 
@@ -122,8 +122,9 @@ def _half(node: bytes) -> int:
 
 
 def prefixes(docs: DataFrame, sketch: np.ndarray, join: JaccardJoin) -> DataFrame:
-    """Per row of docs(doc_id, text): doc_id, n, node, half (see _half), matches (the chosen l), cold (prefix shingles that look unshared) and
-    tokens, its prefix in order; tokens are null where the same batch has had the same set before."""
+    """Per row of docs(doc_id, text, ...): doc_id, n, node, half (see _half), matches (the chosen l), cold (prefix shingles that look unshared) and
+    tokens, its prefix in order; tokens are null where the same batch has had the same set before. Columns after text are kept."""
+    more = docs.columns[2:]
     shared = docs.sparkSession.sparkContext.broadcast(sketch)  # 2^sketch_bits counts
     shift = np.uint64(64 - join.sketch_bits)
 
@@ -152,11 +153,12 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, join: JaccardJoin) -> DataFram
                 for name, v in zip(out, (n, node, node and _half(node), matches, cold, tokens), strict=True):
                     out[name].append(v)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), *(pa.array(out[c], t) for c, t in (("n", pa.int64()), ("node", pa.binary()), ("half", pa.int64()), ("matches", pa.int32()), ("cold", pa.int32()), ("tokens", pa.list_(pa.int64()))))],
-                names=["doc_id", *out],
+                [part.column(0), *part.columns[2:], *(pa.array(out[c], t) for c, t in (("n", pa.int64()), ("node", pa.binary()), ("half", pa.int64()), ("matches", pa.int32()), ("cold", pa.int32()), ("tokens", pa.list_(pa.int64()))))],
+                names=["doc_id", *more, *out],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, node binary, half long, matches int, cold int, tokens array<long>")
+    kept = "".join(f"{c} {t}, " for c, t in docs.dtypes[2:])
+    return docs.mapInArrow(run, f"doc_id long, {kept}n long, node binary, half long, matches int, cold int, tokens array<long>")
 
 
 PAIR = "kind int, token long, a long, b long, matches int, n long, pos int"
@@ -281,15 +283,16 @@ def verified(pairs: DataFrame, sets: DataFrame, join: JaccardJoin) -> DataFrame:
 
 
 def linked_nodes(docs: DataFrame, join: JaccardJoin = JaccardJoin()) -> tuple[DataFrame, DataFrame]:
-    """(nodes, links) of docs(doc_id, text): nodes has doc_id, n and node (null for an empty set) of every row; links has
-    verified pairs (node_a, node_b, shared, size_a, size_b) that connect each component of the threshold graph."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """(nodes, links) of docs(doc_id, text, ...): nodes has doc_id, the columns after text, n and node (null for an empty set) of every row;
+    links has verified pairs (node_a, node_b, shared, size_a, size_b) that connect each component of the threshold graph."""
+    more = docs.columns[2:]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
     sketch = frequency_sketch(docs.select("text"), join)
     table = written(prefixes(docs, sketch, join), "prefixes")
     tokens = table.where("tokens is not null").select("cold", F.col("half").alias("node"), F.col("n").cast("int").alias("n"), "matches", F.posexplode("tokens").alias("pos", "token"))
     tokens = tokens.select("token", "cold", "node", "n", (F.col("pos") + 1).alias("pos"), "matches")
     rows = written(_lists(tokens.repartition("token").sortWithinPartitions("token", "cold", "node"), join), "lists")
-    nodes = written(table.select("doc_id", "n", "node"), "nodes")
+    nodes = written(table.select("doc_id", *more, "n", "node"), "nodes")
     discard(table)  # the prefixes are in the lists now
     pair = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
     matches = rows.where(f"kind = {MATCH}").select(*pair, "matches")
@@ -352,19 +355,37 @@ def jaccard_components(docs: DataFrame, join: JaccardJoin = JaccardJoin()) -> Da
     Null and empty texts and texts without words have an empty set, link with nothing and are their own component. Rows
     that repeat a doc_id are rows of their own; a null doc_id is reported as null and is never the smallest of a group
     that has another. Only doc_id and text are read. An empty table gives no rows."""
-    return settled(lambda: _components_of(docs, join), "components")
+    return settled(lambda: _components_of(docs.select("doc_id", "text"), join), "components")
 
 
 def _components_of(docs: DataFrame, join: JaccardJoin) -> DataFrame:
+    rows, least = _grouped(docs, join)
+    return rows.join(least, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def _grouped(docs: DataFrame, join: JaccardJoin) -> tuple[DataFrame, DataFrame]:
+    """(rows of linked_nodes() with their component, null for an empty set; the smallest doc_id of each component)."""
     nodes, links = linked_nodes(docs, join)
     known = components(links.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
     rows = nodes.join(known.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(least, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return rows, rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
 
 
 def near_duplicates_removed(docs: DataFrame, join: JaccardJoin) -> DataFrame:
-    """`docs` with the row of the smallest doc_id of each component; rows that repeat both id and text stay once. Rows with a
-    null id stay where their component has no other id."""
-    keep = jaccard_components(docs, join).where("doc_id = component_id or component_id is null").select("doc_id").distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    """`docs` with one row of each component: that of the smallest doc_id, null ids last, of several such rows that of the smallest row_key().
+    Rows with an empty set stay, but rows that repeat both id and text stay once.
+
+    Rows are named by row_key(), so repeated and null ids change nothing. Only rows that go, or that occur several times, are
+    shuffled with their texts; all others stay where they are. Columns keep their names and values, whatever they are called."""
+    key = unused(docs, "row")
+    rows, _ = _grouped(docs.select("doc_id", "text", row_key().alias(key)), join)
+    # one row a key: what the component keeps is the key of its smallest (id, key)
+    keys = rows.groupBy(key).agg(F.first("doc_id").alias("doc_id"), F.first("component").alias("component"), F.count("*").alias("times"))
+    order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", key)
+    best = keys.where("component is not null").groupBy("component").agg(F.min_by(key, order).alias("best"))
+    told = keys.join(best, "component", "left").select(key, (F.col("component").isNull() | (F.col(key) == F.col("best"))).alias("stays"), "times")
+    told = written(told.where("times > 1 or not stays").drop("times"), "told")
+    asked, rest = among(docs.withColumn(key, row_key()), key, places_filter(told, F.col(key)))
+    stay = unused(docs, "stays")
+    asked = asked.dropDuplicates([key]).join(told.withColumnRenamed("stays", stay), key, "left").where(F.coalesce(F.col(stay), F.lit(True)))
+    return asked.select(*docs.columns).union(rest.select(*docs.columns))

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from molquarry.llm.common import discard, mixed, passes, place_of, places_filter, settled, text_slices, written
+from molquarry.llm.common import among, discard, mixed, passes, place_of, places_filter, row_key, settled, text_slices, unused, written
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -137,11 +137,6 @@ def _pieces(texts: list[bytes], spec: Repeats) -> Iterator[tuple[np.ndarray, np.
         yield np.array([x[0] for x in held]), np.array([x[1] for x in held]), [x[2] for x in held]
 
 
-def row_key() -> Column:
-    """Names a row by its id and text; rows that repeat both share a key and, having equal texts, all results."""
-    return F.unhex(F.md5(F.concat_ws("\0", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text"))))
-
-
 def parse(docs: DataFrame, spec: Repeats) -> DataFrame:
     """(gram, phrase, check, row, start, windows, times) of the phrases of docs(row, text), combined where they are read: a phrase
     that a slice of texts has several times is one row with its count, and as all of it is known to repeat, the stretches of
@@ -177,19 +172,6 @@ def parse(docs: DataFrame, spec: Repeats) -> DataFrame:
     return docs.mapInArrow(run, "gram long, phrase long, check long, row binary, start int, windows int, times int")
 
 
-def _likely(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows of docs(row, ...) whose key passes a bitmap of the keys in the written table `keys`: all that are meant, few others."""
-    bits, bitmap = places_filter(keys, F.col("row"))
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)  # 2^bits places, bounded
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = batch.filter(pa.array(passes(batch.column(batch.num_columns - 1).to_numpy(), shared.value)))
-            yield pa.RecordBatch.from_arrays(good.columns[:-1], names=good.schema.names[:-1])
-
-    return docs.withColumn("_place", place_of(F.col("row"), bits)).mapInArrow(run, docs.schema)
-
-
 def _fetched(docs: DataFrame, reps: DataFrame, spec: Repeats) -> DataFrame:
     """(gram, phrase, check, times, body binary) of the phrases of the written table `reps` (gram, phrase, check, times, row, start,
     windows)."""
@@ -204,7 +186,7 @@ def _fetched(docs: DataFrame, reps: DataFrame, spec: Repeats) -> DataFrame:
                 out += [(*(w[c] for c in (*NAME, "times")), raw[w["start"] : w["start"] + w["windows"] - 1 + spec.length]) for w in wanted]
             yield pa.RecordBatch.from_pydict(dict(zip(schema.names, map(list, zip(*out, strict=True)), strict=True)), schema=schema)
 
-    found = _likely(docs, reps).join(wanted, "row").select("text", "wanted")
+    found = among(docs, "row", places_filter(reps, F.col("row")))[0].join(wanted, "row").select("text", "wanted")
     return found.mapInArrow(run, "gram long, phrase long, check long, times long, body binary").dropDuplicates(NAME)
 
 
@@ -386,7 +368,12 @@ def repeats_removed(docs: DataFrame, spec: Repeats = Repeats()) -> DataFrame:
     repeated string go, the first one too. Rows are told apart by doc_id and text. An empty table gives no rows."""
     spans = repeated_spans(docs.select(row_key().alias("row"), "text"), spec)
     schema, names = docs.schema, docs.columns
-    joined = docs.withColumn("_row", row_key()).join(spans.select(F.col("row").alias("_row"), F.col("spans").alias("_spans")), "_row", "left").drop("_row")
+    row, told = unused(docs, "row"), unused(docs, "spans")
+    touched, whole = among(docs.withColumn(row, row_key()), row, places_filter(spans, F.col("row")))  # texts without spans stay where they are
+    joined = touched.join(spans.select(F.col("row").alias(row), F.col("spans").alias(told)), row, "left").drop(row)
+    whole = whole.drop(row)
+    if "n_chars" in names:
+        whole = whole.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType))
     text_at, chars_at = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -401,4 +388,4 @@ def repeats_removed(docs: DataFrame, spec: Repeats = Repeats()) -> DataFrame:
                 columns[chars_at] = pa.array([None if t is None else len(t) for t in texts], columns[chars_at].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return joined.mapInArrow(cut, schema)
+    return joined.mapInArrow(cut, schema).union(whole.select(*names))

@@ -108,3 +108,17 @@ def test_sketch_counts_every_document_once(spark, fan):
     # a b c d and b c d e 301 times, c d e f 300 times, each w shingle once
     assert got.sum() == 2 * 301 + 300 + 40 and len(got) == 256 and got.max() >= 300
     assert not frequency_sketch(spark.createDataFrame([], "text string"), join, fan).any()
+
+
+def test_rows_are_kept_by_row_not_by_id(spark):
+    a, c, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "acb")
+    rows = [(3, a), (5, c), (5, a + " more"), (None, b + " more"), (2, b), (None, None)]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, row int").selectExpr("*", "'x' as stays", "1 as place").repartition(3)
+    kept = near_duplicates_removed(docs, JaccardJoin(k=5, num=80))
+    assert kept.columns == docs.columns
+    assert sorted(r["row"] for r in kept.collect()) == [0, 1, 4, 5]
+    twice = near_duplicates_removed(docs.union(docs), JaccardJoin(k=5, num=80)).collect()
+    assert sorted(r["row"] for r in twice) == [0, 1, 4, 5]
+    nulls = spark.createDataFrame([(None, a), (None, a), (None, a + " more"), (None, ""), (None, ""), (7, ""), (None, None)], "doc_id long, text string")
+    left = sorted(((r["doc_id"], r["text"]) for r in near_duplicates_removed(nulls, JaccardJoin(k=5, num=80)).collect()), key=str)
+    assert len([t for _, t in left if t and t.startswith("a0")]) == 1 and [x for x in left if not x[1]] == sorted([(7, ""), (None, ""), (None, None)], key=str)
