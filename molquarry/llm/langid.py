@@ -13,19 +13,19 @@ proportion over all languages. Many documents are worked on together, as one mat
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from molquarry.llm.common import crc32_of_id, mixed, written
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 ROWS = 250
 #: Tasks that count the sample; languages up to which their sizes are sent to all tasks.
 PARTS, SENT = 16, 100_000

@@ -106,3 +106,10 @@ def test_rare_language_is_learnt_whole(spark):
     assert langs == ["a", "b"] and np.allclose(p.sum(axis=0), 1)
     got = {r["doc_id"]: r["lang_pred"] for r in identified(docs, langs, p, Mixture(bits=10)).collect()}
     assert all(v == ("a" if i < 1000 else "b") for i, v in got.items())
+
+
+def test_numbers_that_are_no_digits_are_no_letters(spark):
+    texts = ["½²", "¹³ ¼", "①", "Ⅷ ⅷ", "12", "!?", "_", "日本", "é"]
+    docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)] + [(100 + i, f"some words {i}", "en") for i in range(40)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language_digests(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == ["und"] * 7 + ["en"] * 2
