@@ -7,9 +7,10 @@ one place that counts the pairs which the text has had before.
 The feature vector is the sparse vector of counts scaled to length 1; a score is the logistic function of its dot
 product with the weights and a bias.
 
-Training reads at most about `max_train` labelled documents, chosen by a hash of their id. They are dealt over
-`shards` groups; each group runs FTRL-proximal (per-coordinate rates, L1 and L2) over its documents a few times,
-and the weights of the groups are averaged. A group holds max_train / shards documents whatever the input's size.
+Training reads at most about `max_train` labelled documents, chosen by a hash of their id. They are dealt over groups
+of about `group` documents; each group runs FTRL-proximal (per-coordinate rates, L1 and L2) over its documents a few
+times, and the weights of the groups are averaged. Few documents are one group, as averaging models that have seen
+little draws all scores to the middle.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from molquarry.llm.common import MASK64, crc32_of_id, mixed, read_table
+from molquarry.llm.common import MASK64, crc32_of_id, discard, mixed, read_table, written
 
 TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^\s0-9A-Za-z\x80-\xff]+")
 #: Rows of an Arrow batch that are turned into Python strings together.
@@ -45,7 +46,7 @@ class Ftrl:
     l1: float = 0.01
     l2: float = 0.1
     epochs: int = 3
-    shards: int = 8
+    group: int = 2_000
     max_train: int = 16_000
 
 
@@ -107,13 +108,16 @@ def train_quality_model(labelled: DataFrame, settings: Ftrl = Ftrl(), id_col: st
     label occurs the model always answers it; without rows it scores 0.5."""
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label"))
     rows = rows.where("id is not null and label is not null").groupBy("id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
-    rows = rows.withColumn("order", F.xxhash64("id")).withColumn("shard", F.pmod("order", F.lit(settings.shards)))
+    table = written(rows.withColumn("order", F.xxhash64("id")), "labelled")
+    groups = max(1, -(-table.count() // settings.group))
+    rows = table.withColumn("shard", F.pmod("order", F.lit(groups)))
 
     def shard(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("order")
         return pd.DataFrame({"weights": [_ftrl(pdf["text"].tolist(), pdf["label"].tolist(), settings).tobytes()]})
 
-    parts = rows.groupBy("shard").applyInPandas(shard, "weights binary").collect()  # one row of fixed size a shard
+    parts = rows.groupBy("shard").applyInPandas(shard, "weights binary").collect()  # one row of fixed size a group
+    discard(table)
     if not parts:
         return np.zeros((1 << settings.bits) + 1, np.float32)
     return np.mean([np.frombuffer(r["weights"], np.float32) for r in parts], axis=0, dtype=np.float64).astype(np.float32)

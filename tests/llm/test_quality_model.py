@@ -77,9 +77,17 @@ def test_updates_against_a_plain_learner(spark):
         want, got = plain_ftrl(texts, labels, settings), _ftrl(texts, labels, settings)
         assert set(np.flatnonzero(got)) == {i for i, w in want.items() if w}
         assert all(abs(got[i] - w) < 1e-4 for i, w in want.items())
-    # the operator averages the learners of its shards
-    settings = Ftrl(bits=10, shards=3)
+    # the operator averages the learners of its groups
+    settings = Ftrl(bits=10, group=41)
     df = spark.createDataFrame(list(zip(range(121), texts, labels)), "doc_id long, text string, label int")
     rows = df.select(F.xxhash64("doc_id").alias("o"), F.pmod(F.xxhash64("doc_id"), F.lit(3)).alias("s"), "text", "label").orderBy("o").collect()
     shards = [_ftrl([r["text"] for r in rows if r["s"] == k], [r["label"] for r in rows if r["s"] == k], settings) for k in range(3)]
     assert np.allclose(train_quality_model(df, settings), np.mean(shards, axis=0), atol=1e-6)
+
+
+def test_few_labels_find_the_bad_text(spark):
+    """The smallest table has a hundred labels or so: one group learns from all of them, and its threshold is in the right place."""
+    few = SF.replace("0.01", "0.001")
+    rows = {r["doc_id"]: r for r in quality_digests(spark, few).collect()}
+    held = [(rows[x["doc_id"]]["predicted"], x["quality"]) for x in pq.read_table(f"{few}/labels.parquet").to_pylist() if x["doc_id"] in rows and rows[x["doc_id"]]["held_out"]]
+    assert any(q == 0 for _, q in held) and all(p == q for p, q in held)
