@@ -4,8 +4,9 @@ For every participant of a conversation the dialogue is rendered once: that spea
 other turns are a user's under the speaker's name, and the masks mark what the assistant says.
 
 A conversation is rendered in blocks of `block_turns` turn numbers, so that no row grows without bound however long a
-conversation is; block b holds the turns with floor(turn / block_turns) = b, in the order of turn, role and text. A
-participant gets a block where it speaks (elsewhere nothing could be learnt: all would be masked).
+conversation is; block b holds the turns with floor(turn / block_turns) = b, in the order of turn, role and text. Every
+participant of the conversation gets every block, so that its blocks together are the whole dialogue; where it does not
+speak, all is context.
 """
 
 from __future__ import annotations
@@ -39,7 +40,8 @@ def perspectives(turns: DataFrame, template: Template = Template()) -> DataFrame
 
     turns: conv_id, turn, role, text. A null role is the participant `unnamed`, a null text an empty one, a null turn comes
     first in block 0; a null conv_id is a conversation of its own. Repeated rows are turns said twice. Other columns
-    are not read. Native DataFrame operations; one shuffle by conversation and block."""
+    are not read. Native DataFrame operations; turns are shuffled by conversation and block, blocks meet the conversation's
+    participants."""
     name = F.coalesce(F.col("role").cast("string"), F.lit(template.unnamed))
     rows = turns.select(
         F.col("conv_id").alias("conv_id"),
@@ -47,7 +49,8 @@ def perspectives(turns: DataFrame, template: Template = Template()) -> DataFrame
         F.struct(F.col("turn").alias("turn"), name.alias("name"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).alias("said"),
     )
     blocks = rows.groupBy("conv_id", "block").agg(F.array_sort(F.collect_list("said")).alias("said"))
-    each = blocks.select("conv_id", "block", "said", F.explode(F.array_sort(F.array_distinct(F.transform("said", lambda s: s["name"])))).alias("perspective"))
+    who = rows.select(F.col("conv_id").alias("of"), F.col("said.name").alias("perspective")).distinct()
+    each = blocks.join(who, F.col("conv_id").eqNullSafe(F.col("of"))).drop("of")
 
     def rendered(s: Column) -> Column:
         own = s["name"] == F.col("perspective")
@@ -83,12 +86,12 @@ WITH said AS (
     row_number() OVER (PARTITION BY conv_id, CAST(floor(coalesce(turn, 0) / 256) AS BIGINT) ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) AS i
   FROM conversations
 ), who AS (
-  SELECT DISTINCT conv_id, block, name AS perspective FROM said
+  SELECT DISTINCT conv_id, name AS perspective FROM said
 ), parts AS (
   SELECT s.conv_id, s.block, w.perspective, s.i, s.name = w.perspective AS own,
     CASE WHEN s.name = w.perspective THEN '<|assistant|>' || chr(10) ELSE '<|user name=' || s.name || '|>' || chr(10) END AS before,
     s.text || '<|end|>' || chr(10) AS rest
-  FROM said s JOIN who w ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND s.block = w.block
+  FROM said s JOIN who w ON s.conv_id IS NOT DISTINCT FROM w.conv_id
 ), placed AS (
   SELECT *, sum(length(before) + length(rest)) OVER (PARTITION BY conv_id, block, perspective ORDER BY i) AS till FROM parts
 )

@@ -63,7 +63,7 @@ def test_stages_one_by_one(spark):
 
 
 def test_classifier_rejects_by_plain_dot_products(spark):
-    """On a larger table than above, whose labels are too few for any rejection."""
+    """On a larger table than above."""
     larger = SF.replace("0.001", "0.01")
     before = rows(read_table(spark, larger, "documents"))
     after = rows(cp.quality_classifier(spark, read_table(spark, larger, "documents"), larger))
@@ -82,3 +82,18 @@ def test_run_and_empty_documents(spark, tmp_path):
     assert cp.run(spark, str(tmp_path)).collect() == []
     found = cp.run(spark, SF)
     assert found.columns == ["doc_id", "n_pieces", "ids", "round_trip"] and found.count() > 100
+
+
+def test_columns_of_any_name_stay(spark, tmp_path):
+    """Columns that the stages might use for themselves keep their names and values."""
+    for name in ("benchmark", "labels"):
+        read_table(spark, SF, name).write.parquet(f"{tmp_path}/{name}.parquet")
+    names = ("quality_score", "_row", "_spans", "row", "spans", "place", "stays", "node", "component", "Score")
+    docs = read_table(spark, SF, "documents").selectExpr("*", *(f"concat('{c}', doc_id) as `{c}`" for c in names))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    at = docs
+    for name, stage in cp.STAGES[:-1]:
+        at = written(stage(spark, at, str(tmp_path)), "t")
+        assert at.columns == docs.columns, name
+        assert all(r[c] == f"{c}{r['doc_id']}" for r in at.collect() for c in names), name
+    assert cp.STAGES[-1][1](spark, at, str(tmp_path)).count() == at.count()
