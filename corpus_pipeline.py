@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from molquarry.llm.common import discard, read_table, settled
+from molquarry.llm.common import discard, read_table, settled, unused
 from molquarry.llm.decontaminate import decontaminated
 from molquarry.llm.jaccard_join import JaccardJoin, near_duplicates_removed
 from molquarry.llm.prefix_free import repeats_removed
@@ -26,14 +26,15 @@ NEAR = JaccardJoin(k=5, num=80)
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose quality score is 0.5 or more. Null and empty texts get the model's bias alone; rows are scored one by
     one, so repeated ones share their fate, and a score of just 0.5 stays. Very long texts are read whole."""
-    scored = quality_scores(docs, learned_model(spark, sf_dir), score_col="quality_score")
-    return scored.where(F.col("quality_score") >= 0.5).drop("quality_score")
+    score = unused(docs, "quality_score")
+    return quality_scores(docs, learned_model(spark, sf_dir), score_col=score).where(F.col(score) >= 0.5).drop(score)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest id of each group of near-duplicates: five-word shingles, a similarity of 0.8 or more; groups are
-    what links reach. Null and empty texts link with nothing and stay. Rows that repeat id and text stay once; rows with a
-    null id stay where their group has no other id. Very long texts are compared whole."""
+    what links reach. Null and empty texts link with nothing and stay. Rows that repeat id and text stay once; of a group without
+    an id one row stays. Rows are told apart by id and text, so repeated and null ids are no groups. Very long texts are compared
+    whole."""
     return near_duplicates_removed(docs, NEAR)
 
 
