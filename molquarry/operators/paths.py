@@ -61,31 +61,106 @@ def route_depth(hop_table: DataFrame, molecules: DataFrame, reactions: DataFrame
     return _told(routes.join(_starts(molecules), "at", "left_semi").withColumn("steps", F.lit(steps)), reactions)
 
 
+def _layers(hop_table: DataFrame, targets: DataFrame, steps: int) -> DataFrame:
+    """(m, left): the molecules from which a target is at most `steps` hops away, with the least number of hops."""
+    pairs = hop_table.select("src", "dst").distinct()
+    near = written(targets.select(F.col("inchikey").alias("m"), F.lit(0).alias("left")), "layers")
+    for left in range(1, steps + 1):
+        edge = near.where(F.col("left") == left - 1)
+        before = pairs.join(edge, F.col("dst") == F.col("m"), "left_semi").select(F.col("src").alias("m")).distinct()
+        more = written(near.unionByName(before.join(near, "m", "left_anti").withColumn("left", F.lit(left))), "layers")
+        discard(near)
+        near = more
+    return near
+
+
+def _first_routes(rows: DataFrame, width: int) -> DataFrame:
+    """The first `width` routes that end at each molecule, in order, of rows (at, start, reaction_ids, molecules, open). An open row stands for
+    unknown routes at its place or later: it ends the list, as does the first route beyond `width`, which is kept as an open one."""
+    order = Window.partitionBy("at").orderBy("start", "reaction_ids", "molecules")
+    rows = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= width + 1)
+    rows = rows.withColumn("open", F.col("open") | (F.col("rank") > width))
+    before = Window.partitionBy("at").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("ended", F.coalesce(F.max("open").over(before), F.lit(False))).where("not ended").drop("ended")
+
+
+def _lengthened(routes: DataFrame, hop_table: DataFrame, simple: bool) -> DataFrame:
+    """The routes (at, start, reaction_ids, molecules, open) with one more hop after their last molecule."""
+    h = hop_table.select(F.col("src").alias("at"), F.col("reaction_id").alias("r"), "dst")
+    n = F.size("reaction_ids")
+    used = F.arrays_zip(F.slice("molecules", F.lit(1), n).alias("m"), F.col("reaction_ids").alias("r"))
+    made = F.arrays_zip(F.slice("molecules", F.lit(2), n).alias("m"), F.col("reaction_ids").alias("r"))
+    again = F.exists(used, lambda x: (x["m"] == F.col("at")) & (x["r"] == F.col("r"))) | F.exists(made, lambda x: (x["m"] == F.col("dst")) & (x["r"] == F.col("r")))
+    if simple:
+        again = F.array_contains("molecules", F.col("dst"))
+    longer = routes.join(h, "at").where(F.col("open") | ~again)
+    return longer.select(F.col("dst").alias("at"), "start", F.concat("reaction_ids", F.array("r")).alias("reaction_ids"), F.concat("molecules", F.array("dst")).alias("molecules"), "open")
+
+
 def route_search(hop_table: DataFrame, molecules: DataFrame, reactions: DataFrame, targets: DataFrame, max_depth: int = 8, max_routes: int = 10, simple: bool = False) -> DataFrame:
-    """The first max_routes routes of each target by length, start and reactions; max_depth counts hops of nodes, two a step.
-    Each depth extends the routes of the one before, which are a written table; targets that have enough routes leave
-    before the next one. Reactions are looked up for the routes that are kept only."""
-    hop_table, starts = written(hop_table, "hops"), written(_starts(molecules), "starts")
-    routes, found = written(_open(targets.distinct()), "routes"), None
-    order = Window.partitionBy("target").orderBy("at", "reaction_ids", "molecules")
-    for steps in range(1, max_depth // 2 + 1):
-        longer = written(_extended(routes, hop_table, simple), "routes")
-        discard(routes)
-        routes = longer
-        new = routes.join(starts, "at", "left_semi").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_routes)
-        if found is not None:  # shorter routes come first
-            have = found.groupBy("target").agg(F.count("*").alias("have"))
-            new = new.join(have, "target", "left").where(F.col("rank") + F.coalesce("have", F.lit(0)) <= max_routes)
-        new = new.select("target", F.lit(steps).alias("steps"), "molecules", "reaction_ids")
-        more = written(new if found is None else found.unionByName(new), "found-routes")
-        if found is not None:
-            discard(found)
-        found = more
-        full = found.groupBy("target").agg(F.count("*").alias("n")).where(F.col("n") >= max_routes)
-        routes, before = written(routes.join(full, "target", "left_anti"), "routes"), routes
-        discard(before)
-    discard(hop_table, starts, routes)
-    return _told(found, reactions)
+    """The first max_routes routes of each target by length, start, reactions and molecules; max_depth counts hops of nodes, two a step (the
+    columns of route_depth()).
+
+    Routes grow forwards from the available molecules, one step at a time, and every molecule keeps the first few routes
+    that end there: for a given last hop, routes are in the order of what comes before it, so the first ones of a
+    molecule are among those of the molecules before it. What is cut off is not forgotten: the first route left out stays
+    as an open end, whose continuations mark from where on a list may be incomplete (a kept route may repeat an edge and go,
+    and one that was left out would follow). A target takes routes from before such a mark only; the targets that a mark
+    leaves in doubt are searched again with longer lists. So results are exact, and a step's rows are bounded by the hops
+    times the lists' length, not by the number of routes. Molecules from which no unfinished target can be reached in the
+    steps left are dropped. Null targets and repeated ones count once; targets without a route have no rows."""
+    made: list[DataFrame] = []
+    found: list[DataFrame] = []
+    hop_table, starts = written(hop_table.distinct(), "hops"), written(_starts(molecules).distinct(), "starts")
+    open_, width = written(targets.select("inchikey").where("inchikey is not null").distinct(), "targets"), 2 * max_routes
+    while True:
+        new, doubt = _searched(hop_table, starts, open_, max_depth // 2, max_routes, width, simple)
+        made.append(open_)
+        found.append(new)
+        if doubt.isEmpty():
+            break
+        open_, width = doubt, 4 * width
+    result = written(_told(reduce(DataFrame.unionByName, found), reactions), "routes-told")
+    discard(hop_table, starts, *made, *found, doubt)
+    return result
+
+
+def _searched(hop_table: DataFrame, starts: DataFrame, targets: DataFrame, steps: int, max_routes: int, width: int, simple: bool) -> tuple[DataFrame, DataFrame]:
+    """(routes (target, steps, molecules, reaction_ids) of the targets that lists of `width` decide, the other targets)."""
+    empty = F.array().cast(f"array<{dict(hop_table.dtypes)['reaction_id']}>")
+    lists = starts.select("at", F.col("at").alias("start"), empty.alias("reaction_ids"), F.array("at").alias("molecules"), F.lit(False).alias("open"))
+    wanted = written(targets.select(F.col("inchikey").alias("target"), F.lit(max_routes).alias("need")), "wanted")  # targets with the routes that they lack
+    layers, asked = _layers(hop_table, targets, steps), wanted.count()
+    found, doubt, before = [], [], None
+    for step in range(1, steps + 1):
+        ends = layers.where(F.col("left") <= steps - step).select(F.col("m").alias("at"))
+        lists = written(_first_routes(_lengthened(lists, hop_table, simple).join(ends, "at", "left_semi"), width), "routes")
+        if before is not None:
+            discard(before)
+        before = lists
+        hits = lists.join(wanted, lists["at"] == wanted["target"]).select("target", "need", "rank", "open", "molecules", "reaction_ids").where("rank <= need or open")
+        hits = written(hits, "hits")
+        unsure = written(hits.groupBy("target").agg(F.max("open").alias("open"), F.count_if(~F.col("open")).alias("n"), F.max("need").alias("need")).where("open and n < need").select("target"), "unsure")
+        sure = hits.where("not open and rank <= need").join(unsure, "target", "left_anti")
+        new = written(sure.select("target", F.lit(step).alias("steps"), "molecules", "reaction_ids"), "found-routes")
+        found.append(new)
+        doubt.append(unsure)
+        had = new.groupBy("target").agg(F.count("*").alias("had"))
+        rest = wanted.join(unsure, "target", "left_anti").join(had, "target", "left").select("target", (F.col("need") - F.coalesce("had", F.lit(0))).cast("int").alias("need"))
+        rest = written(rest.where("need > 0"), "wanted")
+        discard(wanted, hits)
+        wanted, left = rest, rest.count()
+        if not left:
+            break
+        lists = lists.select("at", "start", "reaction_ids", "molecules", "open")
+        if 2 * left <= asked and step < steps:  # many are finished: less has to be kept for the others
+            discard(layers)
+            layers, asked = _layers(hop_table, wanted.select(F.col("target").alias("inchikey")), steps - step), left
+    again = written(reduce(DataFrame.unionByName, doubt).select(F.col("target").alias("inchikey")), "doubt")
+    routes = reduce(DataFrame.unionByName, found)
+    routes = written(routes.join(again, routes["target"] == again["inchikey"], "left_anti"), "found-routes")  # what they had is found again
+    discard(layers, wanted, *found, *doubt, *([before] if before is not None else []))
+    return routes, again
 
 
 def one_step(components: DataFrame, reactions: DataFrame) -> DataFrame:
@@ -94,23 +169,49 @@ def one_step(components: DataFrame, reactions: DataFrame) -> DataFrame:
     return pairs.groupBy("src", "dst").agg(F.max("yield_pct").cast("double").alias("y"))
 
 
-def precursor_edges(components: DataFrame, reactions: DataFrame, min_depth: int = 2, max_depth: int = 3, shortest_only: bool = False) -> DataFrame:
-    """(src, dst, step_count, total_yield): pairs joined by a path of distinct molecules, one row a depth, with the best
-    product of the steps' best yields (null if no path has all yields). Each depth is aggregated before it is kept."""
+def precursor_edges(components: DataFrame, reactions: DataFrame, min_depth: int = 2, max_depth: int = 3, shortest_only: bool = False, targets: DataFrame | None = None) -> DataFrame:
+    """(src, dst, step_count, total_yield): pairs joined by a path of 2 to 4 distinct molecules' steps (max_depth 4 at most), one row a depth, with
+    the best product of the steps' best yields (null if no path has all yields). With `targets` (inchikey), their precursors alone: paths
+    grow backwards from them.
+
+    No table of all paths: of the paths between two molecules only a representative family is kept, in one row, such that
+    whatever molecules come next, the best path without them is in it. Two steps keep the best middle molecules, one more
+    than may be forbidden; three steps keep the best pair, the best one without its first and the best one without its
+    second molecule. Null molecules are in no hop; yields are 0 or more."""
     hop = written(one_step(components, reactions), "one-step")
-    path, out = hop.select(F.col("src").alias("v0"), F.col("dst").alias("v1"), "y"), []
-    for depth in range(2, max_depth + 1):
-        if depth == max_depth == 3:
-            # of the paths v0, v1, v2 the best two are enough: the next molecule is v1 in one of them at most
-            best = Window.partitionBy("v0", "v2").orderBy(F.desc_nulls_last("y"), "v1")
-            path = path.withColumn("rank", F.row_number().over(best)).where("rank <= 2").drop("rank")
-        before = [f"v{i}" for i in range(depth)]
-        step = hop.select(F.col("src").alias(before[-1]), F.col("dst").alias(f"v{depth}"), F.col("y").alias("y2"))
-        apart = reduce(Column.__and__, (F.col(v) != F.col(f"v{depth}") for v in before[:-1]))
-        path = path.join(step, before[-1]).where(apart).select(*before, f"v{depth}", (F.col("y") * F.col("y2") / 100).alias("y"))
-        if depth >= min_depth:
-            out.append(path.groupBy(F.col("v0").alias("src"), F.col(f"v{depth}").alias("dst")).agg(F.lit(depth).alias("step_count"), F.round(F.max("y"), 2).alias("total_yield")))
-    found = reduce(DataFrame.unionByName, out)
+    near, far = ("src", "dst") if targets is None else ("dst", "src")
+    step = lambda at, to: hop.select(F.col(near).alias(at), F.col(far).alias(to), F.col("y").alias("z"))
+    one = hop.select(F.col(near).alias("v0"), F.col(far).alias("v1"), "y")
+    if targets is not None:
+        one = one.join(targets.select(F.col("inchikey").alias("v0")).distinct(), "v0", "left_semi")
+    edges = lambda rows, depth, to: rows.groupBy("v0", to).agg(F.round(F.max("y"), 2).alias("total_yield")).select(F.col("v0").alias(near), F.col(to).alias(far), F.lit(depth).alias("step_count"), "total_yield")
+
+    best = Window.partitionBy("v0", "v2").orderBy(F.desc_nulls_last("y"), "v1")
+    two = one.join(step("v1", "v2"), "v1").where("v0 <> v2").select("v0", "v1", "v2", (F.col("y") * F.col("z") / 100).alias("y"))
+    out = []
+    if max_depth == 2:
+        out.append(edges(two, 2, "v2"))
+    else:
+        two = two.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= max_depth - 1)
+        two = written(two.groupBy("v0", "v2").agg(F.array_sort(F.collect_list(F.struct("rank", "y", "v1"))).alias("by")), "two-steps")
+        if min_depth <= 2:
+            out.append(edges(two.select("v0", "v2", F.element_at("by", 1)["y"].alias("y")), 2, "v2"))
+        allowed = F.slice(F.filter("by", lambda x: x["v1"] != F.col("v3")), 1, max_depth - 2)
+        three = two.join(step("v2", "v3"), "v2").where("v0 <> v3").select("v0", "v2", "v3", "z", allowed.alias("by")).where("size(by) > 0")
+        three = three.select("v0", "v2", "v3", "z", F.inline("by")).select("v0", "v3", (F.col("y") * F.col("z") / 100).alias("y"), "v1", "v2")
+        if max_depth == 3:
+            out.append(edges(three, 3, "v3"))
+        else:
+            path = F.struct("y", "v1", "v2")  # null yields come last
+            three = three.withColumn("a", F.max(path).over(Window.partitionBy("v0", "v3")))
+            without = lambda v: F.max(F.when((F.col("v1") != F.col(f"a.{v}")) & (F.col("v2") != F.col(f"a.{v}")), path))
+            three = written(three.groupBy("v0", "v3").agg(F.max("a").alias("a"), without("v1").alias("b"), without("v2").alias("c")), "three-steps")
+            if min_depth <= 3:
+                out.append(edges(three.select("v0", "v3", F.col("a.y").alias("y")), 3, "v3"))
+            pick = F.when(F.col("v4") == F.col("a.v1"), F.col("b")).when(F.col("v4") == F.col("a.v2"), F.col("c")).otherwise(F.col("a"))
+            four = three.join(step("v3", "v4"), "v3").where("v0 <> v4").select("v0", "v4", "z", pick.alias("x")).where("x is not null")
+            out.append(edges(four.select("v0", "v4", (F.col("x.y") * F.col("z") / 100).alias("y")), 4, "v4"))
+    found = reduce(DataFrame.unionByName, out).select("src", "dst", "step_count", "total_yield")
     if shortest_only:
         found = found.groupBy("src", "dst").agg(F.min_by(F.struct("step_count", "total_yield"), "step_count").alias("x")).select("src", "dst", "x.*")
     return found

@@ -421,6 +421,13 @@ def route_search_depth8(m: Model) -> DataFrame:
     return rows.select("target", "start", "steps", joined(F.col("reaction_ids")).alias("reaction_ids"), joined(F.col("molecules")).alias("molecules"))
 
 
+@query(None)
+def route_search_depth16(m: Model) -> DataFrame:
+    """Up to eight steps, the most that may be asked for, and fifty routes a target."""
+    rows = paths.route_search(paths.hops(m.components), m.molecules, m.reactions, _targets(m), max_depth=16, max_routes=50)
+    return rows.select("target", "start", "steps", joined(F.col("reaction_ids")).alias("reaction_ids"), joined(F.col("molecules")).alias("molecules"), "total_yield")
+
+
 @query(_ROUTES_DEEP + _ROUTE_ELEMENTS)
 def route_elements_depth8(m: Model) -> DataFrame:
     return paths.route_elements(paths.route_search(paths.hops(m.components), m.molecules, m.reactions, _targets(m)))
@@ -448,6 +455,22 @@ def precursor_edges_depth3(m: Model) -> DataFrame:
     return paths.precursor_edges(m.components, m.reactions)
 
 
+_PRECURSORS_OF = _HOPS + """, best AS (SELECT src, dst, max(yield_pct) AS y FROM hop JOIN reactions ON r = reaction_id WHERE src <> dst GROUP BY 1, 2),
+one AS (SELECT dst AS v0, src AS v1, y FROM best JOIN targets ON dst = inchikey),
+two AS (SELECT v0, v1, src AS v2, one.y * b.y / 100 AS y FROM one JOIN best b ON b.dst = v1 WHERE src <> v0),
+three AS (SELECT v0, v1, v2, src AS v3, two.y * b.y / 100 AS y FROM two JOIN best b ON b.dst = v2 WHERE src NOT IN (v0, v1)),
+four AS (SELECT v0, src AS v4, three.y * b.y / 100 AS y FROM three JOIN best b ON b.dst = v3 WHERE src NOT IN (v0, v1, v2)),
+edges AS (SELECT v2 AS src, v0 AS dst, 2 AS step_count, max(y) AS y FROM two GROUP BY 1, 2 UNION ALL SELECT v3, v0, 3, max(y) FROM three GROUP BY 1, 2 UNION ALL SELECT v4, v0, 4, max(y) FROM four GROUP BY 1, 2)
+SELECT src, dst, step_count, CAST(round(CAST(CAST(y AS VARCHAR) AS DECIMAL(38, 20)), 2) AS DOUBLE) AS total_yield FROM edges"""
+
+
+@query(_PRECURSORS_OF)
+def precursor_edges_depth4(m: Model) -> DataFrame:
+    """All precursors up to the deepest level, four steps, of the stated targets."""
+    return paths.precursor_edges(m.components, m.reactions, max_depth=4, targets=_targets(m))
+
+
+
 # ---- similarity
 
 

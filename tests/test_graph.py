@@ -60,6 +60,97 @@ def test_search_is_shortest_first_and_capped(spark, toy):
     assert sorted((r["steps"], tuple(r["reaction_ids"])) for r in got) == [(1, (3,)), (2, (1, 2)), (3, (1, 5, 2))]
 
 
+def random_graph(spark, seed, molecules, n):
+    """(tables, hops, available): a random graph with cycles, loops and parallel reactions."""
+    rng = random.Random(seed)
+    hops = sorted({(rng.randint(1, molecules), r, rng.randint(1, molecules)) for r in range(1, n + 1) for _ in range(rng.choice([1, 1, 2]))})
+    rows = {(r, a, "reactant") for a, r, _ in hops} | {(r, b, "product") for _, r, b in hops}
+    hops = sorted({(a, r, b) for r, a, x in rows if x == "reactant" for q, b, y in rows if q == r and y == "product"})
+    ready = {m for m in range(1, molecules + 1) if rng.random() < 0.25} | {1}
+    yields = {r: rng.choice([None, 0.0, 10.0, 37.5, 80.0, 95.0]) for r in range(1, n + 1)}
+    tables = (
+        spark.createDataFrame([(m, m in ready) for m in range(1, molecules + 1)], "inchikey long, commercially_available boolean"),
+        spark.createDataFrame([(r, f"c{r}", y) for r, y in yields.items()], "reaction_id long, reaction_class string, yield_pct double"),
+        spark.createDataFrame(sorted(rows), "reaction_id long, inchikey long, role string").repartition(3),
+    )
+    return tables, hops, ready, yields
+
+
+def plain_search(hops, ready, target, steps, most, simple):
+    """All routes by walking forwards, shortest first, then by start, reactions and molecules."""
+    out, open_ = [], [((m,), ()) for m in sorted(ready)]
+    by = {}
+    for a, r, b in hops:
+        by.setdefault(a, []).append((r, b))
+    for _ in range(steps):
+        longer = []
+        for ms, rs in open_:
+            for r, b in by.get(ms[-1], ()):
+                if (b in ms) if simple else ((ms[-1], r) in zip(ms, rs) or (r, b) in zip(rs, ms[1:])):
+                    continue
+                longer.append((ms + (b,), rs + (r,)))
+        open_ = longer
+        out += sorted(((len(rs), ms[0], rs, ms) for ms, rs in open_ if ms[-1] == target))
+        if len(out) >= most:
+            break
+    return [(rs, ms) for _, _, rs, ms in out[:most]]
+
+
+@pytest.mark.parametrize(("seed", "simple", "most"), [(1, False, 3), (2, True, 2), (3, False, 1)])
+def test_search_to_eight_steps_against_walking(spark, seed, simple, most):
+    """Lists of two or so routes a molecule: many are cut, some targets are searched again."""
+    (molecules, reactions, components), hops, ready, _ = random_graph(spark, seed, 9, 11)
+    targets = spark.createDataFrame([(t,) for t in [*range(1, 10), 3, None, 99]], "inchikey long")
+    got = {}
+    for r in paths.route_search(paths.hops(components), molecules, reactions, targets, max_depth=16, max_routes=most, simple=simple).collect():
+        assert r["steps"] == len(r["reaction_ids"]) and r["start"] == r["molecules"][0]
+        got.setdefault(r["target"], []).append((r["steps"], r["start"], tuple(r["reaction_ids"]), tuple(r["molecules"])))
+    for t in range(1, 10):
+        assert [x[2:] for x in sorted(got.get(t, []))] == plain_search(hops, ready, t, 8, most, simple), t
+    assert set(got) <= set(range(1, 10))
+
+
+def test_lists_that_are_too_short_are_searched_again(spark):
+    """A cycle eats the first routes of a list: 1 -> 2 -> 1 ... repeat edges, so kept routes go and the ones left out follow."""
+    hops = [(1, 1, 2), (2, 2, 1), (2, 3, 3), (1, 4, 3), (3, 5, 4), (1, 6, 2), (4, 7, 1)]
+    molecules = spark.createDataFrame([(m, m == 1) for m in range(1, 5)], "inchikey long, commercially_available boolean")
+    reactions = spark.createDataFrame([(r, "c", 50.0) for r in range(1, 8)], "reaction_id long, reaction_class string, yield_pct double")
+    rows = [(r, a, "reactant") for a, r, _ in hops] + [(r, b, "product") for _, r, b in hops]
+    table = paths.hops(spark.createDataFrame(rows, "reaction_id long, inchikey long, role string"))
+    wanted, starts = spark.createDataFrame([(4,)], "inchikey long"), paths._starts(molecules)
+    sure, doubt = paths._searched(table, starts, wanted, 8, 40, 1, False)
+    assert sure.count() == 0 and [r[0] for r in doubt.collect()] == [4]
+    got = paths.route_search(table, molecules, reactions, wanted, max_depth=16, max_routes=40).collect()
+    assert sorted((r["steps"], tuple(r["reaction_ids"])) for r in got) == [(len(rs), rs) for rs, _ in plain_search(hops, {1}, 4, 8, 40, False)]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_precursors_of_four_steps_against_all_paths(spark, seed):
+    (_, reactions, components), hops, _, yields = random_graph(spark, seed, 12, 40)
+    best = {}
+    for a, r, b in hops:
+        if a != b:
+            best.setdefault((a, b), []).append(yields[r])
+    best = {k: max((y for y in v if y is not None), default=None) for k, v in best.items()}
+    open_, want = {(a, b): y for (a, b), y in best.items()}, {}
+    for depth in (2, 3, 4):
+        longer = {}
+        for path, y in open_.items():
+            for (a, b), z in best.items():
+                if a == path[-1] and b not in path:
+                    longer[path + (b,)] = None if y is None or z is None else y * z / 100
+        open_ = longer
+        for path, y in open_.items():
+            want.setdefault((path[0], path[-1], depth), []).append(y)
+    want = {k: max((y for y in v if y is not None), default=None) for k, v in want.items()}
+    same = lambda rows, keys: {(r["src"], r["dst"], r["step_count"]): r["total_yield"] for r in rows} == pytest.approx({k: want[k] for k in keys}, abs=0.0051)
+    assert same(paths.precursor_edges(components, reactions, max_depth=4).collect(), want)
+    assert same(paths.precursor_edges(components, reactions, max_depth=3).collect(), [k for k in want if k[2] < 4])
+    of = spark.createDataFrame([(3,), (4,), (4,), (77,)], "inchikey long")
+    assert same(paths.precursor_edges(components, reactions, max_depth=4, targets=of).collect(), [k for k in want if k[1] in (3, 4)])
+    assert same(paths.precursor_edges(components, reactions, min_depth=4, max_depth=4).collect(), [k for k in want if k[2] == 4])
+
+
 def test_precursors(toy):
     _, reactions, components = toy
     got = {(r["src"], r["dst"], r["step_count"]): r["total_yield"] for r in paths.precursor_edges(components, reactions, max_depth=3).collect()}
