@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from molquarry.sources.scratch import discard, written
 
 #: Queries that are sent to all tasks at once; rows of a block, and numbers of bits of a cell, where there are more.
 BLOCK, ROW_BLOCK, CELL = 32_768, 1_000_000, 16
+#: Sets of a block of an item that more sets have in their prefixes.
+LIST = 2_048
 
 
 def fp_build(text: Column, k: int = 3, n_bits: int = 2048) -> Column:
@@ -49,16 +52,20 @@ def tanimoto_words(a: Column, b: Column) -> Column:
 def shingles(text: Column, k: int = 3) -> Column:
     """Sorted distinct 64-bit hashes of the k-word runs of a text, words being what stands between spaces; null for a null text,
     empty with fewer words."""
-    words = F.filter(F.split(F.lower(text), " "), lambda x: x != "")
-    starts = lambda w: F.when(F.size(w) >= k, F.sequence(F.lit(0), F.size(w) - k)).otherwise(F.array().cast("array<int>"))
-    runs = lambda w: F.transform(starts(w), lambda i: F.xxhash64(*(F.get(w, i + d) for d in range(k))))
+    words = F.array_remove(F.split(F.lower(text), " "), "")
+
+    def runs(w: Column) -> Column:
+        n = F.greatest(F.size(w) - (k - 1), F.lit(0))
+        # the struct of a run's words is hashed as its words in turn
+        return F.transform(F.arrays_zip(*(F.slice(w, F.lit(i + 1), n).alias(f"w{i}") for i in range(k))), lambda run: F.xxhash64(run))
+
     # a lambda over an array of one, so that the words are made once a text
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(F.when(words.isNotNull(), F.array(words)), runs))))
+    return F.sort_array(F.array_distinct(F.flatten(F.transform(F.when(words.isNotNull(), F.array(words)), runs))))
 
 
 def _named(sets: DataFrame) -> DataFrame:
     """(id, n, k1, k2, tokens) of the non-empty sets (id, items): items as sorted 64-bit hashes, and two hashes of them all."""
-    tokens = "items" if dict(sets.dtypes)["items"] == "array<bigint>" else F.array_sort(F.transform("items", lambda x: F.xxhash64(x)))
+    tokens = "items" if dict(sets.dtypes)["items"] == "array<bigint>" else F.sort_array(F.transform("items", lambda x: F.xxhash64(x)))
     rows = sets.where(F.size("items") > 0).select("id", F.size("items").alias("n"), F.col(tokens) if isinstance(tokens, str) else tokens.alias("tokens"))
     rows = rows.withColumnRenamed("items", "tokens")
     return rows.select("id", "n", F.xxhash64("tokens").alias("k1"), F.xxhash64(F.lit(7), "tokens").alias("k2"), "tokens")
@@ -79,30 +86,38 @@ def similar_edges(sets: DataFrame, num: int, den: int, max_neighbours: int | Non
 
     Exact: two such sets share one of the rarest n - ceil(t n) + 1 items of each, counted over all sets. Only items that
     several sets have are ordered; the others come first in every order and are only counted. Sets under one item meet by
-    classes of size, the smaller with the larger, and only where the item's place leaves room for enough shared ones. Items
-    are compared as 64-bit hashes."""
+    cells of size, the smaller with the larger: the place of the item in the smaller set's order tells how large a partner
+    may be with which it is the first shared one, and the smaller set only goes to the cells up to that size. So an item that
+    all sets share, which comes late in every order, makes few pairs. An item that many sets have in their prefixes is
+    split into blocks of about LIST sets by LIST sets. Items are compared as 64-bit hashes."""
     named = written(_named(sets), "sets")
     first = named.groupBy("k1", "k2").agg(F.min("id").alias("id")).select("id")
     reps = written(named.join(first, "id", "left_semi").select("id", "n", "tokens"), "representatives")
     items = reps.select("id", "n", F.explode("tokens").alias("item"))
     common = items.groupBy("item").agg(F.count("*").alias("f")).where("f > 1")
-    ranked = items.join(common, "item").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("f", "item"))).alias("x"))
+    ranked = items.join(common, "item").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("f", "item"))).alias("x"))
     prefix = F.expr(f"n - ({num} * n + {den - 1}) div {den} + 1 - (n - size(x))")
     rows = ranked.where(prefix > 0).select("id", "n", F.expr("n - size(x)").alias("alone"), F.posexplode(F.slice("x", F.lit(1), prefix.cast("int"))).alias("i", "p"))
-    rows = rows.select("id", "n", "p.item", (F.col("alone") + F.col("i") + 1).alias("pos"))
-    size_class = F.floor(F.log("n") / (math.log(den / num) * (1 + 1e-9))).cast("int") if num < den else F.col("n")
-    rows = written(rows.withColumn("class", size_class), "prefixes")
-    smaller = rows.select("item", "class", F.col("id").alias("s"), F.col("n").alias("ns"), F.col("pos").alias("ps"))
-    larger = rows.select("item", F.explode(F.array("class", F.col("class") - 1)).alias("class"), F.col("id").alias("l"), F.col("n").alias("nl"), F.col("pos").alias("pl"))
+    listed = written(rows.select("id", "n", "p.item", (F.col("alone") + F.col("i") + 1).alias("pos")), "prefixes")
+    parts = listed.groupBy("item").agg(F.count("*").alias("f")).where(f"f > {LIST}").select("item", F.expr(f"cast((f + {LIST - 1}) div {LIST} as int)").alias("parts"))
+    rows = listed.join(parts, "item", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")))
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts").cast("bigint") - 1))
+    # sizes up to 64 are cells of their own, above there are 32 an octave
+    cell = lambda size: F.expr(f"cast(if({size} < 64, {size}, 64 + floor(32 * log2({size} / 64D))) as int)")
+    reach = F.expr(f"least((n + 1 - pos) * {num + den} div {num} - n, n * {den} div {num})")
+    smaller = rows.withColumn("reach", reach).where("reach >= n").withColumn("cell", F.explode(F.sequence(cell("n"), cell("reach")))).withColumn("other", every)
+    smaller = smaller.select("item", "cell", F.col("own").alias("block_s"), F.col("other").alias("block_l"), F.col("id").alias("s"), F.col("n").alias("ns"), F.col("pos").alias("ps"))
+    larger = rows.withColumn("cell", cell("n")).withColumn("other", every)
+    larger = larger.select("item", "cell", F.col("other").alias("block_s"), F.col("own").alias("block_l"), F.col("id").alias("l"), F.col("n").alias("nl"), F.col("pos").alias("pl"))
     fits = (F.col("ns") < F.col("nl")) | ((F.col("ns") == F.col("nl")) & (F.col("s") < F.col("l")))
     fits &= F.col("nl") * num <= F.col("ns") * den
     fits &= (1 + F.least(F.col("ns") - F.col("ps"), F.col("nl") - F.col("pl"))) * (num + den) >= (F.col("ns") + F.col("nl")) * num
-    pairs = smaller.join(larger, ["item", "class"]).where(fits).select(F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b")).distinct()
+    pairs = smaller.join(larger, ["item", "cell", "block_s", "block_l"]).where(fits).select(F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b")).distinct()
     x, y = (reps.select(F.col("id").alias(c), F.col("n").alias(f"{c}_n"), F.col("tokens").alias(f"{c}_tokens")) for c in ("a", "b"))
     found = pairs.join(x, "a").join(y, "b").select("a", "b", F.size(F.array_intersect("a_tokens", "b_tokens")).alias("s"), (F.col("a_n") + F.col("b_n")).alias("both"))
     found = found.withColumn("u", F.col("both") - F.col("s")).where(F.col("s") * den >= F.col("u") * num)
     found = written(found.select("a", "b", F.round(F.col("s") / F.col("u"), 4).alias("similarity")), "edges")
-    discard(named, reps, rows)
+    discard(named, reps, listed)
     if max_neighbours is not None:
         order = Window.partitionBy("a").orderBy(F.desc("similarity"), "b")
         found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_neighbours).drop("rank")
@@ -157,10 +172,105 @@ def sim_search(fps: DataFrame, queries: DataFrame, threshold: float = 0.7, limit
 
 
 def sim_search_batch(fps: DataFrame, queries: DataFrame, threshold: float = 0.7, limit: int = 10) -> DataFrame:
-    """The same without the query itself."""
+    """The same without the query itself. More than BLOCK queries are looked up in an index of bit blocks, see sim_search_indexed()."""
+    if threshold >= 0.5 and queries.limit(BLOCK + 1).count() > BLOCK:
+        return sim_search_indexed(fps, queries, threshold, limit)
     return top_hits(search(fps, queries, threshold), limit, with_self=False)
 
 
+def _ball(width: int, radius: int) -> int:
+    """Numbers of `width` bits with at most `radius` bits set."""
+    return sum(math.comb(width, i) for i in range(radius + 1))
+
+
+def _radii(apart: int, blocks: int) -> list[int]:
+    """Bits that may differ in each block (-1: the block is not needed), such that two sets with `apart` different bits at most are within them
+    in one block at least."""
+    return [(apart + 1) // blocks - 1 + (i < (apart + 1) % blocks) for i in range(blocks)]
+
+
+def _blocks(sizes: dict[int, int], n_words: int, threshold: float) -> int:
+    """Blocks a word that need the fewest looked-up keys and expected candidates, for sets by their number of bits."""
+
+    def cost(each: int) -> float:
+        width, total = 64 // each, sum(sizes.values())
+        keys = lambda n: sum(_ball(width, r) for r in _radii(_apart(n, threshold), each * n_words))
+        return sum(k * keys(n) * (1 + total / 2**width) for n, k in sizes.items())
+
+    return min((2, 4, 8, 16), key=cost)
+
+
+def _apart(n: int, threshold: float) -> int:
+    """The most bits by which a set of n bits differs from one of n bits or fewer at that similarity."""
+    return int(2 * n * (1 - threshold) / (1 + threshold) + 1e-9)
+
+
+def sim_search_indexed(fps: DataFrame, queries: DataFrame, threshold: float = 0.7, limit: int = 10, inclusive: bool = False) -> DataFrame:
+    """(query, id, similarity) as sim_search_batch(), exact for any number of queries, without comparing all pairs.
+
+    Rows with equal bits are one set with its smallest ids. The bits are cut into blocks; two sets of the wanted similarity
+    differ in so few bits that in one block they differ in a radius' bits at most (pigeonhole). The larger set of a pair
+    looks up all values within the radius of its own in each block, the smaller one is listed under its value; a pair is
+    made by the first block that fits and is compared on all bits. Width and radius are chosen by the sets' number and
+    sizes, so that lists stay short: candidates grow with the number of sets times the looked-up values, not with its
+    square. Made for dense bits; of sparse ones most blocks are empty, and similar_edges() is the join for them. Rows
+    without bits, with null words or a null id match nothing; repeated queries count once, repeated rows each."""
+    known = fps.select("id", "words").where("id is not null and words is not null")
+    asked = queries.select("id", "words").where("id is not null and words is not null").distinct()
+    some = asked.select(F.size("words")).first()
+    if some is None:
+        return asked.select(F.col("id").alias("query"), "id", F.lit(0.0).alias("similarity")).limit(0)
+    n_words, keep = some[0], limit + 1
+    bits = reduce(Column.__add__, (F.bit_count(F.get("words", F.lit(i))) for i in range(n_words)))
+    smallest = known.groupBy("words", "id").agg(F.least(F.count("*"), F.lit(limit)).cast("int").alias("times"))
+    smallest = smallest.withColumn("r", F.row_number().over(Window.partitionBy("words").orderBy("id"))).where(F.col("r") <= keep)
+    ids = smallest.groupBy("words").agg(F.sort_array(F.flatten(F.collect_list(F.array_repeat("id", F.col("times"))))).alias("ids"))
+    sets = ids.join(asked.select(F.col("words").alias("w")).distinct(), F.col("words") == F.col("w"), "full_outer")
+    sets = sets.select(F.coalesce("words", "w").alias("words"), "ids", F.col("w").isNotNull().alias("asked")).withColumn("n", bits).where("n > 0")
+    sets = written(sets, "bit-sets")
+    sizes = {r["n"]: r["count"] for r in sets.groupBy("n").count().collect()}  # one a number of bits
+    each = _blocks(sizes, n_words, threshold)
+    width, blocks = 64 // each, each * n_words
+    value = lambda words, i: F.call_function("shiftrightunsigned", F.get(words, F.lit(i // each)), F.lit(width * (i % each))).bitwiseAND(F.lit((1 << width) - 1))
+    radii = F.array(*(F.array(*(F.lit(r) for r in _radii(_apart(n, threshold), blocks))) for n in range(max(sizes, default=0) + 1)))
+    most = max((r for n in sizes for r in _radii(_apart(n, threshold), blocks)), default=0)
+    flips = [sorted(x for x in _within(width, r)) for r in range(most + 1)]
+    masks = sets.sparkSession.createDataFrame([(r, x) for r, xs in enumerate(flips) for x in xs], "radius int, flip long")  # 2^width a radius at most
+    own = F.explode(F.array(*(F.struct(F.lit(i).alias("block"), value("words", i).alias("value")) for i in range(blocks))))
+    listed = sets.select(F.col("words").alias("ws"), F.col("ids").alias("ids_s"), F.col("asked").alias("asked_s"), F.col("n").alias("ns"), own.alias("at")).select("ws", "ids_s", "asked_s", "ns", "at.*")
+    looked = sets.select(F.col("words").alias("wl"), F.col("ids").alias("ids_l"), F.col("asked").alias("asked_l"), F.col("n").alias("nl"), F.get(radii, F.col("n")).alias("radii"), own.alias("at"))
+    looked = looked.select("wl", "ids_l", "asked_l", "nl", "radii", "at.block", F.col("at.value").alias("centre"), F.get("radii", F.col("at.block")).alias("radius"))
+    looked = looked.join(F.broadcast(masks), "radius").withColumn("value", F.col("centre").bitwiseXOR(F.col("flip"))).drop("flip", "centre", "radius")
+    ordered = (F.col("nl") > F.col("ns")) | ((F.col("nl") == F.col("ns")) & (F.col("wl") > F.col("ws")))
+    useful = (F.col("asked_l") & F.col("ids_s").isNotNull()) | (F.col("asked_s") & F.col("ids_l").isNotNull())
+    differ = lambda i: F.bit_count(value("wl", i).bitwiseXOR(value("ws", i)))
+    earlier = reduce(Column.__or__, ((F.lit(i) < F.col("block")) & (differ(i) <= F.get("radii", F.lit(i))) for i in range(blocks)))
+    shared = reduce(Column.__add__, (F.bit_count(F.get("wl", F.lit(i)).bitwiseAND(F.get("ws", F.lit(i)))) for i in range(n_words)))
+    score = shared / (F.col("nl") + F.col("ns") - shared)
+    good = score >= threshold if inclusive else score > threshold
+    # a set that nobody asks for meets asked ones alone
+    meets = lambda a, b: a.join(b, ["block", "value"]).where(ordered & useful & (F.col("ns") >= F.floor(F.col("nl") * threshold)) & good & ~earlier)
+    pairs = meets(looked.where("asked_l"), listed).unionByName(meets(looked.where("not asked_l"), listed.where("asked_s")))
+    pairs = written(pairs.select("wl", "ids_l", "asked_l", "ws", "ids_s", "asked_s", score.alias("similarity")), "pairs")
+    side = lambda q, x: pairs.where(f"asked_{q} and ids_{x} is not null").select(F.col(f"w{q}").alias("words"), "similarity", F.col(f"ids_{x}").alias("ids"))
+    equal = sets.where("asked and ids is not null").select("words", F.lit(1.0).alias("similarity"), "ids")
+    if threshold >= 1.0 and not inclusive:
+        equal = equal.limit(0)
+    near = side("l", "s").unionByName(side("s", "l")).unionByName(equal)
+    first = Window.partitionBy("words").orderBy(F.desc("similarity"), F.get("ids", F.lit(0)))
+    near = near.withColumn("r", F.row_number().over(first)).where(F.col("r") <= keep).select("words", "similarity", F.explode("ids").alias("id"))
+    hits = asked.select(F.col("id").alias("query"), "words").join(near, "words").where("query <> id")
+    found = top_hits(hits.select("query", "id", "similarity"), limit)
+    found = written(found, "hits")
+    discard(sets, pairs)
+    return found
+
+
+def _within(width: int, radius: int) -> list[int]:
+    """All numbers of `width` bits with at most `radius` bits set."""
+    return [sum(1 << i for i in places) for r in range(radius + 1) for places in combinations(range(width), r)]
+
+
 def knn(fps: DataFrame, queries: DataFrame, k: int = 50) -> DataFrame:
     """The k nearest other rows of every query."""
     return top_hits(search(fps, queries, -1.0), k, with_self=False)

@@ -495,6 +495,12 @@ def sim_search_batch(m: Model) -> DataFrame:
     return similarity.sim_search_batch(m.fingerprints, _asked(m), threshold=0.45, limit=10)
 
 
+@query(_HITS.replace("q.id % 20 = 0", "q.id <> x.id").format(where="s / u > 0.5", limit=10))
+def sim_search_indexed(m: Model) -> DataFrame:
+    """All rows as queries, by the index of bit blocks."""
+    return similarity.sim_search_indexed(m.fingerprints, m.fingerprints, threshold=0.5, limit=10)
+
+
 @query(_HITS.format(where="query <> id", limit=50))
 def knn(m: Model) -> DataFrame:
     return similarity.knn(m.fingerprints, _asked(m), 50)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from molquarry.operators import graph, similarity
+from molquarry.sources.scratch import spread
 
 MOLECULES = {
     "inchikey": "p_partkey", "smiles": "p_name", "formula": "p_brand", "iupac_name": "p_type", "mol_weight": "p_retailprice", "num_rings": "p_size",
@@ -101,7 +102,7 @@ class Model:
     @cached_property
     def shingles(self) -> DataFrame:
         """Lower-cased word 3-shingles of documents as sorted sets of hashes."""
-        return self.table("documents").select(F.col("doc_id").alias("id"), similarity.shingles(F.col("text")).alias("items"))
+        return spread(self.table("documents").select(F.col("doc_id").alias("id"), "text")).select("id", similarity.shingles(F.col("text")).alias("items"))
 
     @cached_property
     def records(self) -> DataFrame:

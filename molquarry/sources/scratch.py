@@ -61,3 +61,9 @@ def discard(*tables: DataFrame) -> None:
         spark = table.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(table._written_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores: a table read in fewer partitions than there are cores (one small file) is dealt anew, any other stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -174,6 +174,61 @@ def test_similarity_join_against_brute_force(spark):
     assert capped.groupBy("a").count().where("count > 1").count() == 0
 
 
+@pytest.mark.parametrize("most", [2, 7])
+def test_similarity_join_splits_the_sets_of_a_common_item(spark, monkeypatch, most):
+    """Items that many sets have in their prefixes are dealt into blocks; all pairs are found, each once."""
+    monkeypatch.setattr(similarity, "LIST", most)
+    rng = random.Random(most)
+    sets = [(i, sorted({"common", *rng.sample([f"t{x}" for x in range(12)], rng.randint(1, 9))})) for i in range(120)]
+    sets += [(500 + i, [f"s{k}" for k in range(70 + i)]) for i in range(9)]  # cells of several sizes
+    first = {}
+    for i, s in sets:
+        first[tuple(s)] = min(i, first.get(tuple(s), i))
+    reps = {i: set(s) for s, i in first.items()}
+    for num, den in ((1, 2), (17, 20)):
+        want = sorted((a, b) for a in reps for b in reps if a < b and len(reps[a] & reps[b]) * den >= len(reps[a] | reps[b]) * num)
+        got = similarity.similar_edges(spark.createDataFrame(sets, "id long, items array<string>"), num, den).collect()
+        assert sorted((r["a"], r["b"]) for r in got) == want
+
+
+@pytest.mark.parametrize(("threshold", "limit", "n_words"), [(0.5, 3, 1), (0.7, 10, 2), (0.85, 2, 1)])
+def test_bit_index_against_all_pairs(spark, threshold, limit, n_words):
+    rng = random.Random(limit)
+    sign = lambda x: x - (1 << 64) if x >= 1 << 63 else x
+    base = [[rng.getrandbits(64) for _ in range(n_words)] for _ in range(40)]
+    rows = [(i, list(w)) for i, w in enumerate(base)]
+    for i in range(160):  # near copies and copies
+        w = list(rng.choice(base))
+        for _ in range(rng.randint(0, 12)):
+            w[rng.randrange(n_words)] ^= 1 << rng.randrange(64)
+        rows.append((100 + i, w))
+    rows += [rows[3], rows[3], (3, base[5]), (900, [0] * n_words)]
+    rows = [(i, [sign(x) for x in w]) for i, w in rows] + [(901, None), (None, [1] * n_words)]
+    df = spark.createDataFrame(rows, "id long, words array<long>").repartition(3)
+    bits = lambda w: {64 * k + b for k, x in enumerate(w) for b in range(64) if x >> b & 1}
+    known = [(i, bits(w)) for i, w in rows if i is not None and w is not None]
+    for asked in (df, df.where("id % 3 = 0")):
+        want = []
+        for q, a in {(i, frozenset(b)) for i, b in known if asked is df or i % 3 == 0}:
+            hits = sorted((-len(a & b) / len(a | b), x) for x, b in known if x != q and a | b and len(a & b) / len(a | b) > threshold)
+            want += [(q, hits_) for hits_ in hits]
+        best = {}
+        for q, (s, x) in want:
+            best.setdefault(q, []).append((s, x))
+        want = sorted((q, x, -s) for q, h in best.items() for s, x in sorted(h)[:limit])
+        got = sorted((r["query"], r["id"], r["similarity"]) for r in similarity.sim_search_indexed(df, asked, threshold, limit).collect())
+        assert [x[:2] for x in got] == [x[:2] for x in want] and all(abs(a[2] - b[2]) < 6e-5 for a, b in zip(got, want))
+    assert similarity.sim_search_indexed(df, df.limit(0), threshold, limit).collect() == []
+
+
+def test_bit_index_is_chosen_by_size(spark, monkeypatch):
+    df = spark.createDataFrame([(1, [7]), (2, [7]), (3, [15]), (4, [8])], "id long, words array<long>")
+    few = sorted(map(tuple, similarity.sim_search_batch(df, df, 0.7).collect()))
+    monkeypatch.setattr(similarity, "BLOCK", 2)
+    assert sorted(map(tuple, similarity.sim_search_batch(df, df, 0.7).collect())) == few == [(1, 2, 1.0), (1, 3, 0.75), (2, 1, 1.0), (2, 3, 0.75), (3, 1, 0.75), (3, 2, 0.75)]
+    assert similarity._radii(11, 4) == [2, 2, 2, 2] and similarity._radii(12, 4) == [3, 2, 2, 2] and similarity._radii(1, 4) == [0, 0, -1, -1]
+
+
 def test_bits(spark):
     df = spark.createDataFrame([(1, [0, 5, 63, 64]), (2, [5, 63]), (3, []), (4, [1])], "id long, bits array<int>").withColumn("words", similarity.packed(F.col("bits"), 2))
     got = {r["id"]: r["words"] for r in df.collect()}
