@@ -1,5 +1,5 @@
 """The property graph of molecules and reactions as node and edge tables. Edges are
-(src_kind, src, dst_kind, dst, label, equivalents, volume_ml, yield_pct, is_major)."""
+(src_kind, src, dst_kind, dst, label, stoichiometry, equivalents, volume_ml, yield_pct, is_major)."""
 
 from __future__ import annotations
 
@@ -21,13 +21,15 @@ def rxn_nodes(reactions: DataFrame) -> DataFrame:
 
 
 def all_edges(components: DataFrame) -> DataFrame:
-    """Edges of the components whose role has a label, endpoints unchecked."""
+    """Edges of the components whose role has a label, endpoints unchecked. Components without a column of stoichiometry have none."""
+    parts = F.col("stoichiometry") if "stoichiometry" in components.columns else F.lit(None).cast("double")
     rows = components.withColumn("label", lookup(F.col("role"), LABELS)).where("label is not null")
     made = F.col("label") == "PRODUCT_OF"
     side = lambda a, b: F.when(made, F.col(a)).otherwise(F.col(b))
     return rows.select(
         F.when(made, "reaction").otherwise("molecule").alias("src_kind"), side("reaction_id", "inchikey").alias("src"),
         F.when(made, "molecule").otherwise("reaction").alias("dst_kind"), side("inchikey", "reaction_id").alias("dst"), "label",
+        F.when(F.col("label") == "REACTANT_IN", parts).alias("stoichiometry"),
         F.when(F.col("label").isin("REACTANT_IN", "CATALYSES"), F.col("equivalents")).alias("equivalents"), F.when(F.col("label") == "SOLVENT_IN", F.col("volume_ml")).alias("volume_ml"),
         F.when(made, F.col("yield_pct")).alias("yield_pct"), F.when(made, F.col("is_major")).alias("is_major"),
     )

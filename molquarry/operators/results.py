@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, NumericType
 
-from molquarry.sources.scratch import written
+from molquarry.sources.scratch import fresh_path, written
 
 
 def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
@@ -16,6 +16,36 @@ def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> Dat
     return df.orderBy(*order).offset(offset).limit(limit).join(F.broadcast(df.agg(F.count("*").alias("total"))))  # one row
 
 
+class Listing:
+    """A sorted listing that is paged many times: the rows are dealt into ranges of the order once and written by range, with the
+    number of rows of each. A page reads the one or two ranges that it lies in, however deep it is, and sorts those alone.
+
+    `order` ends in a unique key, so that pages never overlap. Pages have the columns of the rows, `place` (from 1) and the
+    listing's `total`; the place of a page's last row is the offset of the next one. Equal rows under a key that is not
+    unique may change places within a range. An offset beyond the listing gives no rows."""
+
+    def __init__(self, rows: DataFrame, order: list[Column]):
+        spark, self.order, self.columns = rows.sparkSession, order, rows.columns
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.path = fresh_path(spark, "listing")
+        dealt = rows.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id())
+        dealt.write.partitionBy("_range").parquet(self.path)
+        self.rows = spark.read.schema(dealt.schema).parquet(self.path)
+        counts = {r["_range"]: r["count"] for r in self.rows.groupBy("_range").count().collect()}  # one row a range
+        self.before, self.total = {}, 0
+        for k in sorted(counts):
+            self.before[k] = self.total
+            self.total += counts[k]
+        self.counts = counts
+
+    def page(self, limit: int, offset: int = 0) -> DataFrame:
+        inside = [k for k, n in self.before.items() if n < offset + limit and n + self.counts[k] > offset]
+        own = F.row_number().over(Window.partitionBy("_range").orderBy(*self.order))
+        first = F.coalesce(*(F.when(F.col("_range") == k, F.lit(self.before[k])) for k in inside), F.lit(0))
+        rows = self.rows.where(F.col("_range").isin(inside)).withColumn("place", (first + own).cast("long"))
+        return rows.where(F.col("place").between(offset + 1, offset + limit)).select(*self.columns, "place", F.lit(self.total).cast("long").alias("total"))
+
+
 def browse(df: DataFrame, text_col: str, q: str | None) -> DataFrame:
     """Rows whose text contains q, in any case; all rows without q."""
     return df if q is None else df.where(F.col(text_col).ilike(f"%{q}%"))
@@ -58,6 +88,17 @@ def numbered(df: DataFrame, order: str) -> DataFrame:
     return rows.join(offsets, "_range").withColumn("place", F.col("_offset") + own).drop("_range", "_offset")
 
 
+def ids_of(rows: DataFrame, key: str, id_col: str) -> DataFrame:
+    """(key, place, id): the distinct ids of each key in ascending order with their place (from 1), one row an id; a key may have any number.
+
+    Keys and ids are dealt together by ranges, so no task sees a key whole. Rows with a null key or id are left out."""
+    pairs = rows.select(F.struct(F.col(key).alias("key"), F.col(id_col).alias("id")).alias("pair")).where("pair.key is not null and pair.id is not null").distinct()
+    placed = written(numbered(pairs, "pair"), "ids")
+    first = placed.groupBy("pair.key").agg(F.min("place").alias("first")).withColumnRenamed("key", "of")
+    both = placed.join(first, F.col("pair.key") == F.col("of"))
+    return both.select(F.col("of").alias(key), (F.col("place") - F.col("first") + 1).alias("place"), F.col("pair.id").alias(id_col))
+
+
 def result_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column_name, row_count, n, avg, min, max) of the numeric columns among `columns` that df has, in one aggregation."""
     names = [c for c in columns if c in df.columns and isinstance(df.schema[c].dataType, NumericType)]

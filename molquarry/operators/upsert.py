@@ -1,5 +1,8 @@
 """Table maintenance as functions (target, batch) -> new target; keys compare null-safely, batches are deduplicated with a
-map-side part, and nothing is written over what is read."""
+map-side part, and nothing is written over what is read.
+
+A batch of at most SENT keys is sent to all tasks of the target, which is not shuffled then; a larger one meets it in a join
+that shuffles both."""
 
 from __future__ import annotations
 
@@ -9,6 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from molquarry.operators.results import numbered
+from molquarry.sources.scratch import written
+
+#: Rows of a batch, one a key, that are sent to all tasks.
+SENT = 200_000
 
 
 def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
@@ -29,10 +36,21 @@ def insert_absent(target: DataFrame, batch: DataFrame, keys: list[str], order: l
 
 
 def _paired(target: DataFrame, batch: DataFrame, keys: list[str], how: str) -> DataFrame:
-    """Structs t and b of the rows that share a key."""
+    """Structs t and b of the rows that share a key, and of the target's others ("left"), or of both sides' others ("full_outer"). The batch has
+    one row a key."""
+    batch = written(batch, "batch")
     t = target.select(F.struct(*target.columns).alias("t"))
     b = batch.select(F.struct(*batch.columns).alias("b"))
-    return t.join(b, reduce(Column.__and__, (F.col(f"t.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys)), how)
+    same = reduce(Column.__and__, (F.col(f"t.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys))
+    if batch.count() > SENT:
+        return t.join(b, same, how)
+    known = t.join(F.broadcast(b), same, "left")
+    if how == "left":
+        return known
+    # what the target has is found by a pass over its keys, again without moving them
+    have = target.select(*keys).join(F.broadcast(batch.select(*keys)), _same(target, batch, keys), "inner").select(*(batch[k] for k in keys)).distinct()
+    new = batch.join(have, _same(batch, have, keys), "left_anti").select(F.struct(*batch.columns).alias("b"))
+    return known.unionByName(new.select(F.lit(None).cast(t.schema["t"].dataType).alias("t"), "b"))
 
 
 def upsert_union_sources(target: DataFrame, batch: DataFrame, key: str, array_col: str, stamp: str, order: list[str]) -> DataFrame:

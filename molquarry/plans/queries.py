@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from molquarry.functions import units as U
 from molquarry.operators import classify, graph, ingest, paths, profiles, quality, results, similarity, upsert
+from molquarry.plans import tables
 from molquarry.plans.tables import SQL, Model
-from molquarry.sources.scratch import fresh_path
+from molquarry.sources.scratch import fresh_path, written
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -58,6 +61,51 @@ def q_catalysts(m: Model) -> DataFrame:
     return _with_ids(rows, best.orderBy(F.desc("reaction_count"), "catalyst").limit(20), "catalyst")
 
 
+def _ids_sql(report: str, key: str) -> str:
+    return f"""{report}) SELECT x.*, i.reaction_id, i.place FROM report x JOIN (
+  SELECT {key}, reaction_id, row_number() OVER (PARTITION BY {key} ORDER BY reaction_id) AS place FROM (SELECT DISTINCT {key}, reaction_id FROM used)) i USING ({key})"""
+
+
+_SOLVENTS = """, used AS (SELECT m.smiles AS solvent, r.reaction_id, r.yield_pct FROM reactions r JOIN components c ON r.reaction_id = c.reaction_id JOIN molecules m ON c.inchikey = m.inchikey
+  WHERE c.role = 'solvent' AND r.reaction_class ILIKE '%high%' AND r.yield_pct IS NOT NULL),
+report AS (SELECT solvent, round(avg(yield_pct), 1) AS avg_yield, count(*) AS reaction_count FROM used GROUP BY 1 HAVING count(*) >= 3 ORDER BY avg_yield DESC, solvent LIMIT 20"""
+
+_CATALYSTS = """, used AS (SELECT m.smiles AS catalyst, r.reaction_id, r.yield_pct FROM reactions r JOIN components c ON r.reaction_id = c.reaction_id JOIN molecules m ON c.inchikey = m.inchikey
+  WHERE c.role = 'catalyst' AND r.reaction_class ILIKE '%urgent%'),
+report AS (SELECT catalyst, count(DISTINCT reaction_id) AS reaction_count, round(avg(yield_pct), 1) AS avg_yield FROM used GROUP BY 1 ORDER BY reaction_count DESC, catalyst LIMIT 20"""
+
+
+def _used(m: Model, role: str, like: str, key: str) -> DataFrame:
+    """(key, reaction_id, yield_pct): the molecules of a role with the reactions of a class that they take part in."""
+    chosen = m.reactions.where(F.col("reaction_class").ilike(like)).select("reaction_id", "yield_pct")
+    rows = m.components.where(F.col("role") == role).select("reaction_id", "inchikey").join(chosen, "reaction_id")
+    return rows.join(m.molecules.select("inchikey", F.col("smiles").alias(key)), "inchikey").select(key, "reaction_id", "yield_pct")
+
+
+def _placed_ids(used: DataFrame, report: DataFrame, key: str) -> DataFrame:
+    """The report's rows with the reactions of each, one row an id, however many there are."""
+    report = written(report, "report")
+    few = F.broadcast(report)  # as many rows as the report
+    ids = results.ids_of(used.join(few.select(key), key, "left_semi"), key, "reaction_id")
+    return ids.join(few, key)
+
+
+@query(_ids_sql(_SOLVENTS, "solvent"))
+def q_best_solvents_ids(m: Model) -> DataFrame:
+    """The report with its reactions as rows (place 1, 2, ... of each solvent)."""
+    used = _used(m, "solvent", "%high%", "solvent").where("yield_pct is not null")
+    best = used.groupBy("solvent").agg(F.round(F.avg("yield_pct"), 1).alias("avg_yield"), F.count("*").alias("reaction_count")).where("reaction_count >= 3")
+    return _placed_ids(used, best.orderBy(F.desc("avg_yield"), "solvent").limit(20), "solvent")
+
+
+@query(_ids_sql(_CATALYSTS, "catalyst"))
+def q_catalysts_ids(m: Model) -> DataFrame:
+    """The report with its reactions as rows (place 1, 2, ... of each catalyst)."""
+    used = _used(m, "catalyst", "%urgent%", "catalyst")
+    best = used.groupBy("catalyst").agg(F.count_distinct("reaction_id").alias("reaction_count"), F.round(F.avg("yield_pct"), 1).alias("avg_yield"))
+    return _placed_ids(used, best.orderBy(F.desc("reaction_count"), "catalyst").limit(20), "catalyst")
+
+
 @query("SELECT reaction_id, yield_pct, temperature_c, atmosphere FROM reactions WHERE reaction_class ILIKE '%medium%' AND yield_pct IS NOT NULL ORDER BY yield_pct DESC, reaction_id LIMIT 50")
 def q_top_yield(m: Model) -> DataFrame:
     rows = m.reactions.where(F.col("reaction_class").ilike("%medium%") & F.col("yield_pct").isNotNull())
@@ -243,6 +291,37 @@ def search_reactions(m: Model) -> DataFrame:
     return results.search_reactions(m.reactions, reaction_class="1-URGENT", min_yield=20, max_yield=90, min_temp=0, max_temp=80, atmosphere="O").select("reaction_id", "yield_pct", "temperature_c")
 
 
+_FOUND = """, found AS (SELECT reaction_id, yield_pct, temperature_c, row_number() OVER (ORDER BY yield_pct DESC NULLS LAST, reaction_id) AS place, count(*) OVER () AS total
+  FROM reactions WHERE temperature_c >= 0 AND temperature_c <= 140) SELECT * FROM found WHERE place BETWEEN {a} AND {b}"""
+
+
+def _searched_page(m: Model, limit: int, offset: int) -> DataFrame:
+    rows = results.search_reactions(m.reactions, min_temp=0, max_temp=140).select("reaction_id", "yield_pct", "temperature_c")
+    return results.Listing(rows, [F.desc_nulls_last("yield_pct"), F.asc("reaction_id")]).page(limit, offset)
+
+
+@query(_FOUND.format(a=1, b=50))
+def search_reactions_page(m: Model) -> DataFrame:
+    """The first page of a filtered search in its order, with places and total."""
+    return _searched_page(m, 50, 0)
+
+
+@query(_FOUND.format(a=701, b=750))
+def search_reactions_late_page(m: Model) -> DataFrame:
+    """A page deep in the same listing."""
+    return _searched_page(m, 50, 700)
+
+
+@query(""", found AS (SELECT inchikey, mol_weight, row_number() OVER (ORDER BY mol_weight NULLS LAST, inchikey) AS place, count(*) OVER () AS total
+  FROM molecules JOIN bits ON inchikey = id WHERE len(list_intersect(b, [1, 4])) = 2) SELECT * FROM found WHERE place BETWEEN 21 AND 40""")
+def substructure_screen_page(m: Model) -> DataFrame:
+    """A page of the molecules that contain a pattern, by weight, with places and total."""
+    asked = m.spark.range(1, 2).select("id", F.array(F.lit(2 | 16).cast("long")).alias("words"))
+    found = similarity.containment_screen(m.fingerprints, asked).select(F.col("id").alias("inchikey"))
+    rows = m.molecules.join(found, "inchikey").select("inchikey", "mol_weight")
+    return results.Listing(rows, [F.asc_nulls_last("mol_weight"), F.asc("inchikey")]).page(20, 20)
+
+
 @query("SELECT 'molecules' AS table_name, count(*) AS n FROM molecules UNION ALL SELECT 'reactions', count(*) FROM reactions UNION ALL SELECT 'components', count(*) FROM components UNION ALL SELECT 'activities', count(*) FROM activities UNION ALL SELECT 'hazards', count(*) FROM hazards")
 def table_counts(m: Model) -> DataFrame:
     return results.table_counts({k: getattr(m, k) for k in ("molecules", "reactions", "components", "activities", "hazards")})
@@ -324,7 +403,7 @@ def graph_rxn_nodes(m: Model) -> DataFrame:
 _EDGES = """, edges AS (SELECT CASE role WHEN 'product' THEN 'reaction' ELSE 'molecule' END AS src_kind, CASE role WHEN 'product' THEN c.reaction_id ELSE c.inchikey END AS src,
   CASE role WHEN 'product' THEN 'molecule' ELSE 'reaction' END AS dst_kind, CASE role WHEN 'product' THEN c.inchikey ELSE c.reaction_id END AS dst,
   CASE role WHEN 'reactant' THEN 'REACTANT_IN' WHEN 'catalyst' THEN 'CATALYSES' WHEN 'solvent' THEN 'SOLVENT_IN' ELSE 'PRODUCT_OF' END AS label,
-  CASE WHEN role IN ('reactant', 'catalyst') THEN equivalents END AS equivalents, CASE role WHEN 'solvent' THEN volume_ml END AS volume_ml,
+  CASE role WHEN 'reactant' THEN stoichiometry END AS stoichiometry, CASE WHEN role IN ('reactant', 'catalyst') THEN equivalents END AS equivalents, CASE role WHEN 'solvent' THEN volume_ml END AS volume_ml,
   CASE role WHEN 'product' THEN c.yield_pct END AS yield_pct, CASE role WHEN 'product' THEN is_major END AS is_major
   FROM components c JOIN molecules m ON c.inchikey = m.inchikey JOIN reactions r ON c.reaction_id = r.reaction_id WHERE {where})"""
 
@@ -690,6 +769,13 @@ def backfill_derived(m: Model) -> DataFrame:
     return upsert.backfill_derived(_split(m)[0].select("inchikey", "formula"), "formula", value)
 
 
+@query(_SPLIT + " SELECT count(*) FILTER (WHERE formula IS NULL AND inchikey % 8 <> 0) AS updated, count(*) FILTER (WHERE formula IS NULL AND inchikey % 8 = 0) AS invalid FROM target")
+def backfill_report(m: Model) -> DataFrame:
+    """How many rows a backfill fills, and how many stay without a value."""
+    value = F.when(F.col("inchikey") % 8 != 0, F.concat(F.lit("F"), F.col("inchikey")))
+    return upsert.backfill_counts(_split(m)[0].select("inchikey", "formula"), "formula", value)
+
+
 @query(""" SELECT 'reactions.pk' AS violation, 0::BIGINT AS n UNION ALL SELECT 'lineitem.unique', count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_partkey, l_returnflag HAVING count(*) > 1)
 UNION ALL SELECT 'hazards.fk', count(*) FROM hazards WHERE inchikey NOT IN (SELECT inchikey FROM molecules) UNION ALL SELECT 'components.role', count(*) FILTER (WHERE role NOT IN ('reactant', 'product', 'solvent')) FROM components
 UNION ALL SELECT 'reactions.yield', count(*) FILTER (WHERE yield_pct IS NULL) FROM reactions""")
@@ -705,6 +791,19 @@ def load_stats(m: Model) -> DataFrame:
     return quality.load_stats(ingest.reaction_rows(m.records))
 
 
+@query("""SELECT 'completed' AS status, 'events' AS source_name, 'kind=all,limit=5' AS config, count(*) AS read, count(*) FILTER (WHERE event_id % 7 > 1) AS loaded, count(*) FILTER (WHERE event_id % 7 = 1) AS skipped, count(*) FILTER (WHERE event_id % 7 = 0) AS failed,
+(SELECT string_agg(item || ':bad ' || item, ',' ORDER BY item) FROM (SELECT CAST(event_id AS VARCHAR) AS item FROM events WHERE event_id % 7 = 0 ORDER BY 1 LIMIT 1000)) AS errors FROM events""", model=False)
+def load_log(m: Model) -> DataFrame:
+    """The record of a load that writes its rows: status, settings, counts and the first thousand errors."""
+    k = F.col("event_id") % 7
+    status = F.when(k == 0, "failed").when(k == 1, "skipped").otherwise("loaded")
+    rows = m.table("events").select(F.col("event_id").alias("item_id"), "event_type", status.alias("status"), F.when(k == 0, F.concat(F.lit("bad "), "event_id")).alias("error"))
+    told = quality.recorded_load(rows, _folder(m, "load"), "events", config={"limit": 5, "kind": "all", "unset": None})
+    settings = F.array_join(F.transform(F.array_sort(F.map_entries("config")), lambda x: F.concat_ws("=", x["key"], x["value"])), ",")
+    errors = F.array_join(F.transform("errors", lambda x: F.concat_ws(":", x["item_id"], x["error"])), ",")
+    return told.select("status", "source_name", settings.alias("config"), "read", "loaded", "skipped", "failed", errors.alias("errors"))
+
+
 @query(" SELECT inchikey, 'docs' AS source_name, CAST(min(doc_id) AS VARCHAR) AS source_id FROM (SELECT doc_id % 500 AS inchikey, doc_id FROM documents) GROUP BY 1")
 def provenance_upsert(m: Model) -> DataFrame:
     rows = m.table("documents").select((F.col("doc_id") % 500).alias("inchikey"), "doc_id")
@@ -756,6 +855,19 @@ def src_reactions(m: Model) -> DataFrame:
     return ingest.mentions(read_reactions(m.spark, folder)).where("is_input and role is not null").select("reaction_id", "key", "role")
 
 
+MAPPED = {"molecules": tables.MOLECULES, "reactions": tables.REACTIONS, "activities": tables.ACTIVITIES}
+
+
+@query(" " + " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, count({c}) AS n, count(DISTINCT {c}) AS n_values FROM {t}" for t, columns in MAPPED.items() for c in columns))
+def src_tables_mapped(m: Model) -> DataFrame:
+    """Every column of the mapped tables with its values and different values, by one pass a table."""
+    parts = []
+    for t, columns in MAPPED.items():
+        made = getattr(m, t).agg(*(F.struct(F.count(c).alias("n"), F.count_distinct(c).alias("n_values")).alias(c) for c in columns))
+        parts.append(made.select(F.explode(F.array(*(F.struct(F.lit(t).alias("table_name"), F.lit(c).alias("column_name"), F.col(f"{c}.n").alias("n"), F.col(f"{c}.n_values").alias("n_values")) for c in columns))).alias("x")).select("x.*"))
+    return reduce(DataFrame.union, parts)
+
+
 @query("SELECT name, count(*) AS n FROM (SELECT 'events' AS name FROM events UNION ALL SELECT 'nation' FROM nation UNION ALL SELECT 'part' FROM part) GROUP BY 1", model=False)
 def src_tables(m: Model) -> DataFrame:
     return results.table_counts({t: m.table(t) for t in ("events", "nation", "part")}).withColumnRenamed("table_name", "name")
@@ -909,7 +1021,7 @@ def graph_neighbours_even(m: Model) -> DataFrame:
     return paths.neighbours(similarity.similar_edges(m.shingles, 85, 100), m.shingles.where("id % 2 = 0").select("id"), 20)
 
 
-@query("SELECT 'completed' AS status, count(*) AS read, count(*) FILTER (WHERE event_id % 7 > 1) AS loaded, count(*) FILTER (WHERE event_id % 7 = 1) AS skipped, count(*) FILTER (WHERE event_id % 7 = 0) AS failed, least(100, count(*) FILTER (WHERE event_id % 7 = 0)) AS logged FROM events", model=False)
+@query("SELECT 'completed' AS status, count(*) AS read, count(*) FILTER (WHERE event_id % 7 > 1) AS loaded, count(*) FILTER (WHERE event_id % 7 = 1) AS skipped, count(*) FILTER (WHERE event_id % 7 = 0) AS failed, least(1000, count(*) FILTER (WHERE event_id % 7 = 0)) AS logged FROM events", model=False)
 def ingest_status(m: Model) -> DataFrame:
     """Status and counts of a load in which some rows are skipped and some fail."""
     from molquarry.streaming.microbatch import ingest_microbatch as run

@@ -31,7 +31,7 @@ def _columns(columns: dict[str, str]) -> str:
 SQL = f"""WITH RECURSIVE molecules AS (SELECT {_columns(MOLECULES)} FROM part),
 reactions AS (SELECT {_columns(REACTIONS)}, c_mktsegment AS source FROM orders JOIN customer ON o_custkey = c_custkey),
 components AS (
-  SELECT l_orderkey AS reaction_id, l_partkey AS inchikey, {ROLE} AS role, sum(l_quantity) AS equivalents, max(l_tax) AS volume_ml, max(l_discount * 1000) AS yield_pct, min(l_linenumber) = 1 AS is_major
+  SELECT l_orderkey AS reaction_id, l_partkey AS inchikey, {ROLE} AS role, sum(l_quantity) AS equivalents, max(l_tax) AS volume_ml, max(l_discount * 1000) AS yield_pct, min(l_linenumber) = 1 AS is_major, CAST(count(*) AS DOUBLE) AS stoichiometry
   FROM lineitem GROUP BY 1, 2, 3),
 activities AS (SELECT {_columns(ACTIVITIES)} FROM events),
 hazards AS (
@@ -64,7 +64,7 @@ class Model:
     def components(self) -> DataFrame:
         rows = self.table("lineitem").select(F.col("l_orderkey").alias("reaction_id"), F.col("l_partkey").alias("inchikey"), F.expr(ROLE).alias("role"), "l_quantity", "l_tax", "l_discount", "l_linenumber")
         return rows.groupBy("reaction_id", "inchikey", "role").agg(
-            F.sum("l_quantity").alias("equivalents"), F.max("l_tax").alias("volume_ml"), F.max(F.col("l_discount") * 1000).alias("yield_pct"), (F.min("l_linenumber") == 1).alias("is_major"))
+            F.sum("l_quantity").alias("equivalents"), F.max("l_tax").alias("volume_ml"), F.max(F.col("l_discount") * 1000).alias("yield_pct"), (F.min("l_linenumber") == 1).alias("is_major"), F.count("*").cast("double").alias("stoichiometry"))
 
     @cached_property
     def activities(self) -> DataFrame:

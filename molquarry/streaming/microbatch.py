@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from molquarry.operators.quality import LOGGED, STATUSES
 from molquarry.operators.upsert import insert_absent
-
-#: Errors of a batch that its log keeps, as a load's log is for reading; all are counted.
-LOGGED = 100
+from molquarry.sources.scratch import discard, written
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -18,11 +17,13 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def ingest_microbatch(spark: SparkSession, source: str, schema, transform: Callable[[DataFrame], DataFrame], keys: list[str], order: list[str], folder: str, files_per_batch: int = 1) -> DataFrame:
+def ingest_microbatch(spark: SparkSession, source: str, schema, transform: Callable[[DataFrame], DataFrame], keys: list[str], order: list[str], folder: str, files_per_batch: int = 1, config: dict | None = None) -> DataFrame:
     """Reads all files of `source` that the checkpoint in `folder` does not know yet, `files_per_batch` at a time. A batch writes the
     first row (by `order`) of each of its keys that no earlier batch has to folder/rows/batch=<id>: only the keys of
     earlier batches are read, nothing is written twice, and a replayed batch replaces its own rows alone. Returns all rows.
 
+    `config` is kept with the load, its values as text.
+
     `transform` may give rows a status ('loaded', 'skipped' or 'failed') and an error text; only loaded ones are inserted.
     Null keys are keys like others. folder/stats has a row a batch, folder/errors up to LOGGED errors of each; see
     load_progress and load_status. If a batch fails, the load's status is 'failed' and the error is raised."""
@@ -32,7 +33,10 @@ def ingest_microbatch(spark: SparkSession, source: str, schema, transform: Calla
         rows = transform(batch)
         status = F.col("status") if "status" in rows.columns else F.lit("loaded")
         error = F.col("error") if "error" in rows.columns else F.lit(None)
-        rows = rows.select(*(c for c in rows.columns if c not in ("status", "error")), status.alias("_status"), error.cast("string").alias("_error")).persist()
+        rows = rows.select(*(c for c in rows.columns if c not in ("status", "error")), status.alias("_status"), error.cast("string").alias("_error"))
+        counts = Observation()  # by the pass that writes the batch, so that the files are read once
+        watched = rows.observe(counts, F.count(F.lit(1)).alias("read"), *(F.count_if(F.col("_status") == s).alias(s) for s in STATUSES))
+        rows = written(watched, "batch")
         loaded = rows.where("_status = 'loaded'").drop("_status", "_error")
         known = spark.read.parquet(table).where(F.col("batch") < batch_id).select(*keys) if _exists(spark, table) else loaded.select(*keys).limit(0)
         empty = [F.lit(None).cast(loaded.schema[c].dataType).alias(c) for c in loaded.columns if c not in keys]
@@ -40,12 +44,14 @@ def ingest_microbatch(spark: SparkSession, source: str, schema, transform: Calla
         marked = known.select(*keys, *empty, F.lit(True).alias("_known"))
         fresh = insert_absent(marked, loaded.withColumn("_known", F.lit(False)), keys, order).where("not _known").drop("_known")
         fresh.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
-        counts = [F.count_if(F.col("_status") == s).alias(s) for s in ("loaded", "skipped", "failed")]
-        rows.agg(F.count("*").alias("read"), *counts).write.mode("overwrite").parquet(f"{stats}/batch={batch_id}")
+        told = [F.lit(counts.get[c]).cast("long").alias(c) for c in ("read", *STATUSES)]
+        spark.range(1, numPartitions=1).select(*told).write.mode("overwrite").parquet(f"{stats}/batch={batch_id}")
         failed = rows.where("_status = 'failed'").select(F.to_json(F.struct(*keys)).alias("item"), F.col("_error").alias("error"))
         failed.orderBy("item", "error").limit(LOGGED).write.mode("overwrite").parquet(f"{errors}/batch={batch_id}")
-        rows.unpersist()
+        discard(rows)
 
+    known = {k: str(v) for k, v in (config or {}).items() if v is not None}
+    settings = F.create_map(*(F.lit(x) for pair in sorted(known.items()) for x in pair)).cast("map<string,string>")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     query = stream.writeStream.foreachBatch(flush).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     state = "failed"
@@ -53,7 +59,7 @@ def ingest_microbatch(spark: SparkSession, source: str, schema, transform: Calla
         query.awaitTermination()
         state = "completed"
     finally:
-        spark.range(1).select(F.lit(state).alias("status")).write.mode("overwrite").parquet(f"{folder}/status")
+        spark.range(1, numPartitions=1).select(F.lit(state).alias("status"), settings.alias("config")).write.mode("overwrite").parquet(f"{folder}/status")
     return spark.read.parquet(table).drop("batch")
 
 
@@ -66,7 +72,7 @@ def load_progress(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def load_status(spark: SparkSession, folder: str) -> DataFrame:
-    """One row: status ('completed' or 'failed'), the counts of all batches, and the first LOGGED errors."""
+    """One row: status ('completed' or 'failed'), config, the counts of all batches, and the first LOGGED errors."""
     totals = spark.read.parquet(f"{folder}/stats").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("read", "loaded", "skipped", "failed")))
     log = spark.read.schema("item string, error string").parquet(f"{folder}/errors").orderBy("item", "error").limit(LOGGED)
     log = log.agg(F.array_sort(F.collect_list(F.struct("item", "error"))).alias("errors"))
