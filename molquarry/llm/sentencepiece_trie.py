@@ -72,7 +72,7 @@ class PieceModel:
         self.raw[self.unk] = " ⁇ ".encode()
         self.spines: dict[tuple[str, bool], list[tuple[str, float]]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.table, self.parts = WordTable(self.encode_words, 400_000), WordTable(self.encode_parts, 100_000)
+        self.table, self.parts = WordTable(self.encode_words, 150_000), WordTable(self.encode_parts, 50_000)
         self.inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.unit = self.units()
         self.longest = max(map(len, self.ids), default=1)
