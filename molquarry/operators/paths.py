@@ -108,18 +108,28 @@ def route_search(hop_table: DataFrame, molecules: DataFrame, reactions: DataFram
     and one that was left out would follow). A target takes routes from before such a mark only; the targets that a mark
     leaves in doubt are searched again with longer lists. So results are exact, and a step's rows are bounded by the hops
     times the lists' length, not by the number of routes. Molecules from which no unfinished target can be reached in the
-    steps left are dropped. Null targets and repeated ones count once; targets without a route have no rows."""
+    steps left are dropped. The search deepens, two steps, four and so on, for the targets that lack routes, so that what is
+    far from a target is not looked at where near routes are enough. Null targets are left out, repeated ones count once;
+    targets without a route have no rows."""
     made: list[DataFrame] = []
     found: list[DataFrame] = []
+    deepest, horizon = max_depth // 2, 2
     hop_table, starts = written(hop_table.distinct(), "hops"), written(_starts(molecules).distinct(), "starts")
     open_, width = written(targets.select("inchikey").where("inchikey is not null").distinct(), "targets"), 2 * max_routes
     while True:
-        new, doubt = _searched(hop_table, starts, open_, max_depth // 2, max_routes, width, simple)
+        new, doubt = _searched(hop_table, starts, open_, min(horizon, deepest), max_routes, width, simple)
         made.append(open_)
+        if horizon < deepest:  # targets with too few routes are searched deeper
+            full = written(new.groupBy("target").count().where(F.col("count") >= max_routes).select(F.col("target").alias("inchikey")), "full")
+            kept = written(new.join(full, new["target"] == full["inchikey"], "left_semi"), "found-routes")
+            made += [new, doubt, full]
+            new, doubt, horizon = kept, written(open_.join(full, "inchikey", "left_anti"), "targets"), 2 * horizon
+        else:
+            width = 4 * width
         found.append(new)
         if doubt.isEmpty():
             break
-        open_, width = doubt, 4 * width
+        open_ = doubt
     result = written(_told(reduce(DataFrame.unionByName, found), reactions), "routes-told")
     discard(hop_table, starts, *made, *found, doubt)
     return result
@@ -193,12 +203,16 @@ def precursor_edges(components: DataFrame, reactions: DataFrame, min_depth: int
         out.append(edges(two, 2, "v2"))
     else:
         two = two.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= max_depth - 1)
-        two = written(two.groupBy("v0", "v2").agg(F.array_sort(F.collect_list(F.struct("rank", "y", "v1"))).alias("by")), "two-steps")
+        two = two.groupBy("v0", "v2").agg(*(F.max(F.when(F.col("rank") == k, F.struct("y", "v1"))).alias(f"p{k}") for k in (1, 2, 3)))
+        two = written(two, "two-steps")
         if min_depth <= 2:
-            out.append(edges(two.select("v0", "v2", F.element_at("by", 1)["y"].alias("y")), 2, "v2"))
-        allowed = F.slice(F.filter("by", lambda x: x["v1"] != F.col("v3")), 1, max_depth - 2)
-        three = two.join(step("v2", "v3"), "v2").where("v0 <> v3").select("v0", "v2", "v3", "z", allowed.alias("by")).where("size(by) > 0")
-        three = three.select("v0", "v2", "v3", "z", F.inline("by")).select("v0", "v3", (F.col("y") * F.col("z") / 100).alias("y"), "v1", "v2")
+            out.append(edges(two.select("v0", "v2", F.col("p1.y").alias("y")), 2, "v2"))
+        p1, p2, p3, new = F.col("p1"), F.col("p2"), F.col("p3"), F.col("v3")
+        # the best that the next molecule allows, and for a further step the one after it
+        first, second = F.when(p1["v1"] == new, p2).otherwise(p1), F.when((p1["v1"] == new) | (p2["v1"] == new), p3).otherwise(p2)
+        allowed = first if max_depth == 3 else F.explode(F.array(first, second))
+        three = two.join(step("v2", "v3"), "v2").where("v0 <> v3").select("v0", "v2", "v3", "z", allowed.alias("p")).where("p is not null")
+        three = three.select("v0", "v3", (F.col("p.y") * F.col("z") / 100).alias("y"), "p.v1", "v2")
         if max_depth == 3:
             out.append(edges(three, 3, "v3"))
         else:
