@@ -140,3 +140,73 @@ def test_all_citations_are_numbered(spark):
     want = [r for r, _ in sorted(first.items(), key=lambda x: x[1])]
     got = results.citations(df, "i", cap=None).orderBy("place").collect()
     assert [r["id"] for r in got] == want and [r["place"] for r in got] == list(range(1, 301)) and {r["total"] for r in got} == {300}
+
+
+def test_small_batches_leave_the_target_in_place(spark, monkeypatch):
+    """The same rows with the batch sent to all tasks and with a join that shuffles; only the second moves the target."""
+    t, b = target(spark), batch(spark)
+    calls = [
+        lambda: upsert.upsert_overwrite(t, b, ["k"], ["a", "stamp"], ["pos"]), lambda: upsert.enrich_coalesce(t, b, "k", ["a"], ["stamp"], ["pos"]),
+        lambda: upsert.fill_if_null(t, b, "k", "a", ["pos"]), lambda: upsert.upsert_union_sources(t, b.where("k is not null"), "k", "sources", "stamp", ["pos"]),
+    ]
+    sent = [told(f()) for f in calls]
+    plan = upsert.enrich_coalesce(t, b, "k", ["a"], ["stamp"], ["pos"])._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+    monkeypatch.setattr(upsert, "SENT", 0)
+    assert [told(f()) for f in calls] == sent
+    monkeypatch.undo()
+    twice = t.unionByName(t)  # repeated keys in the target are changed each; nothing is added for them
+    assert told(upsert.upsert_overwrite(twice, b, ["k"], ["a", "stamp"], ["pos"]))[0:1] == told(upsert.upsert_overwrite(t, b, ["k"], ["a", "stamp"], ["pos"]))[0:1]
+    assert upsert.upsert_overwrite(twice, b, ["k"], ["a"], ["pos"]).count() == 7
+    assert told(upsert.upsert_overwrite(t.limit(0), b, ["k"], ["a"], ["pos"])) == told(upsert.one_per_key(b, ["k"], ["pos"], last=True))
+
+
+def test_pages_of_a_listing(spark):
+    rows = [(i, None if i % 7 == 0 else float(i % 10)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, y double").selectExpr("*", "'x' as _note").repartition(5)
+    want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    listing = results.Listing(df, [F.desc_nulls_last("y"), F.asc("id")])
+    seen, at = [], 0
+    while True:  # each page starts after the last row of the one before
+        page = sorted(listing.page(30, at).collect(), key=lambda r: r["place"])
+        if not page:
+            break
+        assert {r["total"] for r in page} == {200} and [r["place"] for r in page] == list(range(at + 1, at + len(page) + 1))
+        seen += [(r["id"], r["y"]) for r in page]
+        at = page[-1]["place"]
+    assert seen == want and listing.page(5, 0).columns == ["id", "y", "_note", "place", "total"]
+    assert results.Listing(df.limit(0), [F.asc("id")]).page(10).collect() == []
+    deep = listing.page(5, 190)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort" not in deep.replace("SortOrder", "") or "Window" in deep  # only the ranges of the page are ordered
+
+
+def test_ids_of_a_report(spark):
+    rows = [(k, i) for k in ("a", "b") for i in range(0, 50, 1 if k == "a" else 9)] * 2 + [("a", None), (None, 3)]
+    got = {(r["k"], r["place"]): r["id"] for r in results.ids_of(spark.createDataFrame(rows, "k string, id long"), "k", "id").collect()}
+    assert got == {**{("a", i + 1): i for i in range(50)}, **{("b", n + 1): i for n, i in enumerate(range(0, 50, 9))}}
+    assert results.ids_of(spark.createDataFrame([], "k string, id long"), "k", "id").collect() == []
+
+
+def test_record_of_a_load(spark, tmp_path):
+    rows = [(i, ("loaded", "skipped", "failed")[i % 3], f"e{i}" if i % 3 == 2 else None) for i in range(3600)] + [(9999, None, None)]
+    df = spark.createDataFrame(rows, "item_id long, status string, error string")
+    got = quality.recorded_load(df, str(tmp_path / "a"), "src", "2", {"limit": 10, "none": None}).first()
+    assert (got["status"], got["source_name"], got["loader_version"], got["config"]) == ("completed", "src", "2", {"limit": "10"})
+    assert (got["read"], got["loaded"], got["skipped"], got["failed"]) == (3601, 1200, 1200, 1200)
+    failed = sorted((str(i), e) for i, s, e in rows if s == "failed")
+    assert [tuple(x) for x in got["errors"]] == failed[:1000]
+    assert spark.read.parquet(str(tmp_path / "a" / "rows")).count() == 3601
+    empty = quality.recorded_load(df.limit(0), str(tmp_path / "b"), "src").first()
+    assert (empty["read"], empty["errors"], empty["config"]) == (0, [], {})
+    with pytest.raises(Exception, match="too bad"):
+        quality.recorded_load(df.withColumn("error", F.raise_error(F.lit("too bad"))), str(tmp_path / "c"), "src")
+    bad = spark.read.parquet(str(tmp_path / "c" / "record")).first()
+    assert bad["status"] == "failed" and "too bad" in bad["errors"][0]["error"]
+
+
+def test_settings_and_log_of_a_stream(spark, tmp_path):
+    spark.range(1200).select(F.col("id").alias("k"), F.lit("x").alias("v")).coalesce(1).write.parquet(str(tmp_path / "in"))
+    failing = lambda b: b.select("k", "v", F.lit("failed").alias("status"), F.lit("no").alias("error"))
+    ingest_microbatch(spark, str(tmp_path / "in"), "k long, v string", failing, ["k"], ["v"], str(tmp_path / "out"), config={"limit": 3})
+    got = load_status(spark, str(tmp_path / "out")).first()
+    assert got["config"] == {"limit": "3"} and got["failed"] == 1200 and len(got["errors"]) == 1000
