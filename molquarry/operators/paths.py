@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from molquarry.sources.scratch import discard, written
@@ -66,9 +66,8 @@ def _layers(hop_table: DataFrame, targets: DataFrame, steps: int) -> DataFrame:
     pairs = hop_table.select("src", "dst").distinct()
     near = written(targets.select(F.col("inchikey").alias("m"), F.lit(0).alias("left")), "layers")
     for left in range(1, steps + 1):
-        edge = near.where(F.col("left") == left - 1)
-        before = pairs.join(edge, F.col("dst") == F.col("m"), "left_semi").select(F.col("src").alias("m")).distinct()
-        more = written(near.unionByName(before.join(near, "m", "left_anti").withColumn("left", F.lit(left))), "layers")
+        before = pairs.join(near.where(F.col("left") == left - 1), F.col("dst") == F.col("m"), "left_semi").select(F.col("src").alias("m"), F.lit(left).alias("left"))
+        more = written(near.unionByName(before).groupBy("m").agg(F.min("left").alias("left")), "layers")
         discard(near)
         near = more
     return near
@@ -141,7 +140,7 @@ def _searched(hop_table: DataFrame, starts: DataFrame, targets: DataFrame, steps
     lists = starts.select("at", F.col("at").alias("start"), empty.alias("reaction_ids"), F.array("at").alias("molecules"), F.lit(False).alias("open"))
     wanted = written(targets.select(F.col("inchikey").alias("target"), F.lit(max_routes).alias("need")), "wanted")  # targets with the routes that they lack
     layers, asked = _layers(hop_table, targets, steps), wanted.count()
-    found, doubt, before = [], [], None
+    found, doubt, held, before = [], [], [], None
     for step in range(1, steps + 1):
         ends = layers.where(F.col("left") <= steps - step).select(F.col("m").alias("at"))
         lists = written(_first_routes(_lengthened(lists, hop_table, simple).join(ends, "at", "left_semi"), width), "routes")
@@ -150,16 +149,17 @@ def _searched(hop_table: DataFrame, starts: DataFrame, targets: DataFrame, steps
         before = lists
         hits = lists.join(wanted, lists["at"] == wanted["target"]).select("target", "need", "rank", "open", "molecules", "reaction_ids").where("rank <= need or open")
         hits = written(hits, "hits")
-        unsure = written(hits.groupBy("target").agg(F.max("open").alias("open"), F.count_if(~F.col("open")).alias("n"), F.max("need").alias("need")).where("open and n < need").select("target"), "unsure")
-        sure = hits.where("not open and rank <= need").join(unsure, "target", "left_anti")
-        new = written(sure.select("target", F.lit(step).alias("steps"), "molecules", "reaction_ids"), "found-routes")
+        held.append(hits)
+        unsure = hits.groupBy("target").agg(F.max("open").alias("open"), F.count_if(~F.col("open")).alias("n"), F.max("need").alias("need")).where("open and n < need").select("target")
+        new = hits.where("not open and rank <= need").join(unsure, "target", "left_anti").select("target", F.lit(step).alias("steps"), "molecules", "reaction_ids")
         found.append(new)
         doubt.append(unsure)
-        had = new.groupBy("target").agg(F.count("*").alias("had"))
+        had = hits.where("not open and rank <= need").groupBy("target").agg(F.count("*").alias("had"))
         rest = wanted.join(unsure, "target", "left_anti").join(had, "target", "left").select("target", (F.col("need") - F.coalesce("had", F.lit(0))).cast("int").alias("need"))
-        rest = written(rest.where("need > 0"), "wanted")
-        discard(wanted, hits)
-        wanted, left = rest, rest.count()
+        sizes = Observation()
+        rest = written(rest.where("need > 0").observe(sizes, F.count(F.lit(1)).alias("n")), "wanted")
+        discard(wanted)
+        wanted, left = rest, sizes.get["n"]
         if not left:
             break
         lists = lists.select("at", "start", "reaction_ids", "molecules", "open")
@@ -169,7 +169,7 @@ def _searched(hop_table: DataFrame, starts: DataFrame, targets: DataFrame, steps
     again = written(reduce(DataFrame.unionByName, doubt).select(F.col("target").alias("inchikey")), "doubt")
     routes = reduce(DataFrame.unionByName, found)
     routes = written(routes.join(again, routes["target"] == again["inchikey"], "left_anti"), "found-routes")  # what they had is found again
-    discard(layers, wanted, *found, *doubt, *([before] if before is not None else []))
+    discard(layers, wanted, *held, *([before] if before is not None else []))
     return routes, again
 
 
