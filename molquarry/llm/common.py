@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from molquarry.sources.scratch import discard, fresh_path, settled, shared_dir, written  # noqa: F401
 
 #: Distinct words whose hashes a task keeps; a task that meets more starts the table again.
-WORD_CACHE = 300_000
+WORD_CACHE = 150_000
 
 MASK64 = 0xFFFFFFFFFFFFFFFF
 
@@ -109,6 +109,9 @@ class WordTable:
     def __init__(self, make: Callable[[list], dict], room: int = 250_000):
         self.make, self.room, self.hot, self.recent = make, room, {}, {}
 
+    def clear(self) -> None:
+        self.hot, self.recent = {}, {}
+
     def of(self, words: set) -> dict:
         found, missing, hot, recent = {}, [], self.hot, self.recent
         for w in words:

@@ -33,7 +33,7 @@ TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^\s0-9A-Za-z\x80-\xff]+")
 #: Rows of an Arrow batch that are turned into Python strings together.
 SLICE = 500
 #: Distinct words whose hashes a task keeps.
-CACHE = 300_000
+CACHE = 150_000
 
 
 @dataclass(frozen=True)

@@ -307,7 +307,7 @@ class PieceModel:
 
 @cache
 def model_of(path: str) -> PieceModel:
-    """One model a Python worker: what it has learnt serves the worker's later tasks too."""
+    """One model a Python worker, without the words that a task has met."""
     return PieceModel(path)
 
 
@@ -335,6 +335,10 @@ def encode_pieces(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
                     "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int32())),
                     "round_trip": pa.array(back, pa.bool_()),
                 })
+        # the worker stays for the tasks of other stages, which need its memory
+        model.table.clear()
+        model.parts.clear()
+        pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_pieces int, ids array<int>, round_trip boolean")
