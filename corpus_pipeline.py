@@ -23,9 +23,21 @@ from molquarry.llm.sentencepiece_trie import encode_pieces
 NEAR = JaccardJoin(k=5, num=80)
 
 
+#: Rows of whole texts that go to a Python worker at once: a batch is held by Spark and by the worker, coming and going.
+BATCH_ROWS = 2_000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose quality score is 0.5 or more. Null and empty texts get the model's bias alone; rows are scored one by
     one, so repeated ones share their fate, and a score of just 0.5 stays. Very long texts are read whole."""
+    _small_batches(spark)
     score = unused(docs, "quality_score")
     return quality_scores(docs, learned_model(spark, sf_dir), score_col=score).where(F.col(score) >= 0.5).drop(score)
 
@@ -35,24 +47,28 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     what links reach. Null and empty texts link with nothing and stay. Rows that repeat id and text stay once; of a group without
     an id one row stays. Rows are told apart by id and text, so repeated and null ids are no groups. Very long texts are compared
     whole."""
+    _small_batches(spark)
     return near_duplicates_removed(docs, NEAR)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts out bytes under 200-byte strings that occur again, at all their places; all documents stay, with an empty text if all of it
     goes. Null texts stay null. Texts of repeated rows are each other's repeats. Very long texts are parsed in pieces."""
+    _small_batches(spark)
     return repeats_removed(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in which a benchmark item is found, that is 80 % or more of its words, in any order of its parts. Null, empty
     and wordless texts or items are never found; repeated rows share their fate. Very long texts are searched whole."""
+    _small_batches(spark)
     return decontaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_pieces, ids and round_trip of every document. Null and empty texts have no pieces; null ids stay null, repeated rows
     have a row each. Very long texts are encoded whole."""
+    _small_batches(spark)
     return encode_pieces(docs)
 
 
