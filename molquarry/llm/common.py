@@ -92,6 +92,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: int, rows: int = 500,
             part = batch.slice(at, min(rows, max(1, to - at)))
             yield part, [t or b"" for t in part.column(column).cast(pa.binary()).to_pylist()]
             at += part.num_rows
+    pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
 
 def local_path(uri: str) -> str | None:
@@ -146,11 +147,11 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-def ascii_words(text: str | None) -> list[bytes]:
-    """Words [^\\x20\\x09-\\x0D]+ of the whole text with A-Z lower-cased, in UTF-8.
+def ascii_words(text: bytes) -> list[bytes]:
+    """Words [^\\x20\\x09-\\x0D]+ of the whole text, given in UTF-8, with A-Z lower-cased.
 
     bytes.split() and bytes.lower() know ASCII only, which is just that pattern and that lower-casing."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    return text.lower().split()
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -27,11 +27,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from molquarry.llm.common import MASK64, crc32_of_id, discard, mixed, read_table, written
+from molquarry.llm.common import MASK64, crc32_of_id, discard, mixed, read_table, text_slices, written
 
 TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^\s0-9A-Za-z\x80-\xff]+")
-#: Rows of an Arrow batch that are turned into Python strings together.
-SLICE = 500
 #: Distinct words whose hashes a task keeps.
 CACHE = 150_000
 
@@ -68,8 +66,8 @@ class Features:
         value = self.known[token] = xxhash.xxh3_64_intdigest(token.lower()) & ~7 | shape
         return value
 
-    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        tokens = TOKEN.findall((text or "").encode("utf-8", "replace"))
+    def __call__(self, text: str | bytes | None) -> tuple[np.ndarray, np.ndarray]:
+        tokens = TOKEN.findall(text if isinstance(text, bytes) else (text or "").encode("utf-8", "replace"))
         get, word = self.known.get, self.word
         ids = np.fromiter((get(t) or word(t) for t in tokens), np.uint64, len(tokens))
         words, shapes = ids >> np.uint64(3), ids & np.uint64(7)
@@ -132,12 +130,10 @@ def quality_scores(docs: DataFrame, weights: np.ndarray, settings: Ftrl = Ftrl()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, w = Features(settings.bits), model.value.astype(np.float64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                dots = [w[p] @ v + w[-1] for p, v in map(features, part.column(place).to_pylist())]
-                scores = 1 / (1 + np.exp(-np.clip(np.array(dots, np.float64), -35, 35)))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores)], names=[*part.schema.names, score_col])
+        for part, texts in text_slices(batches, place):
+            dots = [w[p] @ v + w[-1] for p, v in map(features, texts)]
+            scores = 1 / (1 + np.exp(-np.clip(np.array(dots, np.float64), -35, 35)))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores)], names=[*part.schema.names, score_col])
 
     return docs.mapInArrow(score, StructType([*docs.schema.fields, StructField(score_col, DoubleType())]))
 
