@@ -257,6 +257,33 @@ def test_rules(spark):
     assert got == ["x", "x", "z", "z", "unclassified", "unclassified", None, "old"]
 
 
+def test_many_rules_by_their_literals(spark):
+    """The first rule that matches, as trying them in turn finds it: literals inside others, whole words, rules of no literal."""
+    import random
+
+    rng = random.Random(5)
+    words = ["gear", "gear box", "gea", "box", "boxes", "rod", "ro", "d1", "x_y", "é", "GEAR"]
+    parts = [rf"\b{w}\b" if k else w for w in words if w != "é" for k in (0, 1)]
+    rules = [classify.Rule(f"r{i}", rng.choice([*parts, "ro.*x", "^box", ""]), rng.choice([*parts, r"\d$", "", ""])) for i in range(150)]
+    seps = [" ", "", ".", "é", "_", "  "]
+    side = lambda: "".join(rng.choice(words) + rng.choice(seps) for _ in range(rng.randrange(4)))
+    texts = [side() + rng.choice([">>", ">>", ">>", ">", ">>>>"]) + side() for _ in range(600)] + ["", ">>", None, "gear>>" + "rod " * 20_000 + "7"]
+
+    def in_turn(rules):  # word boundaries beside letters such as é are what the engine's own expressions take them for
+        left, right = (F.get(F.split("t", ">>", 2), k) for k in (0, 1))
+        tried = [F.when(left.rlike(r.left) & right.rlike(r.right), r.name) for r in rules if r.right] + [F.when(left.rlike(r.left), r.name) for r in rules]
+        return F.when(F.col("t").isNotNull(), F.when(F.size(F.split("t", ">>", 2)) == 2, F.coalesce(*tried, F.lit("unclassified"))).otherwise("unclassified"))
+
+    df = spark.createDataFrame([(t, None) for t in texts], "t string, c string")
+    few = [r for r in rules if r.left not in ("", "^box", "ro.*x")][:25]
+    for chosen in (rules, few, [r for r in rules if r.left in ("^box", "ro.*x")], []):
+        got = [r["c"] for r in classify.classify_rules(df, chosen, "t", "c").collect()]
+        assert got == [r[0] for r in df.select(in_turn(chosen)).collect()] and (not chosen or len(set(got)) > 4)
+    more = [classify.Rule(f"{a}{i}", rf"\b{a}{i}\b") for a in words[:4] for i in range(300)]
+    plan = lambda rs: classify.classify_rules(df, rs, "t", "c")._jdf.queryExecution().analyzed().toString()
+    assert plan(more).count("RLIKE") == plan(more[:5]).count("RLIKE") and plan(more).count("regexp_extract_all") == plan(more[:5]).count("regexp_extract_all")
+
+
 def test_registered_precursors_reach_depth_three(spark):
     m = Model(spark, "/root/testdata/sf0.001")
     ys = {r["reaction_id"]: r["yield_pct"] for r in m.reactions.collect()}
