@@ -24,7 +24,7 @@ NEAR = JaccardJoin(k=5, num=80)
 
 
 #: Rows of whole texts that go to a Python worker at once: a batch is held by Spark and by the worker, coming and going.
-BATCH_ROWS = 2_000
+BATCH_ROWS = 500
 
 
 def _small_batches(spark: SparkSession) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from urllib.parse import unquote, urlparse
 
@@ -77,11 +78,30 @@ def among(docs: DataFrame, key: str, places: tuple[int, np.ndarray]) -> tuple[Da
                 yield batch.filter(pa.array(passes(batch.column(0).to_numpy(), shared.value) == want))
 
         rows = docs.select(place_of(F.col(key), bits).alias(place), *docs.columns)
-        return rows.mapInArrow(run, rows.schema).drop(place)
+        return rows.mapInArrow(sparing(run), rows.schema).drop(place)
 
     return chosen(True), chosen(False)
 
 
+def give_back() -> None:
+    """Hands free memory of this process back to the system. A Python worker stays for the tasks of later stages, so what it keeps adds to
+    what those take."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def sparing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, for mapInArrow(), that gives memory back when its task ends: after its own tables are gone."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return task
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: int, rows: int = 500, most: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with the bytes of their texts (null: none): `rows` rows and `most` bytes at most, or one row."""
     for batch in batches:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from molquarry.llm.common import WordHashes, gram_hashes
+from molquarry.llm.common import WordHashes, gram_hashes, sparing
 
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 #: Rows of an Arrow batch that are turned into Python strings together; bits of the map that most runs fail to pass.
@@ -218,7 +218,7 @@ def _search(shared, spec: Tiling):
                 kinds = pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "item_words", "marked_words", "n_tiles", "coverage"])
 
-    return run
+    return sparing(run)
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, spec: Tiling = Tiling()) -> DataFrame:
@@ -235,5 +235,5 @@ def decontaminated(docs: DataFrame, items: DataFrame, spec: Tiling = Tiling()) -
                     clean = [not any(True for _ in index.found(hashes.of(_words(t)), spec)) for t in part.column(place).to_pylist()]
                     yield part.filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(sparing(run), docs.schema)
     return docs

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from molquarry.llm.common import among, discard, passes, places_filter, row_key, settled, unused, written
+from molquarry.llm.common import among, discard, passes, places_filter, row_key, settled, sparing, unused, written
 from molquarry.llm.components import components
 from molquarry.llm.shingles import shingle_sets
 
@@ -98,7 +98,7 @@ def frequency_sketch(texts: DataFrame, join: JaccardJoin, fan: int = 64) -> np.n
         pdf["at"] = pdf["at"] // fan
         return pdf
 
-    parts, tasks = texts.mapInArrow(count, "at int, segment int, counts binary"), texts.rdd.getNumPartitions()
+    parts, tasks = texts.mapInArrow(sparing(count), "at int, segment int, counts binary"), texts.rdd.getNumPartitions()
     while True:
         parts = parts.groupBy((F.col("at") / fan).cast("int").alias("g"), "segment").applyInPandas(add, "at int, segment int, counts binary")
         tasks = -(-tasks // fan)
@@ -158,7 +158,7 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, join: JaccardJoin) -> DataFram
             )
 
     kept = "".join(f"{c} {t}, " for c, t in docs.dtypes[2:])
-    return docs.mapInArrow(run, f"doc_id long, {kept}n long, node binary, half long, matches int, cold int, tokens array<long>")
+    return docs.mapInArrow(sparing(run), f"doc_id long, {kept}n long, node binary, half long, matches int, cold int, tokens array<long>")
 
 
 PAIR = "kind int, token long, a long, b long, matches int, n long, pos int"
@@ -240,7 +240,7 @@ def _lists(rows: DataFrame, join: JaccardJoin) -> DataFrame:
             yield from whole({c: np.concatenate([held[c], new[c]]) for c in names}, False)
         yield from whole(held, True)
 
-    return rows.mapInArrow(run, PAIR)
+    return rows.mapInArrow(sparing(run), PAIR)
 
 
 def candidate_sets(docs: DataFrame, ids: DataFrame, join: JaccardJoin) -> DataFrame:
@@ -263,7 +263,7 @@ def candidate_sets(docs: DataFrame, ids: DataFrame, join: JaccardJoin) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array([_half(n) for n in found], pa.int64()), pa.array(found.keys(), pa.binary()), pa.array([_signed(s) for s in found.values()], pa.list_(pa.int64()))], names=["id", "node", "shingles"])
 
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)  # 2^bits places, bounded
-    found = rows.mapInArrow(run, "id long, node binary, shingles array<long>").join(ids, "id", "left_semi")
+    found = rows.mapInArrow(sparing(run), "id long, node binary, shingles array<long>").join(ids, "id", "left_semi")
     sets = written(found.groupBy("id", "node").agg(F.first("shingles").alias("shingles")), "sets")
     discard(ids)
     return sets

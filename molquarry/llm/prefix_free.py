@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from molquarry.llm.common import among, discard, mixed, passes, place_of, places_filter, row_key, settled, text_slices, unused, written
+from molquarry.llm.common import MASK64, among, discard, mixed, passes, place_of, places_filter, row_key, settled, sparing, text_slices, unused, written
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -59,25 +59,32 @@ class Repeats:
     gram: int = 48
 
 
+def _first_powers(base: int, n: int) -> np.ndarray:
+    x = np.full(n, base & MASK64, np.uint64)
+    x[0] = 1
+    return np.multiply.accumulate(x)
+
+
 @cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of BASE and of its inverse modulo 2^64, of exponents below n."""
-    out = []
-    for base in (BASE, INVERSE):
-        x = np.full(n, base, np.uint64)
-        x[0] = 1
-        out.append(np.multiply.accumulate(x))
-    return out[0], out[1]
+def _steps(base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of `base` modulo 2^64, of exponents below 2^11 and of the multiples of 2^11 below 2^PLACE_BITS: all that a worker keeps."""
+    half = int(PLACE_BITS) // 2
+    return _first_powers(base, 1 << half), _first_powers(pow(base, 1 << half, 1 << 64), 1 << int(PLACE_BITS) - half)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """Powers of `base` modulo 2^64, of exponents below n."""
+    low, high = _steps(base)
+    return np.multiply.outer(high[: -(-n // len(low))], low).ravel()[:n]
 
 
 def _rolling(data: np.ndarray, length: int) -> np.ndarray:
     """Hashes of all substrings of `length` bytes."""
-    up, down = _powers(1 << int(PLACE_BITS))
     scattered = mixed(np.arange(1, 257, dtype=np.uint64))
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(scattered[data] * up[: len(data)], out=sums[1:])
+    np.cumsum(scattered[data] * _powers(BASE, len(data)), out=sums[1:])
     n = len(sums) - length
-    return mixed((sums[length:] - sums[:n]) * down[:n])
+    return mixed((sums[length:] - sums[:n]) * _powers(INVERSE, n))
 
 
 def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -169,7 +176,7 @@ def parse(docs: DataFrame, spec: Repeats) -> DataFrame:
                 rows = part.column(0).take(pa.array(np.r_[text[at], own[start]]))
                 yield pa.RecordBatch.from_arrays([rows if c == "row" else pa.array(columns[c].astype(t.to_pandas_dtype()), t, mask=told if c in NAME else None) for c, t in kinds.items()], names=list(kinds))
 
-    return docs.mapInArrow(run, "gram long, phrase long, check long, row binary, start int, windows int, times int")
+    return docs.mapInArrow(sparing(run), "gram long, phrase long, check long, row binary, start int, windows int, times int")
 
 
 def _fetched(docs: DataFrame, reps: DataFrame, spec: Repeats) -> DataFrame:
@@ -187,7 +194,7 @@ def _fetched(docs: DataFrame, reps: DataFrame, spec: Repeats) -> DataFrame:
             yield pa.RecordBatch.from_pydict(dict(zip(schema.names, map(list, zip(*out, strict=True)), strict=True)), schema=schema)
 
     found = among(docs, "row", places_filter(reps, F.col("row")))[0].join(wanted, "row").select("text", "wanted")
-    return found.mapInArrow(run, "gram long, phrase long, check long, times long, body binary").dropDuplicates(NAME)
+    return found.mapInArrow(sparing(run), "gram long, phrase long, check long, times long, body binary").dropDuplicates(NAME)
 
 
 def suffix_ranks(data: bytes, starts: np.ndarray, length: int) -> np.ndarray:
@@ -265,7 +272,7 @@ def _ordered(dictionary: DataFrame, spec: Repeats) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(pa.array(part.column(i).to_numpy()[b]) for i in range(3)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], names=[*NAME, "first", "last"])
             begin = end
 
-    return dictionary.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, RUNS)
+    return dictionary.repartition("gram").sortWithinPartitions("gram").mapInArrow(sparing(run), RUNS)
 
 
 def _dealt(dictionary: DataFrame, spec: Repeats) -> DataFrame:
@@ -282,7 +289,7 @@ def _dealt(dictionary: DataFrame, spec: Repeats) -> DataFrame:
                 own = [pa.array(part.column(i).to_numpy()[body]) for i in range(4)]
                 yield pa.RecordBatch.from_arrays([pa.array(name[:, 0]), pa.array(name[:, 1]), *own, pa.array(offset.astype(np.int32))], names=["s0", "s1", *NAME, "times", "first"])
 
-    rows = dictionary.mapInArrow(run, "s0 long, s1 long, gram long, phrase long, check long, times long, first int")
+    rows = dictionary.mapInArrow(sparing(run), "s0 long, s1 long, gram long, phrase long, check long, times long, first int")
     repeated = rows.groupBy("s0", "s1").agg(F.sum("times").alias("n")).where("n >= 2").select("s0", "s1")
     return rows.join(repeated, ["s0", "s1"], "left_semi").select(*NAME, "first", F.col("first").alias("last"))
 
@@ -357,9 +364,9 @@ def _digests(docs: DataFrame, spec: Repeats) -> DataFrame:
             yield pa.RecordBatch.from_pydict(dict(zip(schema.names, map(list, zip(*out, strict=True)), strict=True)), schema=schema)
 
     keyed = rows.select("doc_id", row_key().alias("row"), "text")
-    looked_at = keyed.select("doc_id", "row", place_of(F.col("row"), bits).alias("place"), "text").mapInArrow(looked, "doc_id long, row binary, n_bytes long, whole string, raw binary")
+    looked_at = keyed.select("doc_id", "row", place_of(F.col("row"), bits).alias("place"), "text").mapInArrow(sparing(looked), "doc_id long, row binary, n_bytes long, whole string, raw binary")
     joined = looked_at.join(spans, "row", "left").select("doc_id", "n_bytes", "whole", "raw", "spans")
-    return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(sparing(cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def repeats_removed(docs: DataFrame, spec: Repeats = Repeats()) -> DataFrame:
@@ -388,4 +395,4 @@ def repeats_removed(docs: DataFrame, spec: Repeats = Repeats()) -> DataFrame:
                 columns[chars_at] = pa.array([None if t is None else len(t) for t in texts], columns[chars_at].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return joined.mapInArrow(cut, schema).union(whole.select(*names))
+    return joined.mapInArrow(sparing(cut), schema).union(whole.select(*names))

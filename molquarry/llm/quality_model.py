@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from molquarry.llm.common import MASK64, crc32_of_id, discard, mixed, read_table, text_slices, written
+from molquarry.llm.common import MASK64, crc32_of_id, discard, give_back, mixed, read_table, sparing, text_slices, written
 
 TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^\s0-9A-Za-z\x80-\xff]+")
 #: Distinct words whose hashes a task keeps.
@@ -112,7 +112,9 @@ def train_quality_model(labelled: DataFrame, settings: Ftrl = Ftrl(), id_col: st
 
     def shard(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("order")
-        return pd.DataFrame({"weights": [_ftrl(pdf["text"].tolist(), pdf["label"].tolist(), settings).tobytes()]})
+        weights = _ftrl(pdf["text"].tolist(), pdf["label"].tolist(), settings)
+        give_back()
+        return pd.DataFrame({"weights": [weights.tobytes()]})
 
     parts = rows.groupBy("shard").applyInPandas(shard, "weights binary").collect()  # one row of fixed size a group
     discard(table)
@@ -135,7 +137,7 @@ def quality_scores(docs: DataFrame, weights: np.ndarray, settings: Ftrl = Ftrl()
             scores = 1 / (1 + np.exp(-np.clip(np.array(dots, np.float64), -35, 35)))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores)], names=[*part.schema.names, score_col])
 
-    return docs.mapInArrow(score, StructType([*docs.schema.fields, StructField(score_col, DoubleType())]))
+    return docs.mapInArrow(sparing(score), StructType([*docs.schema.fields, StructField(score_col, DoubleType())]))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, usable, max_train: int) -> DataFrame:

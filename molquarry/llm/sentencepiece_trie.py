@@ -20,6 +20,7 @@ come back as it was are decoded whole.
 
 from __future__ import annotations
 
+import pickle
 import re
 from array import array
 from collections.abc import Iterable, Iterator
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from molquarry.llm.common import WordTable
+from molquarry.llm.common import WordTable, sparing
 
 MARK = "▁"
 #: Characters of text whose distinct words are sorted together, and rows that are turned into Python strings together.
@@ -71,7 +72,8 @@ class PieceModel:
         self.raw = [b"" if p.type == kinds.CONTROL else bytes([int(p.piece[1:-1], 16)]) if p.type == kinds.BYTE else p.piece.encode() for p in model.pieces]
         self.raw[self.unk] = " ⁇ ".encode()
         self.spines: dict[tuple[str, bool], list[tuple[str, float]]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}  # by both ids in one number
+        self.kept = b""
         self.table, self.parts = WordTable(self.encode_words, 150_000), WordTable(self.encode_parts, 50_000)
         self.inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.unit = self.units()
@@ -92,6 +94,19 @@ class PieceModel:
         alone = f"|{MARK}*[{cut}][^{MARK}\n]*" if cut else ""
         return re.compile(f"\n|{MARK}*[^{MARK}\n{cut}]+{alone}|{MARK}+")
 
+    def rest(self) -> None:
+        """Forgets the words of a task and packs what is known of pieces and pairs: a worker stays for the tasks of other stages, which need
+        its memory, and small objects that stay hold up large blocks."""
+        self.table.clear()
+        self.parts.clear()
+        self.kept = pickle.dumps((self.pairs, self.spines), pickle.HIGHEST_PROTOCOL)
+        self.pairs, self.spines = {}, {}
+
+    def resume(self) -> None:
+        """Unpacks what rest() has packed; a task that was stopped has packed nothing."""
+        if self.kept:
+            (self.pairs, self.spines), self.kept = pickle.loads(self.kept), b""
+
     # ---- merging by rank, for single pieces and runs of marks
 
     def merged(self, symbols: list[str]) -> tuple[list[str], list[tuple[str, str, str]]]:
@@ -186,11 +201,12 @@ class PieceModel:
             if before:
                 a = last[before]
                 if a >= 0:
-                    free = pairs.get((a, i))
+                    pair = a << 32 | i
+                    free = pairs.get(pair)
                     if free is None:
                         if len(pairs) > 1_000_000:
                             pairs.clear()
-                        free = pairs[a, i] = self.may_follow(word[before - sizes[before] : before], piece)
+                        free = pairs[pair] = self.may_follow(word[before - sizes[before] : before], piece)
                     if not free:
                         continue
             elif not self.spine(piece, True):
@@ -321,6 +337,7 @@ def encode_pieces(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(path)
+        model.resume()
         for batch in batches:
             texts = (t for at in range(0, batch.num_rows, ROWS) for t in batch.column(1).slice(at, ROWS).to_pylist())
             encoded = model.encode_and_back(texts)
@@ -335,13 +352,10 @@ def encode_pieces(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
                     "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int32())),
                     "round_trip": pa.array(back, pa.bool_()),
                 })
-        # the worker stays for the tasks of other stages, which need its memory
-        model.table.clear()
-        model.parts.clear()
-        pa.default_memory_pool().release_unused()
+        model.rest()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_pieces int, ids array<int>, round_trip boolean")
+    return rows.mapInArrow(sparing(run), "doc_id long, n_pieces int, ids array<int>, round_trip boolean")
 
 
 def decode_pieces(encoded: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

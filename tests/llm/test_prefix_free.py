@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -126,3 +127,20 @@ def test_very_long_text(spark):
         kept += (t or "").encode()[at:]
         want.append((i, len((t or "").encode()), sum(b - a for a, b in spans[i]), len(spans[i]), hashlib.sha256(kept).hexdigest()))
     assert ours(spark, rows) == want
+
+
+def test_powers_are_exact_and_take_memory_as_texts_do():
+    """A worker keeps no table of all powers: it did keep 64 MB, whatever the texts."""
+    rng = random.Random(5)
+    places = [0, 1, 2047, 2048, 2049, (1 << 22) - 1, *(rng.randrange(1 << 22) for _ in range(50))]
+    for base in (prefix_free.BASE, prefix_free.INVERSE):
+        powers = prefix_free._powers(base, 1 << 22)
+        assert len(powers) == 1 << 22 and all(int(powers[i]) == pow(base, i, 1 << 64) for i in places)
+        assert [len(prefix_free._powers(base, n)) for n in (1, 2047, 2048, 2049)] == [1, 2047, 2048, 2049]
+    del powers
+    prefix_free._steps.cache_clear()
+    tracemalloc.start()
+    prefix_free._rolling(np.zeros(10_000, np.uint8), 48)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 2_000_000

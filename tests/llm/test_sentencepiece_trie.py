@@ -75,3 +75,16 @@ def test_long_runs_and_long_texts():
     assert [back for _, back in model.encode_and_back(given)] == [d == t for d, t in zip(library.decode(want), given)]
     odd = ["a ▁ b", "▁", "x▁y ", "plain"]
     assert [back for _, back in model.encode_and_back(odd)] == [False, False, False, True]
+
+
+def test_model_between_tasks_keeps_no_words_and_what_it_knows_of_pairs():
+    texts = [r["text"] for r in pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pylist()][:60]
+    model = PieceModel(model_path())
+    first = list(model.encode_and_back(texts))
+    pairs, spines = dict(model.pairs), dict(model.spines)
+    model.rest()
+    tables = model.table, model.parts
+    assert not any((model.pairs, model.spines, *(t.hot for t in tables), *(t.recent for t in tables))) and 0 < len(model.kept) < 20 * len(pairs) + 200 * len(spines)
+    model.resume()
+    assert model.pairs == pairs and model.spines == spines and not model.kept
+    assert list(model.encode_and_back(texts)) == first
