@@ -20,7 +20,11 @@ the place of the list's shingle in a document's order says how large a partner m
 match, so a document only meets those of the sizes that it reaches; many documents around one common passage which
 differ too much to link are out of each other's reach.
 
-Candidates are verified on their whole sets. No pair of equal component is needed twice, no list is cut.
+Candidates are verified on their whole sets. Pairs that share a rare shingle by chance grow faster than the input, so the sets of a
+pair are gathered only if their parities leave a link open: every document keeps, for as many places as it has shingles
+or up to twice as many, whether an odd number of them falls there. Where two sets differ in a place's parity they differ in a shingle of it,
+so more such places than a linking pair may have shingles on one side only rule the pair out; nothing that links is dropped.
+No pair of equal component is needed twice, no list is cut.
 """
 
 from __future__ import annotations
@@ -116,14 +120,22 @@ def _node(shingles: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None
 
 
+def _parity(shingles: np.ndarray) -> np.ndarray:
+    """For 2^i places (the hash's low bits; at least 64 and the number of shingles) whether an odd number of shingles falls there, as 64-bit words."""
+    places = max(64, 1 << (len(shingles) - 1).bit_length())
+    counts = np.bincount((shingles & np.uint64(places - 1)).astype(np.int64), minlength=places)
+    return np.packbits((counts & 1).astype(bool), bitorder="little").view("<i8")
+
+
 def _half(node: bytes) -> int:
     """The half of a node's name that candidates are found by."""
     return int.from_bytes(node[:8], "big", signed=True)
 
 
 def prefixes(docs: DataFrame, sketch: np.ndarray, join: JaccardJoin) -> DataFrame:
-    """Per row of docs(doc_id, text, ...): doc_id, n, node, half (see _half), matches (the chosen l), cold (prefix shingles that look unshared) and
-    tokens, its prefix in order; tokens are null where the same batch has had the same set before. Columns after text are kept."""
+    """Per row of docs(doc_id, text, ...): doc_id, n, node, half (see _half), matches (the chosen l), cold (prefix shingles that look unshared),
+    tokens, its prefix in order, and parity (see _parity); tokens and parity are null where the same batch has had the same set before. Columns
+    after text are kept."""
     more = docs.columns[2:]
     shared = docs.sparkSession.sparkContext.broadcast(sketch)  # 2^sketch_bits counts
     shift = np.uint64(64 - join.sketch_bits)
@@ -133,9 +145,9 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, join: JaccardJoin) -> DataFram
         usual = float(counts.mean() + 3 * np.sqrt(counts.mean())) if len(counts) else 0.0
         seen: set[bytes] = set()
         for part, sets in shingle_sets(batches, 1, join.k):
-            out = {"n": [], "node": [], "half": [], "matches": [], "cold": [], "tokens": []}
+            out = {"n": [], "node": [], "half": [], "matches": [], "cold": [], "tokens": [], "parity": []}
             for s in sets:
-                n, node, tokens, matches, cold = len(s), _node(s), None, 1, 0
+                n, node, tokens, parity, matches, cold = len(s), _node(s), None, None, 1, 0
                 if n and node not in seen:
                     f = counts[(s >> shift).astype(np.int64)]
                     base = join.probe_prefix(n)
@@ -145,20 +157,20 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, join: JaccardJoin) -> DataFram
                     ls = np.arange(1, most + 1)
                     scanned = costs[np.minimum(base + ls - 2, len(costs) - 1)]
                     matches = int(np.argmin(scanned * (1 + join.verify_cost / ls))) + 1
-                    tokens = _signed(s[order[: base + matches - 1]])
+                    tokens, parity = _signed(s[order[: base + matches - 1]]), _parity(s)
                     cold = int((f[order[:base]] <= usual).sum())
                     if len(seen) > 500_000:
                         seen.clear()
                     seen.add(node)
-                for name, v in zip(out, (n, node, node and _half(node), matches, cold, tokens), strict=True):
+                for name, v in zip(out, (n, node, node and _half(node), matches, cold, tokens, parity), strict=True):
                     out[name].append(v)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), *part.columns[2:], *(pa.array(out[c], t) for c, t in (("n", pa.int64()), ("node", pa.binary()), ("half", pa.int64()), ("matches", pa.int32()), ("cold", pa.int32()), ("tokens", pa.list_(pa.int64()))))],
+                [part.column(0), *part.columns[2:], *(pa.array(out[c], t) for c, t in (("n", pa.int64()), ("node", pa.binary()), ("half", pa.int64()), ("matches", pa.int32()), ("cold", pa.int32()), ("tokens", pa.list_(pa.int64())), ("parity", pa.list_(pa.int64()))))],
                 names=["doc_id", *more, *out],
             )
 
     kept = "".join(f"{c} {t}, " for c, t in docs.dtypes[2:])
-    return docs.mapInArrow(sparing(run), f"doc_id long, {kept}n long, node binary, half long, matches int, cold int, tokens array<long>")
+    return docs.mapInArrow(sparing(run), f"doc_id long, {kept}n long, node binary, half long, matches int, cold int, tokens array<long>, parity array<long>")
 
 
 PAIR = "kind int, token long, a long, b long, matches int, n long, pos int"
@@ -269,16 +281,31 @@ def candidate_sets(docs: DataFrame, ids: DataFrame, join: JaccardJoin) -> DataFr
     return sets
 
 
-def verified(pairs: DataFrame, sets: DataFrame, join: JaccardJoin) -> DataFrame:
-    """(a, b, node_a, node_b, shared, size_a, size_b) of the pairs (a, b) that link. Pairs are 16 bytes each: up to `sent_pairs` of them
-    go to all tasks, the sets of one side stay where they are and only the sets that pairs need on the other are shuffled;
+def _beside(pairs: DataFrame, table: DataFrame, join: JaccardJoin) -> DataFrame:
+    """The pairs (a, b) with the columns of table(id, ...) of both ends, named by the end. Pairs are 16 bytes each: up to `sent_pairs` of them
+    go to all tasks, the rows of one side stay where they are and only the rows that pairs need on the other are shuffled;
     more are shuffled."""
-    x = sets.select(F.col("id").alias("a"), F.col("node").alias("node_a"), F.col("shingles").alias("x"))
-    y = sets.select(F.col("id").alias("b"), F.col("node").alias("node_b"), F.col("shingles").alias("y"))
+    x, y = (table.select(F.col("id").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in table.columns if c != "id")) for end in "ab")
     if pairs.count() <= join.sent_pairs:
         y, pairs = y.join(F.broadcast(pairs.select("b").distinct()), "b", "left_semi"), F.broadcast(pairs)
-    both = x.join(pairs, "a").join(y, "b")
-    sizes = F.size(F.array_intersect("x", "y")).cast("long").alias("shared"), F.size("x").cast("long").alias("size_a"), F.size("y").cast("long").alias("size_b")
+    return x.join(pairs, "a").join(y, "b")
+
+
+def alike(pairs: DataFrame, parities: DataFrame, join: JaccardJoin) -> DataFrame:
+    """The pairs (a, b) that may link, by parities(id, node, n, parity). Words of the longer parity are added up (modulo 2) to as many as the
+    shorter one has, which is the parity of its places there. Where several sets share an id, a pair stays if any of them may link."""
+    both = _beside(pairs, parities.select("id", "n", "parity"), join)
+    words = "least(size(parity_a), size(parity_b))"
+    word = lambda p: f"aggregate(sequence(j, size({p}) - 1, {words}), 0L, (s, i) -> s ^ {p}[i])"
+    apart = f"aggregate(sequence(0, {words} - 1), 0, (t, j) -> t + bit_count({word('parity_a')} ^ {word('parity_b')}))"
+    least = f"({join.num} * (n_a + n_b) + {join.num + join.den - 1}) div {join.num + join.den}"
+    return both.where(f"{apart} <= n_a + n_b - 2 * ({least})").select("a", "b").distinct()
+
+
+def verified(pairs: DataFrame, sets: DataFrame, join: JaccardJoin) -> DataFrame:
+    """(a, b, node_a, node_b, shared, size_a, size_b) of the pairs (a, b) that link."""
+    both = _beside(pairs, sets, join)
+    sizes = F.size(F.array_intersect("shingles_a", "shingles_b")).cast("long").alias("shared"), F.size("shingles_a").cast("long").alias("size_a"), F.size("shingles_b").cast("long").alias("size_b")
     return both.select("a", "b", "node_a", "node_b", *sizes).where(f"{join.den} * shared >= {join.num} * (size_a + size_b - shared)")
 
 
@@ -293,19 +320,22 @@ def linked_nodes(docs: DataFrame, join: JaccardJoin = JaccardJoin()) -> tuple[Da
     tokens = tokens.select("token", "cold", "node", "n", (F.col("pos") + 1).alias("pos"), "matches")
     rows = written(_lists(tokens.repartition("token").sortWithinPartitions("token", "cold", "node"), join), "lists")
     nodes = written(table.select("doc_id", *more, "n", "node"), "nodes")
+    parities = written(table.where("tokens is not null").select(F.col("half").alias("id"), "node", "n", "parity").dropDuplicates(["id", "node"]), "parities")
     discard(table)  # the prefixes are in the lists now
     pair = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
     matches = rows.where(f"kind = {MATCH}").select(*pair, "matches")
     enough = matches.groupBy("a", "b").agg(F.count("*").alias("found"), F.min("matches").alias("matches")).where("found >= matches").select("a", "b")
     members = rows.where(f"kind = {MEMBER}")
     first = written(enough.union(rows.where(f"kind = {STAR}").select(*pair)).distinct(), "pairs")
-    ends = first.select(F.col("a").alias("id")).union(first.select(F.col("b").alias("id")))
+    likely = written(alike(first, parities, join), "pairs")
+    ends = likely.select(F.col("a").alias("id")).union(likely.select(F.col("b").alias("id")))
     sets = candidate_sets(docs, ends.union(members.select(F.col("a").alias("id"))), join)
-    links = written(verified(first, sets, join), "links-verified")
+    links = written(verified(likely, sets, join), "links-verified")
     more = across_components(members, matches, first, links, join)
     if more is not None:
+        more = written(alike(more, parities, join), "pairs")
         links = written(links.union(verified(more, sets, join)), "links-verified")
-    for done in (rows, first, sets):
+    for done in (rows, parities, first, likely, sets):
         discard(done)
     return nodes, links
 

@@ -1,11 +1,13 @@
 import random
 import re
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
+from molquarry.llm import jaccard_join
 from molquarry.llm.components import components
-from molquarry.llm.jaccard_join import JaccardJoin, frequency_sketch, jaccard_components, near_duplicates_removed
+from molquarry.llm.jaccard_join import JaccardJoin, alike, frequency_sketch, jaccard_components, near_duplicates_removed
 
 SF = "/root/testdata/sf0.001"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -122,3 +124,49 @@ def test_rows_are_kept_by_row_not_by_id(spark):
     nulls = spark.createDataFrame([(None, a), (None, a), (None, a + " more"), (None, ""), (None, ""), (7, ""), (None, None)], "doc_id long, text string")
     left = sorted(((r["doc_id"], r["text"]) for r in near_duplicates_removed(nulls, JaccardJoin(k=5, num=80)).collect()), key=str)
     assert len([t for _, t in left if t and t.startswith("a0")]) == 1 and [x for x in left if not x[1]] == sorted([(7, ""), (None, ""), (None, None)], key=str)
+
+
+def test_sets_of_pairs_that_share_a_passage_by_chance_are_not_gathered(spark, monkeypatch):
+    """Only the sets of pairs that may link are shuffled; the coarse sketch lets nearly every pair with a common passage be found."""
+    rng = random.Random(9)
+    rows = []
+    for g in range(40):
+        passage = [f"p{g}x{j}" for j in range(30)]
+        rows += [(2 * g + i, " ".join(passage + [f"o{g}x{i}x{j}" for j in range(rng.randint(160, 180))])) for i in range(2)]
+    rows += [(100 + d, rows[d][1] + " end") for d in (3, 8, 21)]
+    gathered, gather = [], jaccard_join.candidate_sets
+
+    def noted(docs, ids, join):
+        gathered.extend(ids.distinct().collect())
+        return gather(docs, ids, join)
+
+    monkeypatch.setattr(jaccard_join, "candidate_sets", noted)
+    assert ours(spark, rows, JaccardJoin(sketch_bits=4)) == brute(rows)
+    assert len(gathered) == 6
+
+
+@pytest.mark.parametrize("join", [JaccardJoin(), JaccardJoin(num=30), JaccardJoin(sent_pairs=0)])
+def test_parities_drop_no_pair_that_links(spark, join):
+    """Sets of all ratios of size, with just enough in common to link; sets without anything in common go at high thresholds, but for very small ones."""
+    rng = np.random.default_rng(5)
+    rows, linked, unlike = [], [], []
+
+    def add(x):
+        rows.append((len(rows), bytes([len(rows) % 251, len(rows) // 251]), len(x), jaccard_join._parity(x).tolist()))
+        return len(rows) - 1
+
+    fresh = lambda n: np.unique(rng.integers(0, 1 << 64, n, np.uint64, endpoint=False))
+    for n in (1, 2, 7, 63, 64, 65, 128, 129, 400, 513, 1000, 5000):
+        for m in sorted({n, -(-n * join.num // join.den), (n + -(-n * join.num // join.den)) // 2}):
+            common = join.least_shared(n + m)
+            if common <= m:
+                x = fresh(n)
+                linked.append((add(x), add(np.concatenate([x[:common], fresh(m - common)]))))
+            unlike.append((add(fresh(n)), add(fresh(m))))
+    schema = "id long, node binary, n long, parity array<long>"
+    other = (linked[0][0], b"another set of this id", 5000, jaccard_join._parity(fresh(5000)).tolist())
+    parities, pairs = spark.createDataFrame([*rows, other], schema), spark.createDataFrame(linked + unlike, "a long, b long")
+    got = sorted(map(tuple, alike(pairs, parities, join).collect()))
+    assert set(linked) <= set(got) and len(got) == len(set(got))
+    if join.num > 50:  # a lower threshold leaves more room than the parities of unlike sets differ in
+        assert all(rows[a][2] < 64 for a, b in set(got) - set(linked))
