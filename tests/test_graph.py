@@ -1,11 +1,12 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from molquarry.operators import classify, paths, profiles, similarity
+from molquarry.operators import classify, paths, profiles, reach, similarity
 from molquarry.plans.queries import QUERIES
 from molquarry.plans.tables import Model
 
@@ -151,6 +152,41 @@ def test_precursors_of_four_steps_against_all_paths(spark, seed):
     assert same(paths.precursor_edges(components, reactions, min_depth=4, max_depth=4).collect(), [k for k in want if k[2] == 4])
 
 
+@pytest.mark.parametrize("kind", ["bigint", "int", "string"])
+def test_precursors_of_three_steps_by_blocks_and_stretches(spark, monkeypatch, kind):
+    """The same rows for any cut of starts and hops, and no table of paths is shuffled or written."""
+    monkeypatch.setattr(reach, "STRETCH", 7)
+    monkeypatch.setattr(reach, "ROWS", 9)
+    (_, reactions, components), hops, _, yields = random_graph(spark, 3, 10, 30)
+    components = components.withColumn("inchikey", F.col("inchikey").cast(kind))
+    got = paths.precursor_edges(components, reactions)
+    best = {}
+    for a, r, b in hops:
+        if a != b:
+            best.setdefault((a, b), []).append(yields[r])
+    best = {k: max((y for y in v if y is not None), default=None) for k, v in best.items()}
+    want = {}
+    for n in (3, 4):
+        for path in itertools.permutations(range(1, 11), n):
+            if all(x in best for x in zip(path, path[1:])):
+                y = 100.0
+                for z in (best[x] for x in zip(path, path[1:])):
+                    y = None if y is None or z is None else y * z / 100
+                want.setdefault((path[0], path[-1], n - 1), []).append(y)
+    want = {k: max((y for y in v if y is not None), default=None) for k, v in want.items()}
+    assert dict(got.dtypes)["src"] == kind and len(got.collect()) == len(want)
+    assert {(int(r["src"]), int(r["dst"]), r["step_count"]): r["total_yield"] for r in got.collect()} == pytest.approx(want, abs=0.0051)
+    if kind == "bigint":
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "Exchange" not in plan
+
+
+def test_yields_are_rounded_as_decimals(spark):
+    values = [a * b / 100 * c / 100 for a in range(0, 101, 3) for b in (1, 7, 33, 50, 99) for c in (5, 25, 45, 75, 100)] + [0.005, 1.005, 2.675, 33.285]
+    rows = spark.createDataFrame([(v,) for v in values], "y double").select("y", F.round("y", 2).alias("r")).collect()
+    assert [r["r"] for r in rows] == reach._rounded(np.array([r["y"] for r in rows])).tolist()
+
+
 def test_precursors(toy):
     _, reactions, components = toy
     got = {(r["src"], r["dst"], r["step_count"]): r["total_yield"] for r in paths.precursor_edges(components, reactions, max_depth=3).collect()}
