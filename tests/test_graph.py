@@ -181,6 +181,19 @@ def test_precursors_of_three_steps_by_blocks_and_stretches(spark, monkeypatch, k
         assert "CartesianProduct" in plan and "Exchange" not in plan
 
 
+@pytest.mark.parametrize("seed", [4, 5])
+def test_precursors_of_four_steps_by_blocks_and_stretches(spark, monkeypatch, seed):
+    (_, reactions, components), *_ = random_graph(spark, seed, 14, 45)
+    targets = spark.createDataFrame([(t,) for t in range(1, 13)], "inchikey long")
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    whole = rows(paths.precursor_edges(components, reactions, max_depth=4, targets=targets))
+    monkeypatch.setattr(reach, "STRETCH", 5)
+    monkeypatch.setattr(reach, "ROWS", 20)
+    cut = paths.precursor_edges(components, reactions, max_depth=4, targets=targets)
+    assert rows(cut) == whole and any(r[2] == 4 for r in whole)
+    assert "Exchange" not in cut._jdf.queryExecution().executedPlan().toString()
+
+
 def test_yields_are_rounded_as_decimals(spark):
     values = [a * b / 100 * c / 100 for a in range(0, 101, 3) for b in (1, 7, 33, 50, 99) for c in (5, 25, 45, 75, 100)] + [0.005, 1.005, 2.675, 33.285]
     rows = spark.createDataFrame([(v,) for v in values], "y double").select("y", F.round("y", 2).alias("r")).collect()
