@@ -6,7 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from molquarry.operators import classify, paths, profiles, reach, similarity
+from molquarry.operators import classify, nearest, paths, profiles, reach, similarity
 from molquarry.plans.queries import QUERIES
 from molquarry.plans.tables import Model
 
@@ -278,6 +278,44 @@ def test_bit_index_is_chosen_by_size(spark, monkeypatch):
     assert similarity._radii(11, 4) == [2, 2, 2, 2] and similarity._radii(12, 4) == [3, 2, 2, 2] and similarity._radii(1, 4) == [0, 0, -1, -1]
 
 
+@pytest.mark.parametrize("n_words", [1, 2])
+def test_best_hits_in_tiles_against_brute_force(spark, monkeypatch, n_words):
+    """Many ties, equal sets, repeated rows and queries, sets without bits; small blocks and pieces. Only hits leave a task."""
+    monkeypatch.setattr(nearest, "QUERIES", 9)
+    monkeypatch.setattr(nearest, "PIECE", 13)
+    rng = random.Random(n_words)
+    word = lambda: rng.getrandbits(63) & rng.getrandbits(63) if rng.random() < 0.5 else -rng.getrandbits(3) - 1
+    rows = [(i, [word() for _ in range(n_words)]) for i in range(150)]
+    rows += [(200 + i, w) for i, w in rows[:40]] + rows[:5] + [(300 + i, rows[7][1]) for i in range(30)] + [(400, [0] * n_words), (401, None), (None, [1] * n_words), (402, [None] * n_words)]
+    df = spark.createDataFrame(rows, "id long, words array<long>").repartition(3)
+    asked = df.where("id % 3 = 0 or id is null")
+    bits = [(i, [x & (1 << 64) - 1 for x in w]) for i, w in rows if i is not None and w is not None and None not in w]
+    queries = sorted({(i, tuple(w)) for i, w in bits if i % 3 == 0})
+    total = lambda a, b, f: sum(f(x, y).bit_count() for x, y in zip(a, b))
+
+    def want(t, inclusive, limit, with_self, queries=queries):
+        out = []
+        for q, a in queries:
+            hits = [(-total(a, b, int.__and__) / u, i) for i, b in bits if (u := total(a, b, int.__or__)) and (with_self or i != q)]
+            out += [(q, i, pytest.approx(-s, abs=6e-5)) for s, i in sorted(hits)[: len(hits)] if -s > t or (inclusive and -s == t)][:limit]
+        return out
+
+    told = lambda found: [x[:3] for x in sorted(map(tuple, found.collect()), key=lambda x: (x[0], -x[2], x[1]))]
+    key = lambda x: (x[0], -round(getattr(x[2], "expected", x[2]), 4), x[1])
+    for got, expected in (
+        (similarity.knn(df, asked, 6), want(-1.0, False, 6, False)),
+        (similarity.sim_search(df, asked, 0.3, 50), want(0.3, False, 50, True)),
+        (similarity.sim_search(df, asked, 0.5, 4, inclusive=True), want(0.5, True, 4, True)),
+        (similarity.sim_search_batch(df, asked, 0.4, 3), want(0.4, False, 3, False)),
+        (similarity.sim_search_indexed(df, df, 0.5, 5), want(0.5, False, 5, False, sorted({(i, tuple(w)) for i, w in bits}))),
+    ):
+        assert told(got) == sorted(expected, key=key)
+    plan = similarity.knn(df, asked, 6)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoopJoin" not in plan and plan.index("Window") < plan.index("MapInArrow") < plan.index("CartesianProduct")
+    monkeypatch.setattr(similarity, "TILED", 0)  # the index gives the same
+    assert told(similarity.sim_search_indexed(df.where("id <> 402"), df.where("id <> 402"), 0.5, 5)) == sorted(want(0.5, False, 5, False, sorted({(i, tuple(w)) for i, w in bits})), key=key)
+
+
 def test_bits(spark):
     df = spark.createDataFrame([(1, [0, 5, 63, 64]), (2, [5, 63]), (3, []), (4, [1])], "id long, bits array<int>").withColumn("words", similarity.packed(F.col("bits"), 2))
     got = {r["id"]: r["words"] for r in df.collect()}
