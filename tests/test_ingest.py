@@ -1,8 +1,12 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from molquarry.functions import units as U
 from molquarry.operators import ingest
+from molquarry.plans.queries import QUERIES
+from molquarry.plans.tables import Model
 from molquarry.sources.readers import HAZARD_LINE, hazards_from_tree, obo_terms, parse_jsonl, properties_from_table, read_jsonl, read_obo, read_reactions, write_csv, write_graph
 
 
@@ -100,3 +104,13 @@ def test_clean_activity_and_keys(spark):
     assert ingest.clean_activity(spark.createDataFrame(rows, "inchikey string, activity_type string, assay string, value string")).count() == 1
     df = spark.createDataFrame([(key,), (key.lower(),), (None,), ("",)], "k string")
     assert [r[0] for r in df.select(U.valid_key(F.col("k"))).collect()] == [True, False, False, False]
+
+
+def test_records_are_written_small_and_their_lines_move_once(spark):
+    """JSON repeats field names, so files are compressed; lines are dealt by order before they are nested, not after."""
+    sf = "/root/testdata/sf0.001"
+    files = QUERIES["src_reactions"](spark, sf).inputFiles()
+    assert files and all(f.endswith(".json.gz") for f in files)
+    plan = Model(spark, sf).records._jdf.queryExecution().executedPlan().toString()
+    dealt = set(re.findall(r"hashpartitioning\((\w+)#", plan))
+    assert dealt <= {"l_orderkey", "o_orderkey"}
