@@ -223,6 +223,35 @@ def test_similarity_join_against_brute_force(spark):
     assert capped.groupBy("a").count().where("count > 1").count() == 0
 
 
+@pytest.mark.parametrize(("bits", "pairs"), [(20, 1_000_000), (2, 0)])
+def test_similarity_join_writes_prefixes_and_candidates_alone(spark, monkeypatch, bits, pairs):
+    """Exact for any sketch of counts, and whole sets of items are written for candidates only."""
+    monkeypatch.setattr(similarity, "SKETCH", bits)
+    monkeypatch.setattr(similarity, "PAIRS", pairs)
+    made, written = {}, similarity.written
+
+    def noted(df, tag):
+        table = written(df, tag)
+        arrays = [c for c, kind in table.dtypes if kind.startswith("array")]
+        made[tag] = table.agg(F.sum(F.size(arrays[0])) if arrays else F.count("*")).first()[0]
+        return table
+
+    monkeypatch.setattr(similarity, "written", noted)
+    rng = random.Random(bits)
+    sets = [(i, sorted(f"{i}-{x}" if x > 4 else f"t{rng.randint(0, 40)}" for x in range(60))) for i in range(40)]
+    sets += [(100 + i, sorted([*s[1:], "z"])) for i, s in sets[:5]] + [(200 + i, s) for i, s in sets[:3]] + [(None, sets[0][1]), (300, []), (301, None)]
+    sets = [(i, None if s is None else sorted(set(s))) for i, s in sets]
+    reps = {}
+    for i, s in sets:
+        if i is not None and s:
+            reps[tuple(s)] = min(i, reps.get(tuple(s), i))
+    want = {(a, b): round(len(set(s) & set(t)) / len(set(s) | set(t)), 4) for s, a in reps.items() for t, b in reps.items() if a < b and 20 * len(set(s) & set(t)) >= 17 * len(set(s) | set(t))}
+    got = {(r["a"], r["b"]): r["similarity"] for r in similarity.similar_edges(spark.createDataFrame(sets, "id long, items array<string>"), 85, 100).collect()}
+    assert got == pytest.approx(want, abs=1e-4) and len(want) == 5
+    every = sum(len(s) for _, s in sets if s)
+    assert made["sets"] < every / 4 and made["candidates"] < every / 2
+
+
 @pytest.mark.parametrize("most", [2, 7])
 def test_similarity_join_splits_the_sets_of_a_common_item(spark, monkeypatch, most):
     """Items that many sets have in their prefixes are dealt into blocks; all pairs are found, each once."""
